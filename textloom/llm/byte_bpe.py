@@ -79,5 +79,22 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.map_batches(common.id_text(docs, id_col, text_col), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids array<int>, decodes): ids, and whether they decode to exactly the text's bytes."""
+    default = vocabulary()
+    path, pattern = ranks or default[0], pattern or default[1]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces, texts = byte_pieces(path, pattern), common.texts(batch.column(1))
+        coded = pieces.encode(texts)
+        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        same = [pieces.decode(flat[a:b]) == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array(same)], names=["id", "n_tokens", "ids", "decodes"])
+
+    return common.map_batches(common.id_text(docs, id_col, text_col), run, "id long, n_tokens long, ids array<int>, decodes boolean").withColumnRenamed("id", id_col)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.table(spark, sf_dir, "documents"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
+    "op1_rans_tokens": "rans",
     "op2_byte_bpe": "byte_bpe",
     "op3_url_filter": "url_filter",
     "op4_secrets": "secrets",
+    "op5_jaccard_join": "jaccard_join",
     "op6_decontaminate": "decontaminate",
     "op7_edit_counts": "edit_counts",
     "op8_quality_rules": "quality_rules",
