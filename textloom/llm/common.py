@@ -164,6 +164,6 @@ def rows(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 
 
-SPACE_CLASS = "\t-\r \x85\xa0  -     　"
+SPACE_CLASS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches at whose borders the byte-level pattern always has a border too.
 PIECES = re.compile(f" ?[^{SPACE_CLASS}]+|[{SPACE_CLASS}]+(?![^{SPACE_CLASS}])|[{SPACE_CLASS}]+")
