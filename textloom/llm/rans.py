@@ -38,7 +38,9 @@ from textloom.llm.tokens import word_pieces
 
 U64 = np.uint64
 SCALE, LOW = 18, 1 << 31
-LANES, BLOCK, CHECKPOINT, SEGMENT = 1024, 1 << 18, 128, 1 << 20
+LANES, BLOCK, CHECKPOINT = 1024, 1 << 18, 128
+#: Bytes of text at which a segment is closed (one longer document stands alone).
+SEGMENT = 6 << 20
 #: Characters of text in a part (one task's share of the ordered output).
 PART_CHARS = 16_000_000
 END_ID = 1
@@ -157,11 +159,10 @@ class Decoder:
 SEGMENT_DDL = "part int, segment int, n_docs int, n_tokens long, docs binary, table binary, blocks array<binary>"
 
 
-def pack_segment(doc_ids: list[int | None], coded: list[bytes]) -> dict:
-    ids = np.frombuffer(b"".join(coded), "<u4")
+def pack_segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> dict:
     symbols, f = frequencies(ids)
     known = np.array([-(1 << 63) if i is None else i for i in doc_ids], np.int64)
-    docs = np.diff(known, prepend=0).astype("<i8").tobytes() + np.array([len(c) // 4 for c in coded], "<i4").tobytes()
+    docs = np.diff(known, prepend=0).astype("<i8").tobytes() + sizes.astype("<i4").tobytes()
     return {
         "n_docs": len(doc_ids),
         "n_tokens": len(ids),
@@ -171,6 +172,16 @@ def pack_segment(doc_ids: list[int | None], coded: list[bytes]) -> dict:
     }
 
 
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's ids followed by the end id, and the new counts."""
+    counts = counts + 1
+    out = np.empty(int(counts.sum()), "<u4")
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(counts) - 1] = True
+    out[last], out[~last] = end_id, ids
+    return out, counts
+
+
 def unpack_docs(raw: bytes, n: int) -> tuple[list[int | None], np.ndarray]:
     raw = zlib.decompress(raw)
     ids = np.cumsum(np.frombuffer(raw, "<i8", n)).tolist()
@@ -191,31 +202,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     cut = common.id_text(docs, id_col, text_col)
     chars = cut.agg(F.sum(F.length("text"))).first()[0] or 0
     ordered = cut.repartitionByRange(max(1, -(-chars // part_chars)), "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, number = word_pieces(tokenizer), 0, 0
-        ids: list[int | None] = []
-        coded: list[bytes] = []
-        size = 0
+        pieces, number = word_pieces(tokenizer), 0
+        held: list[pa.RecordBatch] = []
+        weight = 0
 
         def emit() -> pa.RecordBatch:
-            row = {"part": part, "segment": number} | pack_segment(ids, coded)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, counts = with_ends(*pieces.encode_column(rows.column("text").combine_chunks()), end_id)
+            row = {"part": rows.column("part")[0].as_py(), "segment": number} | pack_segment(rows.column("id").to_pylist(), counts, ids)
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
             for piece in common.slices(batch):
-                part = piece.column(2)[0].as_py()
-                for i, c in zip(piece.column(0).to_pylist(), pieces.encode(common.texts(piece.column(1))), strict=True):
-                    ids.append(i)
-                    coded.append(c + end)
-                    size += len(c) // 4 + 1
-                    if size >= SEGMENT:
-                        yield emit()
-                        number += 1
-                        ids, coded, size = [], [], 0
-        if ids:
+                held.append(piece)
+                weight += piece.nbytes
+                if weight >= SEGMENT:
+                    yield emit()
+                    number += 1
+                    held, weight = [], 0
+        if held:
             yield emit()
 
     ordered.mapInArrow(run, SEGMENT_DDL).write.mode("overwrite").option("compression", "none").option("parquet.block.size", str(16 << 20)).parquet(path)

@@ -12,18 +12,21 @@ import base64
 import json
 import os
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Distinct pieces a worker remembers, and the longest piece worth remembering.
-CACHE_PIECES = 600_000
+CACHE_PIECES, CACHE_COLUMN = 600_000, 1_500_000
 CACHE_CHARS = 40
-#: Marks that no pattern joins to a letter before them (an apostrophe may be joined to what follows).
+#: Marks that no pattern joins to a letter before them, and that patterns join to one another.
 #: Beyond the Latin blocks, engines may disagree on what newer Unicode calls a letter.
 LATIN_END = "\u0250"
-MARKS, LETTERS = frozenset(",.;:!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+MARKS, LETTERS = ",.;:!?#*$%&|", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def byte_characters() -> dict[int, str]:
@@ -43,6 +46,8 @@ BYTE_TABLE = byte_characters()
 
 
 def spelled(text: str) -> str:
+    if text.isascii() and " " not in text and text.isprintable():
+        return text
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_TABLE)
 
 
@@ -61,18 +66,29 @@ class Pieces:
         return stem
 
     def fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces.  A mark after an ASCII letter is a pre-token of its own."""
-        known, parts, need = self.known, [], {}
+        """Ids of new pieces.  Marks at the end, after an ASCII letter, are a pre-token of their own."""
+        known, out, cut, need = self.known, {}, [], {}
         for p in pieces:
-            stem, mark = (p[:-1], p[-1]) if p[-1:] in MARKS and p[-2:-1] in LETTERS and len(p) > 1 else (p, "")
-            stem = self.fold(stem)
-            parts.append((stem, mark))
-            for x in (stem, mark):
-                if x not in known:
-                    need[x] = None
+            stem = p.rstrip(MARKS)
+            if len(stem) != len(p) and stem[-1:] in LETTERS and stem:
+                mark, stem = p[len(stem) :], self.fold(stem)
+                cut.append((p, stem, mark))
+                if mark not in known:
+                    need[mark] = b""
+            else:
+                stem = self.fold(p)
+                if stem != p:
+                    cut.append((p, stem, ""))
+            if stem not in known:
+                need[stem] = b""
         self.library(need)
-        get = lambda x: need[x] if x in need else known[x]
-        return need | {p: get(stem) + get(mark) for p, (stem, mark) in zip(pieces, parts, strict=True)}
+        out = need
+        for p, stem, mark in cut:
+            ids = need[stem] if stem in need else known[stem]
+            if mark:
+                ids += need[mark] if mark in need else known[mark]
+            out[p] = ids
+        return out
 
     def single(self, stem: str) -> str | None:
         """The byte alphabet's spelling of a stem that is one pre-token for certain, else None."""
@@ -80,13 +96,13 @@ class Pieces:
 
     def library(self, need: dict[str, bytes]) -> None:
         """Fill in the ids of the keys: plain words go straight to the library's merges."""
-        rest, tokenize = [], self.tokenizer.model.tokenize
+        rest, tokenize, single = [], self.tokenizer.model.tokenize, self.single
         for x in need:
-            plain = self.single(x)
+            plain = single(x)
             if plain is None:
                 rest.append(x)
             else:
-                need[x] = id_bytes([t.id for t in tokenize(plain)])
+                need[x] = array("I", [t.id for t in tokenize(plain)]).tobytes()
         for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             need[x] = id_bytes(e.ids)
 
@@ -144,6 +160,34 @@ class WordPieces(Pieces):
         return text.split()
 
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), for a whole Arrow column at once.
+
+        Arrow cuts and numbers the pieces, so that Python sees each distinct one
+        once; cuts at ASCII blanks suffice, others stay inside a piece.
+        """
+        lists = pc.ascii_split_whitespace(column.fill_null(""))
+        numbered = lists.flatten().dictionary_encode()
+        pieces, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        got = list(map(self.known.get, pieces))
+        missing = [p for p, x in zip(pieces, got, strict=True) if x is None]
+        if missing:
+            new = self.fresh(missing)
+            got = [new[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
+            if len(self.known) + len(new) > CACHE_COLUMN:
+                self.known = {p: x for p, x in zip(pieces, got, strict=True) if len(p) <= CACHE_CHARS}
+            else:
+                self.known.update((p, x) for p, x in new.items() if len(p) <= CACHE_CHARS)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        table = np.frombuffer(b"".join(got), "<u4")
+        each = size[code]
+        ends = np.cumsum(each)
+        ids = table[np.repeat((np.cumsum(size) - size)[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.asarray(lists.offsets)
+        edge = np.concatenate([[0], ends])[cuts - cuts[0]]
+        return ids, np.diff(edge)
+
+
 @lru_cache(maxsize=4)
 def word_pieces(path: str) -> WordPieces:
     return WordPieces(path)
