@@ -49,8 +49,8 @@ MATCHES = 3
 CELL_LOAD, MIN_BITS, MAX_BITS = 64, 12, 22
 #: A shingle is costly when its estimate is so many times the mean cell.
 COSTLY = 4
-#: Bits of the filter that picks the documents to read again (it may let others through).
-FILTER_BITS = 22
+#: Bits of the filter that picks the documents to read again (it may let others through): 2 MB.
+FILTER_BITS = 24
 
 
 def shingles(text: str, k: int = WORDS) -> np.ndarray:
@@ -278,6 +278,8 @@ def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col
     pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("asked")).where("shared >= asked")
     more = common.store(verified(cut, common.store(pairs.select("a", "b"), f"{path}/pairs"), k, percent, f"{path}/sets2"), f"{path}/more")
     final = components(spark, links.union(more), f"{path}/final")
+    for done in ("posts", "joined", "live", "leads", "links", "sets", "tied", "parts", "open", "pairs", "sets2", "more"):
+        common.remove(spark, f"{path}/{done}")  # the result reads only prefixes, classes and final
 
     named = classes.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
