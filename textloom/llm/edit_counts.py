@@ -25,7 +25,7 @@ from textloom.llm import common, secrets
 from textloom.llm.tokens import byte_pieces
 
 LEAF = 64
-CACHE = 600_000
+CACHE = 400_000
 
 
 class Counter:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Distinct pieces a worker remembers, and the longest piece worth remembering.
-CACHE_PIECES, CACHE_COLUMN = 600_000, 1_000_000
+CACHE_PIECES, CACHE_COLUMN = 400_000, 1_000_000
 CACHE_CHARS = 40
 #: Beyond the Latin blocks, engines may disagree on what newer Unicode calls a letter.
 LATIN_END = "\u0250"
