@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.storage import shared_dir, store
+from textloom.operators.storage import shared_dir, spread, store
 
 P = (1 << 31) - 1
 RADIX = 1_000_003
@@ -162,8 +162,8 @@ def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: st
     path = shared_dir(df.sparkSession)
     rows = df.select(F.col(ord_col).alias("ord"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("text", F.when(F.length("text") < cfg.shingle_size, F.lit("")).otherwise(F.col("text"))).withColumn("h", F.md5("text"))
-    heads = store(rows.groupBy("h").agg(F.min("ord").alias("ord"), F.first("text").alias("text")), f"{path}/heads")
-    banded = store(bands(heads.select("ord", signature(F.col("text"), cfg).alias("sig")), cfg), f"{path}/bands")
+    heads = store(spread(rows).groupBy("h").agg(F.min("ord").alias("ord"), F.first("text").alias("text")), f"{path}/heads")
+    banded = store(bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg), f"{path}/bands")
     pairs = candidate_pairs(banded)
     if cfg.verify:
         pairs = jaccard(pairs, heads.select("ord", "text"), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)

@@ -21,9 +21,19 @@ PROFILES = {
 MARKS = r"[\p{P}\p{S}]+"
 
 
-def hits(c: Column) -> dict[str, Column]:
-    """Stop words of each language in a text; marks at word borders do not count."""
-    found = T.words(F.regexp_replace(F.lower(c), MARKS, " "))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a one-element array's element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stop_words(c: Column) -> Column:
+    """The words of a text that are stop words of any language; marks count as blanks."""
+    every = sorted({w for stop in PROFILES.values() for w in stop})
+    return F.filter(T.words(F.regexp_replace(F.lower(c), MARKS, " ")), lambda w: w.isin(every))
+
+
+def hits(found: Column) -> dict[str, Column]:
+    """Stop words of each language among those found."""
 
     def among(stop: list[str]) -> Column:
         return F.size(F.filter(found, lambda w: w.isin(stop))).cast("long")
@@ -32,9 +42,11 @@ def hits(c: Column) -> dict[str, Column]:
 
 
 def detect(c: Column) -> Column:
-    counts = hits(c)
-    most = F.greatest(*counts.values())
-    out = F.when(most == 0, F.lit("unknown"))
-    for lang, n in sorted(counts.items()):
-        out = out.when(n == most, F.lit(lang))
-    return out
+    def choose(n: Column) -> Column:
+        most = F.greatest(*(n[lang] for lang in PROFILES))
+        out = F.when(most == 0, F.lit("unknown"))
+        for lang in sorted(PROFILES):
+            out = out.when(n[lang] == most, F.lit(lang))
+        return out
+
+    return let(stop_words(c), lambda found: let(F.struct(*(n.alias(lang) for lang, n in hits(found).items())), choose))

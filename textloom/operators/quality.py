@@ -18,6 +18,9 @@ from textloom.operators.language import detect
 REASONS = ["too_short", "too_long", "short_avg_word_length", "long_avg_word_length", "low_alpha_ratio", "high_digit_ratio", "high_symbol_ratio", "high_repetition", "mostly_bullet_list", "boilerplate_content", "wrong_language", "passed"]
 BOILERPLATE = r"(?iu)copyright \p{Nd}{4}|all rights reserved|terms of service|privacy policy|cookie policy|subscribe to our newsletter|click here to|share on facebook|follow us on twitter"
 BULLET = rf"^[{T.WS}]*[-•*►▪▸][{T.WS}]"
+#: The same within a whole text: no white space around the mark may leave its line.
+IN_LINE = T.WS.replace(r"\t-\r", r"\t\x0b-\r")
+BULLET_LINE = rf"(?:^|(?<=\n))[{IN_LINE}]*[-•*►▪▸][{IN_LINE}]"
 
 
 @dataclass(frozen=True)
@@ -53,33 +56,54 @@ def repetition_count(c: Column) -> Column:
     return F.aggregate(kept, start, step, lambda acc: acc["best"]).cast("long")
 
 
-def measures(c: Column) -> dict[str, Column]:
-    """All counts and ratios of a text, each by itself."""
-    n_words, n_space, n_alpha, n_digit = T.word_count(c), T.spaces(c), T.letters(c), T.digits(c)
-    total = F.length(c).cast("long")
-    solid = total - n_space
-    n_lines = F.size(T.lines(c)).cast("long")
+def base_counts(c: Column) -> dict[str, Column]:
+    """The passes over a text; everything else is arithmetic on these."""
+    return {
+        "words": T.word_count(c),
+        "total": F.length(c).cast("long"),
+        "space": T.spaces(c),
+        "alpha": T.letters(c),
+        "digit": T.digits(c),
+        "lines": F.regexp_count(c, F.lit("\n")).cast("long") + 1,
+        "repeats": F.when(F.instr(c, "\n") > 0, repetition_count(c)).otherwise(F.lit(0)).cast("long"),
+        "bullets": F.regexp_count(c, F.lit(BULLET_LINE)).cast("long"),
+        "phrases": F.regexp_count(c, F.lit(BOILERPLATE)).cast("long"),
+    }
+
+
+def derived(b: dict[str, Column]) -> dict[str, Column]:
+    solid = b["total"] - b["space"]
     return {
-        "word_count": n_words,
-        "avg_word_length": T.ratio(solid, n_words),
-        "alpha_ratio": T.ratio(n_alpha, solid),
-        "digit_ratio": T.ratio(n_digit, solid),
-        "symbol_ratio": T.ratio(solid - n_alpha - n_digit, solid),
-        "repetition_ratio": F.when((n_lines > 1) & (solid > 0), repetition_count(c).cast("double") / n_lines),
-        "bullet_ratio": F.size(F.filter(T.lines(c), lambda x: x.rlike(BULLET))).cast("double") / n_lines,
-        "boilerplate_matches": F.regexp_count(c, F.lit(BOILERPLATE)).cast("long"),
+        "word_count": b["words"],
+        "avg_word_length": T.ratio(solid, b["words"]),
+        "alpha_ratio": T.ratio(b["alpha"], solid),
+        "digit_ratio": T.ratio(b["digit"], solid),
+        "symbol_ratio": T.ratio(solid - b["alpha"] - b["digit"], solid),
+        "repetition_ratio": F.when((b["lines"] > 1) & (solid > 0), b["repeats"].cast("double") / b["lines"]),
+        "bullet_ratio": b["bullets"].cast("double") / b["lines"],
+        "boilerplate_matches": b["phrases"],
     }
 
 
+def measures(c: Column) -> dict[str, Column]:
+    """All counts and ratios of a text, each by itself."""
+    return derived(base_counts(c))
+
+
 def with_quality(df: DataFrame, text_col: str = "text", cfg: QualityConfig = QualityConfig(), out: str = "quality") -> DataFrame:
     """Add ``quality: struct<passed, reason, scores>``; a null text counts as empty."""
     c = F.coalesce(F.col(text_col), F.lit(""))
-    m = dict(measures(c))
+    base = base_counts(c)
     if cfg.allowed_languages:
         look = c if cfg.language_chars is None else F.substring(c, 1, cfg.language_chars)
-        m["detected_language"] = detect(look)
-    staged = df.withColumn("__m", F.struct(*(v.alias(k) for k, v in m.items())))
-    v = lambda k: F.col(f"__m.{k}")
+        base["language"] = detect(look)
+    # Flat columns that are used more than once stay a projection of their own, so each
+    # pass over the text is made once.
+    staged = df.select("*", *(x.alias(f"__{k}") for k, x in base.items()))
+    m = derived({k: F.col(f"__{k}") for k in base})
+    if cfg.allowed_languages:
+        m["detected_language"] = F.col("__language")
+    v = m.__getitem__
     no = F.lit(False)
     rules: list[tuple[str, Column, list[str]]] = [
         ("too_short", v("word_count") < cfg.min_words, ["word_count"]),
@@ -105,12 +129,15 @@ def with_quality(df: DataFrame, text_col: str = "text", cfg: QualityConfig = Qua
     scores = [(F.when(F.col("__k") >= reached[s], v(s)) if s in reached else F.lit(None)).cast(kinds.get(s, "double")).alias(s) for s in every]
     reason = F.element_at(F.array(*map(F.lit, REASONS)), F.col("__k") + 1)
     struct = F.struct((F.col("__k") == len(rules)).alias("passed"), reason.alias("reason"), F.struct(*scores).alias("scores"))
-    return staged.withColumn(out, struct).drop("__m", "__k")
+    return staged.withColumn(out, struct).drop("__k", *(f"__{k}" for k in base))
 
 
 def filter_quality(df: DataFrame, text_col: str = "text", cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows that pass every rule."""
-    return with_quality(df, text_col, cfg, "__q").where("__q.passed").drop("__q")
+    judged = with_quality(df, text_col, cfg, "__q")
+    # A condition on the row position keeps the filter above the counts; pushed
+    # below, it would make every pass over the text again for every rule.
+    return judged.withColumn("__at", F.monotonically_increasing_id()).where("__q.passed and __at >= 0").drop("__q", "__at")
 
 
 def quality_stats(judged: DataFrame, col: str = "quality") -> DataFrame:

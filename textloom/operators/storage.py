@@ -20,3 +20,18 @@ def store(df: DataFrame, path: str) -> DataFrame:
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+#: Bytes of plan size below which a table is dealt out again before costly work on its texts.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores.
+
+    A small file is often one row group, which one task would read and then work on
+    alone.  The optimizer's size estimate decides: a large table has splits enough and
+    is left as it is, so this never shuffles much.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2) if size < SMALL_BYTES else df

@@ -15,7 +15,7 @@ from textloom import sinks
 from textloom.config import Config
 from textloom.metrics import Metrics
 from textloom.operators import clean, dedup, quality, tokenizer
-from textloom.operators.storage import shared_dir, store
+from textloom.operators.storage import shared_dir, spread, store
 from textloom.sources import wiki
 
 
@@ -38,7 +38,7 @@ class Pipeline:
             raise ValueError(f"output format {fmt!r} is not one of {sinks.FORMATS}")
         m.started = time.time()
         m.start("cleaning")
-        every = store(clean.with_cleaned(articles.select("ord", "id", "title", "text"), cfg=cfg.cleaning()), f"{path}/clean")
+        every = store(clean.with_cleaned(spread(articles.select("ord", "id", "title", "text")), cfg=cfg.cleaning()), f"{path}/clean")
         sums = every.agg(F.count("*").alias("n"), F.sum("stats.chars_removed").alias("gone"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.coalesce(F.col("cleaned"), F.lit("")) != "").alias("left")).first()
         docs = clean.survivors(every).select("ord", "id", "title", F.col("cleaned").alias("text"))
         m.end("cleaning", input_count=sums["n"], output_count=sums["left"], filtered_count=sums["n"] - sums["left"], bytes_processed=sums["bytes"] or 0, chars_removed=sums["gone"] or 0)
@@ -46,7 +46,7 @@ class Pipeline:
         if cfg.get("deduplication.enabled"):
             left, docs = self._stage("deduplication", left, self._deduplicated(docs), f"{path}/dedup")
         if cfg.get("quality.enabled"):
-            judged = quality.with_quality(docs, cfg=cfg.quality())
+            judged = quality.with_quality(spread(docs), cfg=cfg.quality())
             m.start("quality")
             judged = store(judged, f"{path}/quality")
             counts = {r["reason"]: r["n"] for r in quality.quality_stats(judged).collect()}
@@ -59,7 +59,7 @@ class Pipeline:
         m.start("tokenization")
         t = cfg.section("tokenization")
         model = tokenizer.train(docs, t["algorithm"], t["vocab_size"], t["min_frequency"], t.get("special_tokens"))
-        coded = store(tokenizer.encode(docs, model), f"{path}/tokens")
+        coded = store(tokenizer.encode(spread(docs), model), f"{path}/tokens")
         stats = tokenizer.token_stats(coded, model.vocab_size()).first().asDict()
         m.end("tokenization", input_count=stats["total_documents"], output_count=stats["total_documents"], **stats)
         if output:

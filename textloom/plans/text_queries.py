@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import clean, explore, language, quality, wiki
+from textloom.operators.storage import spread
 from textloom.plans.catalogue import register
 
 #: The same character classes in the oracle's dialect.
@@ -14,11 +15,11 @@ QUOTED = lambda values: ", ".join("'" + v + "'" for v in values)
 
 
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pages(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 @register("doc_lengths", "SELECT doc_id, length(text)::BIGINT AS text_length, strlen(text)::BIGINT AS text_bytes FROM documents")
