@@ -6,17 +6,20 @@ them.  All expressions are native; ``with_quality`` adds one struct column.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.language import detect
+from textloom.operators.language import detect, let
 
 #: Reasons in the order of the rules, and phrases of boilerplate.
 REASONS = ["too_short", "too_long", "short_avg_word_length", "long_avg_word_length", "low_alpha_ratio", "high_digit_ratio", "high_symbol_ratio", "high_repetition", "mostly_bullet_list", "boilerplate_content", "wrong_language", "passed"]
-BOILERPLATE = r"(?iu)copyright \p{Nd}{4}|all rights reserved|terms of service|privacy policy|cookie policy|subscribe to our newsletter|click here to|share on facebook|follow us on twitter"
+PHRASES = ["copyright", "all rights reserved", "terms of service", "privacy policy", "cookie policy", "subscribe to our newsletter", "click here to", "share on facebook", "follow us on twitter"]
+BOILERPLATE = "(?iu)" + "|".join(p + r" \p{Nd}{4}" * (p == "copyright") for p in PHRASES)
 BULLET = rf"^[{T.WS}]*[-•*►▪▸][{T.WS}]"
 #: The same within a whole text: no white space around the mark may leave its line.
 IN_LINE = T.WS.replace(r"\t-\r", r"\t\x0b-\r")
@@ -46,7 +49,7 @@ def repetition_count(c: Column) -> Column:
 
     Sorted lines put equal ones side by side, so one fold finds the longest run.
     """
-    kept = F.array_sort(F.filter(F.transform(T.lines(c), T.strip), lambda x: x != ""))
+    kept = F.sort_array(F.filter(F.transform(T.lines(c), T.strip), lambda x: x != ""))
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc, x):
@@ -56,6 +59,12 @@ def repetition_count(c: Column) -> Column:
     return F.aggregate(kept, start, step, lambda acc: acc["best"]).cast("long")
 
 
+def boilerplate_count(c: Column) -> Column:
+    """Matches of the phrases; the expression runs only where a phrase's text occurs."""
+    there = let(F.replace(F.lower(c), F.lit("\u017f"), F.lit("s")), lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(p)) for p in PHRASES)))
+    return F.when(there, F.regexp_count(c, F.lit(BOILERPLATE))).otherwise(F.lit(0)).cast("long")
+
+
 def base_counts(c: Column) -> dict[str, Column]:
     """The passes over a text; everything else is arithmetic on these."""
     return {
@@ -67,7 +76,7 @@ def base_counts(c: Column) -> dict[str, Column]:
         "lines": F.regexp_count(c, F.lit("\n")).cast("long") + 1,
         "repeats": F.when(F.instr(c, "\n") > 0, repetition_count(c)).otherwise(F.lit(0)).cast("long"),
         "bullets": F.regexp_count(c, F.lit(BULLET_LINE)).cast("long"),
-        "phrases": F.regexp_count(c, F.lit(BOILERPLATE)).cast("long"),
+        "phrases": boilerplate_count(c),
     }
 
 

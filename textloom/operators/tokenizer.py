@@ -178,26 +178,32 @@ def merge_loop(words: list[tuple[list[str], int]], vocab: dict[str, int], size:
         new = join(*pair)
         merges.append(pair)
         vocab.setdefault(new, len(vocab))
+        left, right = pair
         touched = set()
-        for i in where.pop(pair):
+        for i in where.pop(pair):  # some no longer hold the pair
             parts, n = words[i]
-            for p in zip(parts, parts[1:]):
-                counts[p] -= n
-                where[p].discard(i)
-                touched.add(p)
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
+            out: list[str] = []
+            k, last = 0, len(parts)
+            while k < last:
+                if parts[k] == left and k + 1 < last and parts[k + 1] == right:
+                    if out:
+                        counts[out[-1], left] -= n
+                        p = (out[-1], new)
+                        counts[p] += n
+                        where[p].add(i)
+                        touched.add(p)
+                    if k + 2 < last:
+                        counts[right, parts[k + 2]] -= n
+                        p = (new, parts[k + 2])
+                        counts[p] += n
+                        where[p].add(i)
+                        touched.add(p)
                     out.append(new)
                     k += 2
                 else:
                     out.append(parts[k])
                     k += 1
             words[i] = (out, n)
-            for p in zip(out, out[1:]):
-                counts[p] += n
-                where[p].add(i)
-                touched.add(p)
         counts[pair] = 0
         for p in touched:
             if p != pair and counts[p] > 0:
