@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space, patterns for URLs, mail addresses, citations, control characters.
 WS = r"\t-\r\x1c-\x1f \x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same set for Java alone, as two tests a character instead of a dozen.
+JAVA_WS = r"\s\x1c-\x1f"
 URL = r"(?U)https?://(?:[-\w.]|%[\da-fA-F]{2})[/\w\-.~:?#\[\]@!$&'()*+,;=%]*"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 CITATION = r"(?iuU)\[\d+\]|\[citation needed\]|\[note \d+\]"
@@ -22,17 +24,17 @@ WORDPIECE = r"(?U)(\w+|[^\w\s]+)"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (``trim`` knows spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+$", "")
+    return F.regexp_replace(F.regexp_replace(c, f"(?U)^[{JAVA_WS}]+", ""), f"(?Ud)[{JAVA_WS}]+$", "")
 
 
 def words(c: Column) -> Column:
     """White-space separated words; none for an empty or blank text."""
-    return F.filter(F.split(c, f"[{WS}]+"), lambda w: w != "")
+    return F.filter(F.split(c, f"(?U)[{JAVA_WS}]+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
     """Words, counted as stretches without white space: cheaper than splitting."""
-    return F.regexp_count(c, F.lit(f"[^{WS}]+")).cast("long")
+    return F.regexp_count(c, F.lit(f"(?U)[^{JAVA_WS}]+")).cast("long")
 
 
 def count_class(c: Column, cls: str) -> Column:
@@ -49,7 +51,7 @@ def digits(c: Column) -> Column:
 
 
 def spaces(c: Column) -> Column:
-    return count_class(c, WS)
+    return F.length(F.regexp_replace(c, f"(?U)[^{JAVA_WS}]+", "")).cast("long")
 
 
 def lines(c: Column) -> Column:
@@ -63,7 +65,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def char_shingles(c: Column, k: int = 5) -> Column:
     """Distinct k-character windows of the lower-cased text with white space runs as one space."""
-    normal = F.regexp_replace(F.lower(c), f"[{WS}]+", " ")
+    normal = F.regexp_replace(F.lower(c), f"(?U)[{JAVA_WS}]+", " ")
     return F.array_distinct(F.regexp_extract_all(normal, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 

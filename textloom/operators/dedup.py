@@ -65,7 +65,7 @@ def band_shape(threshold: float, num_perm: int) -> tuple[int, int]:
 
 
 def normalised(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), f"[{T.WS}]+", " ")
+    return F.regexp_replace(F.lower(c), f"(?U)[{T.JAVA_WS}]+", " ")
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
