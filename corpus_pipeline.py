@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    return jaccard_join.one_of_each(docs).select(COLUMNS)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8), the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs, k=5, percent=80).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

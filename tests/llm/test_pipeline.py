@@ -46,3 +46,21 @@ def test_stages_on_no_rows(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_near_copies_by_five_words(spark):
+    """Copies with a five-word Jaccard similarity of 0.8, but under 0.9 by three words, are one group."""
+    words = [f"w{i}" for i in range(204)]
+    block = words[:190] + [f"x{i}" for i in range(14)]  # 186 of 214 five-word shingles are shared: 0.87
+    edited = [f"y{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(words)]  # 180 of 220: 0.82
+    far = [f"z{i}" if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(words)]  # 175 of 225: 0.78
+    texts = [words, block, edited, far]
+
+    def jaccard(x, y, k):
+        a, b = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    assert jaccard(words, block, 5) >= 0.8 > jaccard(words, far, 5) and jaccard(words, edited, 5) >= 0.8
+    assert jaccard(words, block, 3) < 0.9 and jaccard(words, edited, 3) < 0.9
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {0, 3}
