@@ -170,6 +170,13 @@ def test_main_text(body, want):
     assert html_text.main_text(PAGE % body if body else "") == want
 
 
+def test_an_article_container_is_a_prior():
+    prose = ("This is the text of the page, and it is about what is in it. " * 5).strip()
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another of the pages</a></li>" for i in range(3)) + "</ul>"
+    assert html_text.main_text(PAGE % f"<div><p>{prose}</p></div><article><h3>Card</h3></article>") == prose + " Card"
+    assert html_text.main_text(PAGE % f"<article><h1><a href=/>Head</a></h1><p>{prose}</p>{links}<p>End</p></article><p>Elsewhere</p>") == f"Head {prose} End"
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(1)
     parts = ["<", ">", '"', "'", "<p>", "</p>", '<div class="ad">', "</div>", "<a href=x>", "</a>", "text ", "&amp;", "&#x41;", "<!--", "-->", "<script>", "</script>", "=", "<b", "/", "<br/>", "<article>", "</article>"]

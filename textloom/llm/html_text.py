@@ -5,7 +5,9 @@ by where it stands (navigation, forms, adverts and the like are bad), its link
 density, its length and its density of stop words; what these leave open, short
 blocks above all, stays undecided.  Pass two gives an undecided block the label of
 its nearest decided neighbours (of the same article where the page has one).
-Inside an article's own container nothing is dropped for its wording alone.
+An article's container is a prior: inside it few stop words, or a short link by
+itself, leave a block open instead of making it bad; outside it, where the page has one, a block is good only
+if it is long and dense in stop words, and a short one is bad.
 
 Character references are decoded, white space in a block becomes one space, blocks
 are trimmed and joined in page order by one space.  Null counts as empty and gives
@@ -158,18 +160,24 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> list[Block]:
     has_article = any(b.article and not b.barred for b in found)
-    for b in found:
+    linked = [b.link_chars / max(1, len(b.text.replace(" ", ""))) > LINKS_HIGH for b in found]
+    for i, b in enumerate(found):
         size = len(b.text)
-        density = b.link_chars / max(1, len(b.text.replace(" ", "")))
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.barred or has_article and not b.article:
+        if b.barred:
             b.label = "bad"
+        elif b.article and linked[i]:
+            # A short one by itself, such as a linked headline, stays open.
+            if size >= SHORT or any(linked[k] and found[k].article == b.article for k in (i - 1, i + 1) if 0 <= k < len(found)):
+                b.label = "bad"
         elif b.article:
-            if density <= LINKS_HIGH and size >= SHORT and stops >= STOP_LOW:
+            if size >= SHORT and stops >= STOP_LOW:
                 b.label = "good"
-        elif density > LINKS_HIGH or "\xa9" in b.text or b.text.startswith("&copy"):
+        elif linked[i] or "\xa9" in b.text or b.text.startswith("&copy"):
             b.label = "bad"
+        elif has_article:
+            b.label = "good" if size > LONG and stops >= STOP_HIGH else "bad"
         elif size >= SHORT:
             if stops >= STOP_HIGH or size > LONG and stops >= STOP_LOW:
                 b.label = "good"
