@@ -142,3 +142,12 @@ def test_exploration(spark):
     assert [r["n"] for r in h] == [1, 1, 1]
     assert explore.describe(df, ["word_count"]).first()["p50"] == 1.0
     assert explore.sample(df, 2).count() == 2
+
+
+@pytest.mark.parametrize("algorithm", tokenizer.ALGORITHMS)
+def test_queries_train_on_pieces_met_once(spark, tmp_path, algorithm):
+    from textloom.plans import token_queries
+
+    spark.createDataFrame([(1, "same same words words Ω")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vocab = token_queries.model(spark, str(tmp_path), algorithm).vocab
+    assert set(tokenizer.to_bytes_alphabet("Ω") if algorithm == "bpe" else "Ω") <= set(vocab)

@@ -35,8 +35,8 @@ def byte_pretokens(spark, sf_dir):
 
 
 def model(spark, sf_dir, algorithm, size=1000):
-    """Trained on all texts; words met once are left to the learnt parts."""
-    return tokenizer.train(docs(spark, sf_dir), algorithm, size, min_piece_count=2)
+    """Trained on all pieces of all texts."""
+    return tokenizer.train(docs(spark, sf_dir), algorithm, size)
 
 
 @register("bpe_vocab")
