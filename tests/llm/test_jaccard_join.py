@@ -84,3 +84,10 @@ def test_least_overlap():
             least = next((k for k in range(min(n, m) + 1) if 100 * k >= 90 * (n + m - k)), None)
             if least is not None:
                 assert jaccard_join.least_overlap(n, m) == least
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "e f g h")], "doc_id long, text string")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d"), (None, "a b c d"), (None, "e f g h")]

@@ -26,7 +26,8 @@ where a link could change nothing.  Nothing is capped.
 Rows with a null or wordless text link with nothing and are their own component;
 rows with fewer words than a shingle have the whole sequence as their one shingle;
 repeated rows are one class; whole texts are read; an empty table gives an empty
-result; further columns are ignored.  ``doc_id`` must be unique and not null.
+result; further columns are ignored.  ``doc_id`` must be unique and, but for
+``one_of_each``, not null.
 """
 
 from __future__ import annotations
@@ -289,9 +290,11 @@ def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """All columns of the document with the smallest id of each component."""
-    kept = link_classes(docs, k, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(common.store(kept, f"{common.shared_dir(docs.sparkSession)}/kept"), "doc_id", "left_semi")
+    """All columns of the document with the smallest id of each component; rows without an id stay."""
+    named = docs.where("doc_id is not null")
+    kept = link_classes(named, k, percent).where("doc_id = component_id").select("doc_id")
+    kept = named.join(common.store(kept, f"{common.shared_dir(docs.sparkSession)}/kept"), "doc_id", "left_semi")
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
