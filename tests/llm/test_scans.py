@@ -149,6 +149,19 @@ def test_bounds_lose_no_passage_above_the_threshold():
         assert got == brute and k in got
 
 
+def test_an_item_without_a_question_may_differ_anywhere():
+    """Any one word may be altered while OVERLAP of the whole item's shingles stand; two parts of a question may not."""
+    words = [f"w{i}" for i in range(40)]
+    index = decontaminate.build([(7, " ".join(words)), *((i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(20, 40))])
+    for at in range(40):
+        edited = " ".join([*words[:at], "other", *words[at + 1 :]])
+        assert [m[0] for m in decontaminate.matches(index, "before " * 50 + edited + " after" * 50)] == [7]
+    far = " ".join("other" if i in (10, 20, 30) else w for i, w in enumerate(words))  # 21 of 36 shingles stand
+    assert decontaminate.matches(index, far) == []
+    question = decontaminate.build([(7, " ".join(words[:30]) + "? " + " ".join(words[30:]))])
+    assert decontaminate.matches(question, " ".join(words)) and decontaminate.matches(question, " ".join([*words[:35], "other", *words[36:]])) == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Site</a> name</header><nav><ul><li><a href="/a">One</a></li></ul></nav><!-- c --><div class="ad">Buy the best of all things.</div>
 <div class="cookie-notice">We use cookies for the good of the site.</div><aside>Related of the day</aside>

@@ -7,7 +7,8 @@ in each block.  A passage (two strides of words, overlapping by one) reaches the
 items of a block only if its block maxima reach the threshold: the pivot test of
 block-max WAND, made for all passages of a document at once.  What is retrieved at or
 above THRESHOLD is verified: of the five-word shingles of both the question and the
-answer part of the item, OVERLAP must stand in the passage.
+answer part of the item, OVERLAP must stand in the passage.  Where no question mark
+parts them, OVERLAP of the shingles of the whole item are enough.
 
 The index's size is checked: INDEX_CHARS of item text at most are broadcast at once;
 a larger benchmark is taken in several passes by item hash, none left out.
@@ -46,10 +47,16 @@ def words_of(text: str) -> np.ndarray:
     return common.word_hashes(text.lower().encode("utf-8", "surrogatepass").translate(_PART))
 
 
+def asked(text: str) -> int:
+    """Where a question ends that an answer follows; 0 if nowhere."""
+    cut = text.rfind("?") + 1
+    return cut if cut and words_of(text[:cut]).size and words_of(text[cut:]).size else 0
+
+
 def parts_of(text: str) -> tuple[str, str]:
     """Question and answer: parted after the last question mark, else at two thirds of the words."""
-    cut = text.rfind("?") + 1
-    if cut and words_of(text[:cut]).size and words_of(text[cut:]).size:
+    cut = asked(text)
+    if cut:
         return text[:cut], text[cut:]
     ends = [m.end() for m in re.finditer(r"\S+", text)]
     cut = ends[max(0, 2 * len(ends) // 3 - 1)] if len(ends) > 1 else len(text)
@@ -63,6 +70,7 @@ class Item:
     shares: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    whole: np.ndarray | None  # shingles of an item that no question mark parts
 
 
 @dataclass
@@ -123,7 +131,8 @@ def build(items: list[tuple[int, str | None]]) -> Index:
         item_common[k] = share[~rare[at]].sum()
         block_common[b] = max(block_common[b], item_common[k])
         shingles = [np.unique(common.window_hashes(words_of(p), SHINGLE)) for p in parts_of(text)]
-        out.append(Item(i, terms, share, *shingles))
+        whole = None if asked(text) else np.unique(common.window_hashes(words, SHINGLE))
+        out.append(Item(i, terms, share, *shingles, whole))
         stride = max(stride, len(words))
     block_entries = [(t, b, s) for (t, b), s in block_best.items()]
     return Index(out, looked_up, postings(len(looked_up), block_entries), postings(len(looked_up), entries), block_common, item_common, stride)
@@ -184,7 +193,8 @@ def matches(index: Index, text: str) -> list[tuple[int, float, float, float]]:
                 continue
             have = np.unique(common.window_hashes(passage, SHINGLE)) if have is None else have
             q, a = overlap(item.question, passage, have), overlap(item.answer, passage, have)
-            if q >= OVERLAP and a >= OVERLAP and score > best.get(k, (0, -1.0))[1]:
+            found = q >= OVERLAP and a >= OVERLAP or item.whole is not None and overlap(item.whole, passage, have) >= OVERLAP
+            if found and score > best.get(k, (0, -1.0))[1]:
                 best[k] = (item.id, score, q, a)
     return [best[k] for k in sorted(best)]
 
