@@ -1,37 +1,96 @@
-"""Durable intermediate tables in the folder that all executors share."""
+"""Durable intermediate tables in the folder that all executors share, and their removal.
+
+A folder comes from ``shared_dir``; the session remembers it until it is removed.  A
+result that is still to be read keeps its tables until ``release`` (called when the
+program ends); what only an operator's own steps read goes when its block of
+``temporary`` ends, also when a step fails.
+"""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders this program has made and not removed, in order.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Where that is not set, one process alone (master ``local[...]``) takes its temporary
+    folder; on a cluster, where executors don't share it, this is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_at_exit, spark)
+    _made.append(f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back: cuts the lineage durably."""
     schema = df.schema
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Folders made inside the block are removed when it ends or fails, but for ``keep``."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before and p not in keep]:
+            remove(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all folders; results that read them must have been used."""
+    for path in list(_made):
+        remove(spark, path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the session has ended before: nothing can be removed any more
+        _made.clear()
+
+
 #: Bytes of plan size below which a table is dealt out again before costly work on its texts.
 SMALL_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores.
+    """A small table over all cores; changes the layout, never a result.
 
     A small file is often one row group, which one task would read and then work on
     alone.  The optimizer's size estimate decides: a large table has splits enough and
     is left as it is, so this never shuffles much.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2) if size < SMALL_BYTES else df
+    plan = getattr(df, "_jdf", None)  # a remote session has none: left as it is
+    if plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
