@@ -7,7 +7,6 @@ keeps state that a lost executor would need: workers rebuild their caches lazily
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.storage import remove, shared_dir, store, temporary  # noqa: F401  for this package's operators
+
 #: Rows in an Arrow batch.  Texts are long; a small batch bounds a worker's memory.
 ARROW_ROWS = 512
 #: Bytes of text handled at once inside a worker (a single longer text stands alone).
@@ -26,8 +27,13 @@ _WS_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def tune(spark: SparkSession) -> None:
-    """Settings every operator of this package wants; none changes a result."""
+    """Settings every operator of this package wants; none changes a result.
+
+    They stay set in the session: plans are made lazily, when its action runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # Long texts: a batch also ends at so many bytes, before it reaches a worker.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     # Shuffle files go when the query that wrote them has ended, not at some later GC.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
@@ -36,30 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder (set one only where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, path: str) -> DataFrame:
-    """Write a table to shared storage and read it back: cuts the lineage durably."""
-    schema = df.schema
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (id, text): extra columns, whatever their names, never reach a worker."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

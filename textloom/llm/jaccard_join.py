@@ -26,8 +26,8 @@ where a link could change nothing.  Nothing is capped.
 Rows with a null or wordless text link with nothing and are their own component;
 rows with fewer words than a shingle have the whole sequence as their one shingle;
 repeated rows are one class; whole texts are read; an empty table gives an empty
-result; further columns are ignored.  ``doc_id`` must be unique and, but for
-``one_of_each``, not null.
+result; further columns are ignored.  ``link_classes`` wants ids that are not null and
+answers each row; ``one_of_each`` says what it does with null and repeated ids.
 """
 
 from __future__ import annotations
@@ -232,11 +232,8 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
 # ---------------------------------------------------------------- join
 
 
-def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+def _linked(docs: DataFrame, path: str, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    common.tune(spark)
-    path = common.shared_dir(spark)
     cut = common.id_text(docs, id_col, text_col)
     every = common.store(prefixes(cut, sketch(cut, k), k, percent), f"{path}/prefixes")
     some = every.where("n > 0")
@@ -270,6 +267,7 @@ def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col
     # All candidates between different components.
     live = live.join(tied.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("lead")
     live = common.store(live, f"{path}/parts")
+    common.remove(spark, f"{path}/joined")
     split = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = common.store(live.join(split, "token", "left_semi"), f"{path}/open")
     x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "matches", "pos", "before", "component")))
@@ -279,23 +277,42 @@ def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col
     pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("asked")).where("shared >= asked")
     more = common.store(verified(cut, common.store(pairs.select("a", "b"), f"{path}/pairs"), k, percent, f"{path}/sets2"), f"{path}/more")
     final = components(spark, links.union(more), f"{path}/final")
-    for done in ("posts", "joined", "live", "leads", "links", "sets", "tied", "parts", "open", "pairs", "sets2", "more"):
-        common.remove(spark, f"{path}/{done}")  # the result reads only prefixes, classes and final
 
     named = classes.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    common.remove(spark, f"{path}/live")
     filled = some.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component")
     alone = every.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return filled.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """All columns of the document with the smallest id of each component; rows without an id stay."""
+    """All columns of the document with the smallest id of each component.
+
+    Rows without an id stay.  Of rows with the same id and text one stays; rows with the
+    same id and different texts are kept or dropped together.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    path = common.shared_dir(spark)
     named = docs.where("doc_id is not null")
-    kept = link_classes(named, k, percent).where("doc_id = component_id").select("doc_id")
-    kept = named.join(common.store(kept, f"{common.shared_dir(docs.sparkSession)}/kept"), "doc_id", "left_semi")
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    with common.temporary(spark, path):
+        kept = link_classes(named, k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+        kept = common.store(kept, path)
+    once = named.join(kept, "doc_id", "left_semi").select(columns)
+    repeated = kept.where("rows > 1")
+    if repeated.limit(1).count():
+        once = once.join(repeated, "doc_id", "left_anti").union(once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(columns)
+    return once.union(docs.where("doc_id is null"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(common.table(spark, sf_dir, "documents"))
+def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every document; all tables but this one are removed."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    path = common.shared_dir(spark)
+    with common.temporary(spark, path):
+        return common.store(_linked(docs, common.shared_dir(spark), k, percent, id_col, text_col), path)
+
+
