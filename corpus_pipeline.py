@@ -59,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    path = common.shared_dir(spark)
-    for name, stage in STAGES:
-        docs = common.store(stage(spark, docs, sf_dir), f"{path}/{name}")
+    """The last stage's rows; what the stages and the steps between them have stored is removed."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = common.shared_dir(spark)
+        with common.temporary(spark):
+            docs = common.store(stage(spark, docs, sf_dir), path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs
