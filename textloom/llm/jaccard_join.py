@@ -17,6 +17,10 @@ shared shingle, what stood before it limits the overlap: at most the live ones
 before it can be shared, so ``min(live before) + 1 + min(left after)`` must reach the
 overlap that the two sizes demand.
 
+Every set has a parity bitmap of BITMAP bits: two sets whose bitmaps differ in d bits
+differ in d shingles or more, so they share ``(n + m - d) / 2`` at most.  Pairs for which
+that is too few are never listed.
+
 Links.  Each class first meets, through each of its prefix shingles, the class with
 the fewest shingles before it there, and is verified against the best of them: this
 ties large groups of near copies together without all their pairs.  Then every
@@ -52,6 +56,9 @@ CELL_LOAD, MIN_BITS, MAX_BITS = 64, 12, 22
 COSTLY = 4
 #: Bits of the filter that picks the documents to read again (it may let others through): 2 MB.
 FILTER_BITS = 24
+#: Bits of a set's parity bitmap, in 64-bit lanes.
+BITMAP = 256
+LANES = [f"w{i}" for i in range(BITMAP // 64)]
 
 
 def shingles(text: str, k: int = WORDS) -> np.ndarray:
@@ -70,6 +77,12 @@ def prefix_size(n: int, percent: int, matches: int) -> int:
     return min(n, n - least + matches)
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The set's bitmap as signed 64-bit lanes: bit b says whether an odd number of hashes end in b."""
+    odd = (np.bincount((h & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 # ---------------------------------------------------------------- sketch
 
 
@@ -125,13 +138,13 @@ def prefix_of(h: np.ndarray, estimate: np.ndarray, costly: int, percent: int) ->
 
 
 def prefixes(cut: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, matches, prefix): size, digest and prefix of every document's set."""
+    """(id, n, d1, d2, matches, prefix, w0..): size, digest, prefix and bitmap of every document's set."""
     bits = len(cells).bit_length() - 1
     costly = max(2, COSTLY * int(np.ceil(cells.mean())))
     shipped = cut.sparkSession.sparkContext.broadcast(cells)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cells, n, d1, d2, matches, prefix = shipped.value, [], [], [], [], []
+        cells, n, d1, d2, matches, prefix, bitmap = shipped.value, [], [], [], [], [], []
         for t in common.texts(batch.column(1)):
             h = shingles(t, k)
             n.append(len(h))
@@ -141,10 +154,11 @@ def prefixes(cut: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFra
             p, m = prefix_of(h, cells[(h >> U64(64 - bits)).astype(np.int64)], costly, percent) if len(h) else (h, 0)
             matches.append(m)
             prefix.append(p.astype(np.int64))
-        kinds = {"id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "matches": pa.int32(), "prefix": pa.list_(pa.int64())}
-        return common.rows(kinds, id=batch.column(0), n=n, d1=d1, d2=d2, matches=matches, prefix=prefix)
+            bitmap.append(parity(h))
+        kinds = {"id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "matches": pa.int32(), "prefix": pa.list_(pa.int64()), **dict.fromkeys(LANES, pa.int64())}
+        return common.rows(kinds, id=batch.column(0), n=n, d1=d1, d2=d2, matches=matches, prefix=prefix, **dict(zip(LANES, np.array(bitmap).T, strict=True)))
 
-    return common.map_batches(cut, run, "id long, n long, d1 long, d2 long, matches int, prefix array<long>")
+    return common.map_batches(cut, run, "id long, n long, d1 long, d2 long, matches int, prefix array<long>, " + ", ".join(f"{w} long" for w in LANES))
 
 
 # ---------------------------------------------------------------- verification
@@ -238,7 +252,7 @@ def _linked(docs: DataFrame, path: str, k: int, percent: int, id_col: str, text_
     every = common.store(prefixes(cut, sketch(cut, k), k, percent), f"{path}/prefixes")
     some = every.where("n > 0")
     classes = common.store(
-        some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")),
+        some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), *(F.first(w).alias(w) for w in LANES)),
         f"{path}/classes",
     )
 
@@ -253,6 +267,7 @@ def _linked(docs: DataFrame, path: str, k: int, percent: int, id_col: str, text_
         live.join(ranks, "rep").select("token", "rep", "n", "matches", "pos", "lead", (F.array_position("alive", F.col("pos")) - 1).cast("int").alias("before")),
         f"{path}/live",
     )
+    common.remove(spark, f"{path}/joined")
 
     least = lambda n, m: F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
 
@@ -267,25 +282,34 @@ def _linked(docs: DataFrame, path: str, k: int, percent: int, id_col: str, text_
     # All candidates between different components.
     live = live.join(tied.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("lead")
     live = common.store(live, f"{path}/parts")
-    common.remove(spark, f"{path}/joined")
+    common.remove(spark, f"{path}/live")
     split = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = common.store(live.join(split, "token", "left_semi"), f"{path}/open")
-    x = open_.select("token", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "matches", "pos", "before", "component")))
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "matches", "pos", "before", "component")))
+    open_ = live.join(split, "token", "left_semi").join(classes.select("rep", *LANES), "rep")
+    open_ = common.store(open_, f"{path}/open")
+    x, y = (open_.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "matches", "pos", "before", "component", *LANES))) for side in "xy")
+    apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in LANES), F.lit(0))
     reach = F.least("x_before", "y_before") + 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    pairs = x.join(y, (x.token == y.token) & (x.x_rep < y.y_rep) & (x.x_component != y.y_component) & (reach >= least(F.col("x_n"), F.col("y_n"))))
+    pairs = x.join(y, (x.token == y.token) & (x.x_rep < y.y_rep) & (x.x_component != y.y_component) & (reach >= least(F.col("x_n"), F.col("y_n"))) & (F.col("x_n") + F.col("y_n") - apart >= 2 * least(F.col("x_n"), F.col("y_n"))))
     pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("asked")).where("shared >= asked")
     more = common.store(verified(cut, common.store(pairs.select("a", "b"), f"{path}/pairs"), k, percent, f"{path}/sets2"), f"{path}/more")
     final = components(spark, links.union(more), f"{path}/final")
 
     named = classes.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    common.remove(spark, f"{path}/live")
     filled = some.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component")
     alone = every.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return filled.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every document; all tables but this one are removed."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    path = common.shared_dir(spark)
+    with common.temporary(spark, path):
+        return common.store(_linked(docs, common.shared_dir(spark), k, percent, id_col, text_col), path)
+
+
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All columns of the document with the smallest id of each component.
 
@@ -307,12 +331,3 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_classes(common.table(spark, sf_dir, "documents"))
-def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document; all tables but this one are removed."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    path = common.shared_dir(spark)
-    with common.temporary(spark, path):
-        return common.store(_linked(docs, common.shared_dir(spark), k, percent, id_col, text_col), path)
-
-
