@@ -1,18 +1,27 @@
 """HTML extraction: two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass one labels a block good or bad
-by where it stands (navigation, forms, adverts and the like are bad), its link
-density, its length and its density of stop words; what these leave open, short
-blocks above all, stays undecided.  Pass two gives an undecided block the label of
-its nearest decided neighbours (of the same article where the page has one).
-An article's container is a prior: inside it few stop words, or a short link by
-itself, leave a block open instead of making it bad; outside it, where the page has one, a block is good only
-if it is long and dense in stop words, and a short one is bad.
+A page is cut into blocks at block-level tags.
+
+Pass one labels blocks by their text: link density, length and density of stop words.
+Where a block stands is one feature more.  Boxes that are known not to be the article's
+text (navigation, forms, adverts, comments and the like) are bad and say nothing of
+what is beside them.  In an article, link blocks are bad, long or fairly long blocks
+dense in stop words are good, and all others stay open: few stop words alone drop
+nothing there.  Outside the articles of a page that has some, only long blocks dense in
+stop words are good.  On a page without, long and dense ones are good, blocks without
+stop words and link blocks bad, and short ones open.
+
+Pass two: an open block takes the label of its nearest decided neighbours, good or bad:
+those in the same element if there are any, else those of its own article (or of those
+outside); good where equally near ones differ.  Without a decided neighbour it is good in
+an article and bad outside.
 
 Character references are decoded, white space in a block becomes one space, blocks
 are trimmed and joined in page order by one space.  Null counts as empty and gives
-an empty text; broken markup never fails; whole pages are read; an empty table
-gives an empty result; repeated rows give repeated results.
+an empty text; broken markup never fails and takes linear time; an element that is
+never closed hides the rest of the page only if its content is raw text (script, style
+and the like); whole pages are read; an empty table gives an empty result; repeated
+rows give repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +41,18 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Elements whose content is never text of the page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "option", "video", "audio", "canvas", "noembed", "noframes", "xmp"}
+#: Elements of raw text: without an end they go on to the end of the page.
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+#: Elements whose content is not text of the page, where they are closed.
+HIDDEN = {"noscript", "template", "svg", "math", "object", "select", "video", "audio", "canvas"}
 #: Containers that are never the article's text.
 BAD = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN = {"article", "main"}
 #: Elements that can hold blocks and so are kept on the stack.
 HOLD = BAD | MAIN | {"header", "section", "div", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "blockquote", "details", "center", "body", "html", "head"}
-BLOCK = HOLD | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "address", "hr", "summary", "legend", "label"}
+BLOCK = HOLD | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "address", "hr", "summary", "legend", "label", "option"}
 SELF = {"hr"}
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that mark a box that is not the article's text.
 HINTS = set(
     "ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus submenu "
     "sidebar aside breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert "
@@ -60,12 +71,16 @@ LONG, SHORT = 200, 70
 STOP_HIGH, STOP_LOW, LINKS_HIGH = 0.30, 0.15, 0.4
 
 
+ROOT = ("", False, 0, 0)
+
+
 @dataclass
 class Block:
     text: str
     link_chars: int
     article: int  # number of the article container it stands in, 0 outside
     barred: bool
+    parent: int  # number of the innermost container
     label: str = ""  # good, bad, or empty while undecided
 
 
@@ -86,18 +101,19 @@ def hinted(attributes: str, inside: bool) -> bool:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # (tag, barred, article number)
+    stack: list[tuple[str, bool, int, int]] = []  # (tag, barred, article number, own number)
     pieces: list[str] = []
     links = [0, 0]  # link characters in this block, open links
     own = False  # whether this block's own tag bars it
-    articles = 0
+    articles = numbers = 0
+    unclosed: set[str] = set()  # elements that are closed nowhere further on
 
     def end_block() -> None:
         nonlocal own
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            _, barred, article = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, links[0], article, barred or own))
+            _, barred, article, parent = stack[-1] if stack else ROOT
+            out.append(Block(text, links[0], article, barred or own, parent))
         pieces.clear()
         links[0], own = 0, False
 
@@ -127,16 +143,21 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 end_block()
-                if tag in HOLD and any(t == tag for t, _, _ in stack):
+                if tag in HOLD and any(t == tag for t, *_ in stack):
                     while stack.pop()[0] != tag:
                         pass
                     links[1] = 0
             elif tag == "a":
                 links[1] = 0
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else at if m[3].rstrip().endswith("/") else len(page)
+        if tag in RAW or tag in HIDDEN:
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(tag)
+                if tag in RAW and not m[3].rstrip().endswith("/"):
+                    at = len(page)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -144,14 +165,15 @@ def blocks(page: str) -> list[Block]:
             links[1] = 1
         elif tag in BLOCK:
             end_block()
-            _, barred, article = stack[-1] if stack else ("", False, 0)
+            _, barred, article, _ = stack[-1] if stack else ROOT
             free = tag in MAIN or tag in ("html", "body")
-            bad = not free and (tag in BAD or tag == "header" and not article or hinted(m[3], bool(article)))
+            bad = not free and (tag in BAD or tag == "header" and not article or tag == "option" or hinted(m[3], bool(article)))
             if tag in HOLD:
                 if tag in MAIN and not article:
                     articles += 1
                     article = articles
-                stack.append((tag, barred or bad, article))
+                numbers += 1
+                stack.append((tag, barred or bad, article, numbers))
             elif tag not in SELF:
                 own = bad
     end_block()
@@ -159,17 +181,19 @@ def blocks(page: str) -> list[Block]:
 
 
 def classify(found: list[Block]) -> list[Block]:
+    """Pass one; open blocks are then labelled by pass two."""
     has_article = any(b.article and not b.barred for b in found)
     linked = [b.link_chars / max(1, len(b.text.replace(" ", ""))) > LINKS_HIGH for b in found]
     for i, b in enumerate(found):
+        if b.barred:
+            b.label = "bad"
+            continue
         size = len(b.text)
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.barred:
-            b.label = "bad"
-        elif b.article and linked[i]:
-            # A short one by itself, such as a linked headline, stays open.
-            if size >= SHORT or any(linked[k] and found[k].article == b.article for k in (i - 1, i + 1) if 0 <= k < len(found)):
+        if b.article and linked[i]:
+            # A short link by itself, such as a linked headline, stays open.
+            if size >= SHORT or any(linked[k] and not found[k].barred and found[k].article == b.article for k in (i - 1, i + 1) if 0 <= k < len(found)):
                 b.label = "bad"
         elif b.article:
             if size >= SHORT and stops >= STOP_LOW:
@@ -190,45 +214,42 @@ def classify(found: list[Block]) -> list[Block]:
 
 
 def inherit(found: list[Block]) -> None:
-    """Undecided blocks take the label of the nearer decided neighbour; good if equally near ones differ.
+    """Pass two: labels of open blocks from the nearest decided ones; boxes don't count."""
+    rest = [b for b in found if not b.barred]
 
-    In an article only its own blocks count, and without a decided one all are good;
-    outside, without a decided neighbour a block is bad.
-    """
-    def nearest(order) -> dict[int, tuple[int, str]]:
+    def nearest(order, key) -> dict[int, tuple[int, str]]:
         near, last = {}, {}
         for i in order:
-            b = found[i]
-            if b.label and not (b.article and b.label == "bad"):
-                last[b.article] = (i, b.label)
-            elif not b.label and b.article in last:
-                near[i] = last[b.article]
+            b = rest[i]
+            if b.label:
+                last[key(b)] = (i, b.label)
+            elif key(b) in last:
+                near[i] = last[key(b)]
         return near
 
-    before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
-    for i in [i for i, b in enumerate(found) if not b.label]:
-        options = [x for x in (before.get(i), after.get(i)) if x]
-        if not options:
-            found[i].label = "good" if found[i].article else "bad"
-            continue
-        distance = min(abs(i - j) for j, _ in options)
-        labels = {label for j, label in options if abs(i - j) == distance}
-        found[i].label = "good" if "good" in labels else "bad"
+    both = range(len(rest)), range(len(rest) - 1, -1, -1)
+    sides = [[nearest(order, key) for order in both] for key in (lambda b: b.parent, lambda b: b.article)]
+    for i in [i for i, b in enumerate(rest) if not b.label]:
+        options = next((o for o in ([(abs(i - x[0]), x[1]) for x in (side.get(i) for side in pair) if x] for pair in sides) if o), [])
+        if options:
+            rest[i].label = "good" if (min(options)[0], "good") in options else "bad"
+        else:
+            rest[i].label = "good" if rest[i].article else "bad"
 
 
 def main_text(page: str) -> str:
     return " ".join(b.text for b in classify(blocks(page)) if b.label == "good")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, n_chars) of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(id, url, text, n_chars) of every page."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [main_text(t) for t in common.texts(batch.column(1))]
         return common.rows({"id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_chars": pa.int64()}, id=batch.column(0), url=batch.column(2), text=got, n_chars=[len(t) for t in got])
 
-    cut = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("text"), F.col("url").cast("string").alias("url"))
-    return common.map_batches(cut, run, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    cut = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("text"), F.col(url_col).cast("string").alias("url"))
+    return common.map_batches(cut, run, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
