@@ -1,6 +1,9 @@
 import base64
+import collections
 import hashlib
 import html
+import html.parser
+import math
 import random
 import re
 
@@ -124,29 +127,102 @@ def test_decontamination_finds_items_and_nothing_else(spark, table):
     clean = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert clean == set(range(120)) - {d for d, _ in want}
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
-    parts = decontaminate.passes(bench, limit=3000)
+    parts = list(decontaminate.passes(bench, limit=3000))
     assert len(parts) > 2 and sum(len(p.items) for p in parts) == 62
 
 
-def test_bounds_lose_no_passage_above_the_threshold():
-    rng = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(80)] + ["the"] * 40
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 30)))) for i in range(40)]
+def plain_matches(items, text):
+    """Items found in a text, by the words of the contract alone: every passage against every item."""
+    words = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", t.lower()) if w]
+    docs = {i: words(t) for i, t in items if t and words(t)}
+    seen = collections.Counter(w for d in docs.values() for w in set(d))
+    n, mean = len(docs), sum(map(len, docs.values())) / max(1, len(docs))
+    stride = max([32, *map(len, docs.values())])
+
+    def weights(d):
+        tf = collections.Counter(d)
+        raw = {w: math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / mean)) for w, c in tf.items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    grams = lambda d: {tuple(d[i : i + 5]) for i in range(len(d) - 4)} if len(d) >= 5 else {tuple(d)}
+
+    def share(part, passage):
+        have = {tuple(passage[i : i + k]) for k in {*map(len, grams(part))} for i in range(len(passage) - k + 1)}
+        return len(grams(part) & have) / len(grams(part))
+
+    w, out = words(text), {}
+    for i, t in items:
+        if i not in docs:
+            continue
+        d, weight = docs[i], weights(docs[i])
+        cut = t.rfind("?") + 1
+        parted = bool(cut and words(t[:cut]) and words(t[cut:]))
+        if not parted:
+            ends = [m.end() for m in re.finditer(r"\S+", t)]
+            cut = ends[max(0, 2 * len(ends) // 3 - 1)] if len(ends) > 1 else len(t)
+        for p in range(0, len(w), stride):
+            passage = w[p : p + 2 * stride]
+            score = sum(x for v, x in weight.items() if v in passage)
+            if score < 0.5:
+                continue
+            sides = [share(words(x), passage) if words(x) else 1.0 for x in (t[:cut], t[cut:])]
+            if min(sides) >= 0.8 or not parted and share(d, passage) >= 0.8:
+                out[i] = max(out.get(i, 0), score)
+    return out
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_decontamination_equals_all_passages_against_all_items(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(80)] + ["the"] * 40 + ["of"] * 20
+    some = lambda a, b: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(a, b)))
+    items = [(i, some(1, 30) + ("? " + some(1, 9) if i % 3 == 0 else "")) for i in range(60)]
     index = decontaminate.build(items)
-    for _ in range(150):
-        k = rng.randrange(40)
-        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 200))]
-        words[len(words) // 2 : len(words) // 2] = items[k][1].split()
-        got = {m[0] for m in decontaminate.matches(index, " ".join(words))}
-        hashes = decontaminate.words_of(" ".join(words))
-        brute = set()
-        for item in index.items:
-            for p in range(-(-len(hashes) // index.stride)):
-                passage = hashes[p * index.stride : (p + 2) * index.stride]
-                have = np.unique(decontaminate.common.window_hashes(passage, 5))
-                if item.shares[np.isin(item.terms, passage)].sum() >= decontaminate.THRESHOLD and all(decontaminate.overlap(x, passage, have) >= decontaminate.OVERLAP for x in (item.question, item.answer)):
-                    brute.add(item.id)
-        assert got == brute and k in got
+    found = 0
+    for _ in range(120):
+        words = some(0, 300).split()
+        for k in rng.sample(range(60), rng.randint(0, 3)):
+            t = items[k][1].split()
+            if rng.random() < 0.5:
+                t[rng.randrange(len(t))] = "other"
+            words[len(words) // 2 : len(words) // 2] = t
+        want = plain_matches(items, " ".join(words))
+        got = {m[0]: m[1] for m in decontaminate.matches(index, " ".join(words))}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        found += len(got)
+    assert found > 100
+
+
+def test_wand_retrieves_all_that_reach_the_threshold():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(25))) for i in range(800)]
+    index = decontaminate.build(items)
+    for _ in range(60):
+        query = rng.sample(range(len(index.terms)), 60)
+        terms = sorted({*query, *np.searchsorted(index.terms, index.items[rng.randrange(800)].terms).tolist()} & set(range(len(index.terms))))
+        got = decontaminate.wand(index, terms, 0.5)
+        total = np.array(index.common_item)
+        for t in terms:
+            a, b = index.first[t], index.first[t + 1]
+            np.add.at(total, index.item[a:b], index.share[a:b])
+        assert got == np.flatnonzero(total >= 0.5).tolist() and got
+
+
+def test_scores_do_not_depend_on_the_number_of_passes(spark, table):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(200)] + ["the"] * 60
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40)))) for i in range(80)]
+    items += [(3, items[3][1]), (None, items[4][1] + " more"), (90, None), (91, " ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(items[rng.randrange(80)][1].split()[: rng.randint(5, 40)] + [rng.choice(vocabulary) for _ in range(60)]) for _ in range(60)] + [None, ""]
+    docs = table(texts)
+    size = sum(len(t or "") for _, t in items)
+    rows = lambda limit: sorted(map(tuple, decontaminate.find(docs, bench, limit=limit).collect()), key=str)
+    once = rows(10 * size)
+    assert len(once) > 20 and rows(size // 7) == once
+    left = lambda limit: {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench, limit=limit).collect()}
+    assert left(10 * size) == left(size // 7) == set(range(62)) - {r[0] for r in once}
 
 
 def test_an_item_without_a_question_may_differ_anywhere():
@@ -190,6 +266,144 @@ def test_an_article_container_is_a_prior():
     assert html_text.main_text(PAGE % f"<article><h1><a href=/>Head</a></h1><p>{prose}</p>{links}<p>End</p></article><p>Elsewhere</p>") == f"Head {prose} End"
 
 
+def test_the_text_of_blocks_decides_beside_the_tags():
+    """Tag rules alone (all unbarred text of the article) give another, worse text."""
+    prose = ("This is the text of the page, and it is about what is in it. " * 3).strip()
+    links = "".join(f"<p><a href=/{i}>Another of the pages of this site</a></p>" for i in range(4))
+    page = PAGE % f"<article><h1>Head</h1><p>{prose}</p><p>Short end.</p><div>{links}<p>More of it</p></div></article>"
+    by_tags = " ".join(b.text for b in html_text.blocks(page) if b.article and not b.barred)
+    assert "Another of the pages" in by_tags and "More of it" in by_tags
+    assert html_text.main_text(page) == f"Head {prose} Short end."
+    box = PAGE % f"<article><p>{prose}</p><p>One.</p><p>Two.</p><div class=ad>Buy this now</div></article>"
+    assert html_text.main_text(box) == f"{prose} One. Two."
+    bare = f"<body><div><a href=/>Start</a> <a href=/b>Shop</a></div><div>Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron</div><div>{prose}</div><div>So it is.</div></body>"
+    assert html_text.main_text(bare) == f"{prose} So it is."
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.HIDDEN))
+def test_an_unclosed_element_hides_nothing_else(tag):
+    assert html_text.main_text(f"<article><p>One</p><{tag}><p>Two</p><p>Three</p></article>").split()[-2:] == ["Two", "Three"]
+    assert html_text.main_text(f"<article><p>One</p><{tag}><p>Two</p></{tag}><p>Three</p></article>") == "One Three"
+    assert html_text.main_text("<article><p>One</p><script>x<p>Two</p></article>") == "One"
+
+
+class Plain(html.parser.HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser: (text, link characters, article, barred, element)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.out, self.text, self.linked, self.hidden, self.articles, self.count = [], [], "", "", 0, 0, 0
+        self.feed(page)
+        self.end()
+
+    def end(self):
+        if self.text.split():
+            article = max([a for _, _, a, _ in self.path], default=0)
+            self.out.append((" ".join(self.text.split()), len("".join(self.linked.split())), article, any(b for _, b, *_ in self.path), max([k for t, _, _, k in self.path if t not in ("p", "h2", "li", "b", "i", "a", "span", "g")], default=0)))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "svg", "select"):
+            self.hidden += 1
+        if tag not in ("b", "i", "a", "span", "script", "style", "svg", "select") and not self.hidden:
+            self.end()
+        if tag != "br":
+            number = 0
+            self.count += 1
+            if tag in ("article", "main") and not any(a for _, _, a, _ in self.path):
+                self.articles += 1
+                number = self.articles
+            inside = number or any(a for _, _, a, _ in self.path)
+            words = {w for k, v in attrs if k in ("class", "id") for w in re.split("[^a-z]+", v.lower())}
+            self.path.append((tag, tag in ("nav", "footer", "aside", "form") or tag == "header" and not inside or bool(words & {"ad", "comments", "sidebar", "cookie"}), number, self.count))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "svg", "select"):
+            self.hidden -= 1
+        if tag not in ("b", "i", "a", "span", "script", "style", "svg", "select") and not self.hidden:
+            self.end()
+        self.path.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+            if any(t == "a" for t, *_ in self.path):
+                self.linked += data
+
+
+def plain_text(page):
+    """The two passes said once more, block by block and without shared code."""
+    blocks = Plain(page).out
+    articles = any(a and not x for _, _, a, x, _ in blocks)
+
+    def links(k):
+        return blocks[k][1] > 0.4 * len(blocks[k][0].replace(" ", ""))
+
+    def first(k):
+        t, linked, article, barred, _ = blocks[k]
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        stops = len([w for w in words if w in html_text.STOP_WORDS]) / max(1, len(words))
+        if barred:
+            return "box"
+        if article:
+            if links(k):
+                row = [j for j in (k - 1, k + 1) if 0 <= j < len(blocks) and links(j) and blocks[j][2] == article and not blocks[j][3]]
+                return "bad" if len(t) >= 70 or row else None
+            return "good" if len(t) >= 70 and stops >= 0.15 else None
+        if links(k) or "\xa9" in t:
+            return "bad"
+        if articles:
+            return "good" if len(t) > 200 and stops >= 0.3 else "bad"
+        if len(t) < 70:
+            return "bad" if linked else None
+        return "good" if stops >= 0.3 or len(t) > 200 and stops >= 0.15 else "bad" if stops < 0.15 else None
+
+    labels = [first(k) for k in range(len(blocks))]
+    rest = [k for k, x in enumerate(labels) if x != "box"]
+    out = []
+    for n, k in enumerate(rest):
+        label = labels[k]
+        if label is None:
+            decided = [(abs(n - m), labels[j] != "good", j) for m, j in enumerate(rest) if labels[j] in ("good", "bad")]
+            near = sorted(x for x in decided if blocks[x[2]][4] == blocks[k][4]) or sorted(x for x in decided if blocks[x[2]][2] == blocks[k][2])
+            label = ("bad" if near[0][1] else "good") if near else "good" if blocks[k][2] else "bad"
+        if label == "good":
+            out.append(blocks[k][0])
+    return " ".join(out)
+
+
+def test_extraction_equals_the_plain_version_on_random_pages():
+    rng = random.Random(8)
+    stop, other = ["the", "of", "and", "is", "in"], ["alpha", "Beta,", "gamma.", "delta&amp;", "eta", "caf\xe9", "x &lt; y", "\xa9"]
+    words = lambda n, p: " ".join(rng.choice(stop if rng.random() < p else other) for _ in range(n))
+    inline = lambda t: rng.choice([t, t, f"<b>{t}</b>", f"<i>{t}</i> and <span>{t}</span>", f"<a href=/x>{t}</a>", f"see <a href='/y'>{t}</a>"])
+
+    def leaf():
+        t = inline(words(rng.choice([1, 2, 4, 9, 20, 60]), rng.choice([0, 0.1, 0.3, 0.6])))
+        return rng.choice([f"<p>{t}</p>", f"<h2>{t}</h2>", f"<ul><li>{t}</li><li>{inline(words(2, 0.1))}</li></ul>", f"<p>{t}<br>{t}</p>".replace("<br>", " "), "<script>var a = '<p>';</script>", f"<svg><g>{words(2, 0)}</g></svg>", t])
+
+    def tree(depth):
+        body = "".join(tree(depth - 1) if depth and rng.random() < 0.35 else leaf() for _ in range(rng.randint(1, 5)))
+        tag = rng.choice(["div", "div", "section", "article", "article", "main", "nav", "aside", "header", "footer", "form", 'div class="ad"', 'div id="x comments"', 'section class="post"'])
+        return f"<{tag}>{body}</{tag.split()[0]}>"
+
+    differs = 0
+    for _ in range(1500):
+        page = f"<html><body>{''.join(tree(2) for _ in range(rng.randint(1, 3)))}</body></html>"
+        got = html_text.main_text(page)
+        assert got == plain_text(page), page
+        differs += got != " ".join(b.text for b in html_text.blocks(page) if b.article and not b.barred)
+    assert differs > 200
+
+
+def test_repeated_and_very_long_pages(spark):
+    prose = "This is the text of the page, and it is about what is in it. " * 40
+    long = PAGE % ("<article>" + f"<p>{prose}</p>" * 400 + "</article>")
+    rows = [(1, "u", long), (1, "u", long), (None, None, long)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and {r["n_chars"] for r in got} == {len(" ".join([prose.strip()] * 400))} and len({r["text"] for r in got}) == 1
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(1)
     parts = ["<", ">", '"', "'", "<p>", "</p>", '<div class="ad">', "</div>", "<a href=x>", "</a>", "text ", "&amp;", "&#x41;", "<!--", "-->", "<script>", "</script>", "=", "<b", "/", "<br/>", "<article>", "</article>"]
