@@ -11,11 +11,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, k=3):
     sets, parent, inverted = {}, {}, collections.defaultdict(list)
     for i, t in rows:
         w = tuple(WORD.findall((t or "").translate(LOWER)))
-        sets[i] = set(zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else {w} if w else set()
+        sets[i] = {w[j : j + k] for j in range(len(w) - k + 1)} if len(w) >= k else {w} if w else set()
         parent[i] = i
         for s in sets[i]:
             inverted[s].append(i)
@@ -26,8 +26,8 @@ def brute(rows, percent=90):
         return x
 
     for i, mine in sets.items():
-        for j, k in collections.Counter(j for s in mine for j in inverted[s] if j < i).items():
-            if 100 * k >= percent * (len(mine) + len(sets[j]) - k):
+        for j, both in collections.Counter(j for s in mine for j in inverted[s] if j < i).items():
+            if 100 * both >= percent * (len(mine) + len(sets[j]) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(s), root(i)) for i, s in sets.items()}
@@ -91,3 +91,35 @@ def test_rows_without_an_id_stay(spark):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d"), (None, "a b c d"), (None, "e f g h")]
+
+
+def test_of_repeated_rows_one_stays(spark):
+    """One row of an id and text; rows of one id with different texts stand or fall together."""
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "e f g h"), (3, "e f g h"), (4, "p q r s"), (4, "t u v w"), (None, "a b c d")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d"), (3, "e f g h"), (4, "p q r s"), (4, "t u v w"), (None, "a b c d")], key=str)
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 60, 400, 3000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        x = np.unique(x)
+        apart = sum(int(a ^ b).bit_count() for a, b in zip(jaccard_join.parity(x).view(np.uint64), jaccard_join.parity(y).view(np.uint64), strict=True))
+        assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - apart) / 2
+
+
+def test_only_the_result_is_left_of_the_tables(spark):
+    import os
+
+    from textloom.operators import storage
+
+    storage.release(spark)
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    own = lambda d: [x for x in os.listdir(d) if x.startswith("textloom-")]
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3} g h i") for i in range(30)], "doc_id long, text string")
+    assert jaccard_join.link_classes(docs).count() == 30
+    assert len(own(base)) == 1
+    storage.release(spark)
+    assert own(base) == []
