@@ -19,7 +19,9 @@ lost executor harmless.
 
 Null texts count as empty and give the end id alone; repeated rows are written again;
 an empty table gives an empty result; whole texts are encoded; columns other than the
-id and the text are ignored.  Rows with a null id come first.
+id and the text are ignored.  Rows with a null id come first; those with the same id are
+in the order of their texts' hashes.  What a program has written under ``shared_dir`` goes
+when it ends (``storage.release``); a file that is to last gets a path of its own.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ SCALE, LOW = 18, 1 << 31
 LANES, BLOCK, CHECKPOINT = 1024, 1 << 18, 128
 #: Bytes of text at which a segment is closed (one longer document stands alone).
 SEGMENT = 6 << 20
-#: Characters of text in a part (one task's share of the ordered output).
-PART_CHARS = 16_000_000
+#: Characters of text in a part (one task's share of the ordered output), at least, and the
+#: most parts: beyond, parts grow with the input.  A part is sorted with spilling and leaves
+#: by segments, so its size does not bound memory.
+PART_CHARS, MAX_PARTS = 16_000_000, 20_000
 END_ID = 1
 
 
@@ -194,17 +198,19 @@ def vocabulary() -> str:
     return public.path("word_bpe_49k.json")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS, special_text: bool = False) -> DataFrame:
     """Write the token file and return its segments.  The text is shuffled once, into id order."""
     spark = docs.sparkSession
     common.tune(spark)
     tokenizer = tokenizer or vocabulary()
     cut = common.id_text(docs, id_col, text_col)
     chars = cut.agg(F.sum(F.length("text"))).first()[0] or 0
-    ordered = cut.repartitionByRange(max(1, -(-chars // part_chars)), "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
+    parts = min(MAX_PARTS, max(1, -(-chars // part_chars)))
+    cut = cut.withColumn("tie", F.xxhash64("text"))  # rows of one id can go to several parts
+    ordered = cut.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, number = word_pieces(tokenizer), 0
+        pieces, number = word_pieces(tokenizer, special_text), 0
         held: list[pa.RecordBatch] = []
         weight = 0
 
@@ -231,7 +237,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 
 def starts(segments: DataFrame) -> DataFrame:
-    """(part, segment, base): ids before each segment; sums by part first, so that no task sees all segments."""
+    """(part, segment, base): ids before each segment; sums by part first, so that no task sees more than MAX_PARTS rows or a part's segments."""
     sizes = segments.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     within = segments.select("part", "segment", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")).alias("within"))

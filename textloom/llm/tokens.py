@@ -135,18 +135,19 @@ def id_bytes(ids: list[int]) -> bytes:
 class WordPieces(Pieces):
     """For tokenizers that drop white space: pieces are what white space separates.
 
-    With ``encode_special_tokens`` the special tokens' strings in a text are text.
+    A special token's string in a text is that token, as the library has it, or with
+    ``special_text`` ordinary text.  Special tokens begin with ``<``.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_text
         super().__init__(tokenizer)
 
     def fold(self, stem: str) -> str:
-        return stem.lower() if stem.isascii() else stem
+        return stem.lower() if stem.isascii() and "<" not in stem else stem
 
     def single(self, stem: str) -> str | None:
         if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and unicodedata.is_normalized("NFC", stem) and stem.islower() and stem.lower() == stem):
@@ -189,8 +190,8 @@ class WordPieces(Pieces):
 
 
 @lru_cache(maxsize=4)
-def word_pieces(path: str) -> WordPieces:
-    return WordPieces(path)
+def word_pieces(path: str, special_text: bool = False) -> WordPieces:
+    return WordPieces(path, special_text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
