@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.storage import remove, shared_dir, store, temporary  # noqa: F401  for this package's operators
@@ -20,6 +20,8 @@ from textloom.operators.storage import remove, shared_dir, store, temporary  # n
 ARROW_ROWS = 512
 #: Bytes of text handled at once inside a worker (a single longer text stands alone).
 SLICE_BYTES = 4 << 20
+#: Bits of the filter that picks rows by id before they are shuffled: 2 MB.
+FILTER_BITS = 24
 
 U64 = np.uint64
 _WS_BYTES = np.zeros(256, bool)
@@ -71,6 +73,33 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield from slices(batch.slice(half))
 
 
+def filter_cell(id_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_col), 64 - FILTER_BITS)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that holds (a hash of) every id."""
+    bits = FILTER_BITS
+    cells = ids.select(filter_cell("id").alias("cell")).distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << (bits - 11), bool)
+        out[np.asarray(table["cell"]) & ((1 << (bits - 11)) - 1)] = True
+        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    parts = cells.withColumn("part", F.shiftright("cell", bits - 11).cast("int")).groupBy("part").applyInArrow(pack, "part int, bits binary").collect()
+    out = np.zeros((1 << 11, 1 << (bits - 11) >> 3), np.uint8)
+    for row in parts:
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(batch: pa.RecordBatch, bits: np.ndarray, cell_column: int) -> pa.RecordBatch:
+    """The rows whose cell is in the bit set: all wanted ids and, by chance, few others."""
+    cell = np.asarray(batch.column(cell_column))
+    return batch.take(pa.array(np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)))
+
+
 def texts(column: pa.Array) -> list[str]:
     """The whole texts; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

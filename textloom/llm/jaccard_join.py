@@ -54,8 +54,6 @@ MATCHES = 3
 CELL_LOAD, MIN_BITS, MAX_BITS = 64, 12, 22
 #: A shingle is costly when its estimate is so many times the mean cell.
 COSTLY = 4
-#: Bits of the filter that picks the documents to read again (it may let others through): 2 MB.
-FILTER_BITS = 24
 #: Bits of a set's parity bitmap, in 64-bit lanes.
 BITMAP = 256
 LANES = [f"w{i}" for i in range(BITMAP // 64)]
@@ -164,40 +162,18 @@ def prefixes(cut: DataFrame, cells: np.ndarray, k: int, percent: int) -> DataFra
 # ---------------------------------------------------------------- verification
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds (a hash of) every id."""
-    bits = FILTER_BITS
-    cells = ids.select((F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)).alias("cell")).distinct()
-
-    def pack(table: pa.Table) -> pa.Table:
-        out = np.zeros(1 << (bits - 11), bool)
-        out[np.asarray(table["cell"]) & ((1 << (bits - 11)) - 1)] = True
-        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
-
-    parts = cells.withColumn("part", F.shiftright("cell", bits - 11).cast("int")).groupBy("part").applyInArrow(pack, "part int, bits binary").collect()
-    out = np.zeros((1 << 11, 1 << (bits - 11) >> 3), np.uint8)
-    for row in parts:
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def sets_of(cut: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set): the whole sets of the given classes, from their texts.
 
     A bit set keeps all other texts from being hashed or shuffled.
     """
-    shipped = cut.sparkSession.sparkContext.broadcast(id_filter(ids))
+    shipped = cut.sparkSession.sparkContext.broadcast(common.id_filter(ids))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        cell = np.asarray(batch.column(2))
-        keep = np.flatnonzero(shipped.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-        if not len(keep):
-            return None
-        batch = batch.take(pa.array(keep))
+        batch = common.in_filter(batch, shipped.value, 2)
         return common.rows({"id": pa.int64(), "set": pa.binary()}, id=batch.column(0), set=[shingles(t, k).tobytes() for t in common.texts(batch.column(1))])
 
-    cells = cut.withColumn("cell", F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS))
-    return common.map_batches(cells, run, "id long, set binary").join(ids, "id", "left_semi")
+    return common.map_batches(cut.withColumn("cell", common.filter_cell("id")), run, "id long, set binary").join(ids, "id", "left_semi")
 
 
 def verified(cut: DataFrame, pairs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
