@@ -7,9 +7,18 @@ before the edit (a pre-token depends on what follows it by one character beyond
 neighbour at most) and ends as soon as a new border meets an old one after the edit
 (the pattern never looks back).  Then the sums above the changed leaves are updated.
 
-Null counts as empty; edits outside a text are clipped, and may not overlap; an
-empty table gives an empty result; repeated rows give repeated results; whole texts
-are read; further columns are ignored.
+Trees are kept: ``plant`` makes a table with the text, the leaves (a length and a token
+count for each pre-token) and the sums of every document; edits are a table of (id,
+start, end, replacement); ``recount`` takes both and gives the new counts, and the new
+trees where asked, for the next edits.  Documents without edits answer from their kept
+sums, and their texts are not shuffled.
+
+Null texts count as empty.  Edits count code points of the unedited text; those outside are
+clipped; of edits that overlap the first by start, end and replacement counts and the
+others are left out (``n_left_out``); edits with a null id, start or end, or of an unknown
+id, do nothing; a null replacement is empty.  Edits apply to all rows of their id; rows with
+a null id have none.  An empty table gives an empty result; repeated rows give repeated
+results; whole texts are read; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +27,10 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import common, secrets
 from textloom.llm.tokens import byte_pieces
@@ -62,10 +73,13 @@ def counter(ranks: str, pattern: str) -> Counter:
 class Tree:
     """Pre-token leaves under a binary tree of (characters, tokens, pre-tokens) sums."""
 
-    def __init__(self, text: str, count: Counter) -> None:
+    def __init__(self, text: str, count: Counter, leaves: tuple[list[int], list[int]] | None = None) -> None:
+        """A new tree, or one from its kept lengths and counts; then nothing is encoded."""
         self.text, self.count, self.reencoded = text, count, 0
-        tokens = count.pattern.findall(text)
-        self._plant([len(t) for t in tokens], count.counts(tokens))
+        if leaves is None:
+            tokens = count.pattern.findall(text)
+            leaves = [len(t) for t in tokens], count.counts(tokens)
+        self._plant(*leaves)
 
     def _plant(self, lengths: list[int], counts: list[int]) -> None:
         self.lengths = [lengths[i : i + LEAF] for i in range(0, len(lengths), LEAF)] or [[]]
@@ -191,32 +205,105 @@ def privacy_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def count_edited(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = privacy_edits, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens_before, n_edits, n_tokens, n_pretokens, n_reencoded) of every whole text.
+def pack(values: list[int]) -> bytes:
+    """Small integers in as many bytes each as the greatest needs; the first byte says how many."""
+    size = next(n for n in (1, 2, 4) if max(values, default=0) < 1 << 8 * n)
+    return bytes([size]) + np.array(values, f"<u{size}").tobytes()
 
-    ``edits`` gives the (start, end, replacement) edits of a text, by code points of
-    the unedited text, in order and without overlaps.
-    """
+
+def unpack(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist()
+
+
+TREE = {"id": pa.int64(), "text": pa.string(), "lengths": pa.binary(), "counts": pa.binary(), "n_tokens": pa.int64(), "n_pretokens": pa.int64()}
+TREE_DDL = "id long, text string, lengths binary, counts binary, n_tokens long, n_pretokens long"
+CHANGED = ["n_tokens_before", "n_edits", "n_left_out", "n_reencoded"]
+
+
+def kept(tree: Tree) -> dict:
+    lengths, counts = [x for r in tree.lengths for x in r], [x for r in tree.counts for x in r]
+    return {"text": tree.text, "lengths": pack(lengths), "counts": pack(counts), "n_tokens": tree.tokens, "n_pretokens": tree.pretokens}
+
+
+def _tokenizer(ranks: str | None, pattern: str | None) -> tuple[str, str]:
     from textloom.llm.byte_bpe import vocabulary
 
     default = vocabulary()
-    path, pattern = ranks or default[0], pattern or default[1]
-    names = ["n_tokens_before", "n_edits", "n_tokens", "n_pretokens", "n_reencoded"]
-    schema = {"id": pa.int64(), **{n: pa.int64() for n in names}}
+    return ranks or default[0], pattern or default[1]
+
+
+def plant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, text, lengths, counts, n_tokens, n_pretokens): a tree for every whole text; store it to keep it."""
+    place = _tokenizer(ranks, pattern)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count = counter(*place)
+        trees = [kept(Tree(t, count)) for t in common.texts(batch.column(1))]
+        return common.rows(TREE, id=batch.column(0), **{n: [t[n] for t in trees] for n in list(TREE)[1:]})
 
-    def one(text: str, count: Counter) -> tuple[int, ...]:
-        tree = Tree(text, count)
-        before, changes = tree.tokens, edits(text)
-        for a, b, new in reversed(changes):  # from the end, so that positions hold
-            tree.edit(a, b, new)
-        return before, len(changes), tree.tokens, tree.pretokens, tree.reencoded
+    return common.map_batches(common.id_text(docs, id_col, text_col), run, TREE_DDL)
+
+
+def ordered(edits: list[tuple[int, int, str]], size: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Clipped edits in order, without overlaps, and how many were left out for that."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, new in sorted((min(max(a, 0), size), min(max(a, b, 0), size), new) for a, b, new in edits):
+        if not out or a >= out[-1][1] and (a, b) != out[-1][:2]:
+            out.append((a, b, new))
+    return out, len(edits) - len(out)
+
+
+def recount(trees: DataFrame, edits: DataFrame, ranks: str | None = None, pattern: str | None = None, keep_trees: bool = False) -> DataFrame:
+    """(id, n_tokens_before, n_edits, n_left_out, n_tokens, n_pretokens, n_reencoded[, text, lengths, counts]).
+
+    ``trees`` as ``plant`` or this gives them; ``edits``: (id, start, end, replacement).
+    """
+    place = _tokenizer(ranks, pattern)
+    valid = edits.where("id is not null and start is not null and end is not null")
+    one = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("new"))
+    by_id = valid.groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list(one).alias("edits"))  # those of one text
+    shipped = trees.sparkSession.sparkContext.broadcast(common.id_filter(by_id.select("id")))
+    names = ["id", "text", "lengths", "counts", "n_tokens", "n_pretokens"]
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return common.in_filter(batch, shipped.value, 6).select(names)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count, out = counter(*place), []
+        for text, lengths, counts, changes in zip(*(batch.column(n).to_pylist() for n in ("text", "lengths", "counts", "edits")), strict=True):
+            tree = Tree(text, count, (unpack(lengths), unpack(counts)))
+            before = tree.tokens
+            changes, left_out = ordered([(c["start"], c["end"], c["new"]) for c in changes], len(text))
+            for a, b, new in reversed(changes):  # from the end, so that positions hold
+                tree.edit(a, b, new)
+            out.append(kept(tree) | dict(zip(CHANGED, (before, len(changes), left_out, tree.reencoded), strict=True)))
+        return common.rows(TREE | dict.fromkeys(CHANGED, pa.int64()), id=batch.column(0), **{n: [t[n] for t in out] for n in [*names[1:], *CHANGED]})
+
+    columns = ["id", "n_tokens_before", "n_edits", "n_left_out", "n_tokens", "n_pretokens", "n_reencoded", *["text", "lengths", "counts"] * keep_trees]
+    touched = common.map_batches(trees.select(*names, common.filter_cell("id").alias("cell")), near, TREE_DDL).join(by_id, "id")
+    changed = common.map_batches(touched, run, TREE_DDL + "".join(f", {n} long" for n in CHANGED))
+    same = trees.select(*(n for n in names if n in columns)).join(by_id.select("id"), "id", "left_anti")
+    same = same.withColumn("n_tokens_before", F.col("n_tokens")).withColumns({n: F.lit(0).cast("long") for n in CHANGED[1:]})
+    return changed.select(columns).union(same.select(columns))
+
+
+def edit_table(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = privacy_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, replacement): the edits a function finds in each text."""
+    schema = {"id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "replacement": pa.string()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count = counter(path, pattern)
-        rows = [one(t, count) for t in common.texts(batch.column(1))]
-        return common.rows(schema, id=batch.column(0), **dict(zip(names, zip(*rows, strict=True), strict=True)))
+        rows = [(i, *e) for i, t in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True) for e in edits(t)]
+        return common.rows(schema, **{n: [r[k] for r in rows] for k, n in enumerate(schema)})
 
-    return common.map_batches(common.id_text(docs, id_col, text_col), run, "id long, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
+    return common.map_batches(common.id_text(docs, id_col, text_col), run, "id long, start long, end long, replacement string")
+
+
+def count_edited(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = privacy_edits, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Trees of all texts, the table of their edits, and the counts after them: both tables are kept until ``release``."""
+    path = common.shared_dir(docs.sparkSession)
+    trees = common.store(plant(docs, id_col, text_col, ranks, pattern), f"{path}/trees")
+    found = common.store(edit_table(docs, edits, id_col, text_col), f"{path}/edits")
+    return recount(trees, found, ranks, pattern).withColumnRenamed("id", id_col)
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
