@@ -7,9 +7,10 @@ digits have no keyword: a run of k or more covers a multiple of k, so every k-th
 character is the anchor there.
 
 Kinds: assign, access, hex (the base); github and npm (tokens whose last six
-characters are the base-62 CRC-32 of the rest), jwt (a header that decodes to JSON
-with an algorithm), pem (a private key whose base64 body is one DER sequence of
-exactly the stated length).
+characters are the base-62 CRC-32 of the rest), jwt (no checksum, but a header that decodes
+to JSON with an algorithm), pem (a private key whose base64 body is one DER sequence of
+exactly the stated length, or in the OpenSSH format with lengths that fit, or, where
+headers say that it is encrypted, whole cipher blocks).
 
 Whole texts are scanned; null counts as empty; an empty table gives an empty
 result; repeated rows give repeated results; further columns are ignored.
@@ -39,7 +40,8 @@ HEX_RUN, ACCESS_RUN, ASSIGN_RUN = 24, 20, 6
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])", re.ASCII)
 NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])", re.ASCII)
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)", re.ASCII)
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[ \t\r]*\n?((?:[A-Za-z-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+OPENSSH = b"openssh-key-v1\0"
 KEYWORDS = {"password": 0, "passwd": 0, "secret": 0, "token": 0, "apikey": 0, "api_key": 0, "akia": 1, "ghp_": 3, "gho_": 3, "ghu_": 3, "ghs_": 3, "ghr_": 3, "npm_": 4, "eyj": 5, "-----begin ": 6}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -77,9 +79,13 @@ def checked_jwt(m: re.Match) -> bool:
 
 def checked_pem(m: re.Match) -> bool:
     try:
-        der = base64.b64decode("".join(m[2].split()), validate=True)
+        der = base64.b64decode("".join(m[3].split()), validate=True)
     except (ValueError, binascii.Error):
         return False
+    if "ENCRYPTED" in m[2]:
+        return len(der) > 0 and len(der) % 8 == 0
+    if der.startswith(OPENSSH):
+        return fits_openssh(der)
     if len(der) < 2 or der[0] != 0x30:
         return False
     if der[1] < 0x80:
@@ -88,6 +94,25 @@ def checked_pem(m: re.Match) -> bool:
     return 0 < n <= 4 and len(der) == 2 + n + int.from_bytes(der[2 : 2 + n], "big")
 
 
+def fits_openssh(raw: bytes) -> bool:
+    """Cipher, key derivation and its options, then as many public keys as stated and one private part."""
+    at, fields = len(OPENSSH), 3
+    while fields:
+        if at + 4 > len(raw):
+            return False
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+        fields -= 1
+    count = int.from_bytes(raw[at : at + 4], "big")
+    at += 4
+    if not 0 < count <= len(raw):
+        return False
+    for _ in range(count + 1):
+        if at + 4 > len(raw):
+            return False
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    return at == len(raw)
+
+
 RULES = {3: (GITHUB, checked_token), 4: (NPM, checked_token), 5: (JWT, checked_jwt), 6: (PEM, checked_pem)}
 
 
