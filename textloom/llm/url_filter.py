@@ -6,7 +6,7 @@ advance together, one symbol a step.  ``*`` matches any run, ``?`` any one symbo
 
 A canonical URL is ``host <bar> path``: the bar is a symbol of its own (code BAR)
 that no URL can contain, so a rule's host part never matches inside a path.  In a
-rule the bar is written as ``\\n``, and ``*`` in a host rule stops there.
+rule the bar is written as ``\\n`` (in files ``|``), and ``*`` in a host rule stops there.
 
 Nulls and URLs without ``://`` have an empty host and path and fit no rule of
 length 1 or more; repeated rows give repeated results; an empty table gives an
@@ -16,10 +16,12 @@ empty result; further columns are ignored; very long URLs are simulated whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import common
 
@@ -28,8 +30,26 @@ BAR = 0x110000  # beyond Unicode
 
 #: Host and path rules of the query: (host, path, verdict); a rule fits its host and subdomains.
 BASE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Globs over whole canonical URLs that decide where no host rule fits.
-GLOBS = ["*cheap-pills*\n*", "*casino-*\n*", "*free-bets*\n*", "*spam-farm*\n*", "ads-track.*\n*", "*.ads-track.*\n*"]
+#: Symbols of all rules together, at most: a bound of the masks and of a batch's states.
+MAX_SYMBOLS = 20_000
+
+
+def parse_globs(lines: list[str | None]) -> list[str]:
+    """Rules of a table or file: blank lines and comments (#) don't count; the bar is ``|`` there."""
+    found = [x.strip() for x in lines if x and x.strip() and not x.lstrip().startswith("#")]
+    if (size := sum(map(len, found))) > MAX_SYMBOLS:
+        raise ValueError(f"{size} symbols of globs are more than {MAX_SYMBOLS}")
+    return [x.replace("|", "\n") for x in found]
+
+
+def default_globs() -> list[str]:
+    """The package's own rules, which decide where no host rule fits."""
+    return parse_globs(resources.files("textloom.llm").joinpath("url_globs.txt").read_text("utf-8").splitlines())
+
+
+def read_globs(rules: DataFrame, column: str = "value") -> list[str]:
+    """Rules from a table, such as a text file that Spark has read; more than MAX_SYMBOLS are an error."""
+    return parse_globs([r[0] for r in rules.select(column).where(F.length(column) > 0).limit(MAX_SYMBOLS + 1).collect()])
 
 
 def canonical(url: str | None) -> tuple[str, str]:
@@ -150,17 +170,17 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: list[tuple[str, str, str]] = BASE_RULES,
-    globs: list[str] = GLOBS,
+    globs: list[str] | None = None,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, globs_hit) of every URL.
 
     The longest fitting host rule decides (of equally long ones the first listed);
     without one, a URL that any glob matches is blocked and others are allowed.
-    The rule list is part of the program, so its size is a bound.
+    Host rules are part of the program; globs come from a file or table of checked size.
     """
     # A leading dot makes "*.net" fit both the host and its subdomains, at whole labels.
     host_auto = compile_globs([f"*.{h}\n{p}*" for h, p, _ in rules])
-    glob_auto = compile_globs(globs)
+    glob_auto = compile_globs(default_globs() if globs is None else globs)
     size = np.array([len(h) + len(p) for h, p, _ in rules])
     names = [h + p for h, p, _ in rules]
     schema = {"id": pa.int64(), "host": pa.string(), "path": pa.string(), "rule": pa.string(), "verdict": pa.string(), "globs_hit": pa.int32()}
