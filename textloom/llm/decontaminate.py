@@ -186,12 +186,20 @@ def build(items: list[tuple[int, str | None]], stats: Statistics | None = None)
 # ---------------------------------------------------------------- query
 
 
-def wand(index: Index, terms: list[int], least: float) -> list[int]:
-    """Items whose bound reaches ``least``, by block-max WAND over the lists of the given terms."""
+def wand(index: Index, terms: list[int], least: float, live: list[int] | None = None) -> list[int]:
+    """Items whose bound reaches ``least``, by block-max WAND over the lists of the given terms.
+
+    ``live``: the blocks, in order, outside of which no item can (all if not given).
+    """
     first, items, shares, top, maxima, common_item, common_block = index.lists
     blocks, most = len(common_block), max(common_block, default=0.0)
-    cursors = sorted([items[first[t]], t, first[t]] for t in terms)
-    found = []
+    live = list(range(blocks)) if live is None else live
+    cursors, found = [], []
+    for t in terms if live else ():
+        at = bisect_left(items, live[0] * BLOCK_ITEMS, first[t], first[t + 1])
+        if at < first[t + 1]:
+            cursors.append([items[at], t, at])
+    cursors.sort()
 
     def advance(to: int, upto: int) -> None:
         """Cursors up to ``upto`` move on to item ``to`` or beyond; those at their end go."""
@@ -216,6 +224,12 @@ def wand(index: Index, terms: list[int], least: float) -> list[int]:
         while pivot < len(cursors) and cursors[pivot][0] == item:
             pivot += 1
         block = item // BLOCK_ITEMS
+        k = bisect_left(live, block)
+        if k == len(live):
+            return found
+        if live[k] > block:
+            advance(live[k] * BLOCK_ITEMS, len(cursors))
+            continue
         bound = common_block[block] + sum(maxima.get(c[1] * blocks + block, 0.0) for c in cursors[:pivot])
         if bound < least:
             beyond = (block + 1) * BLOCK_ITEMS
@@ -245,8 +259,8 @@ def overlap(part: np.ndarray, words: np.ndarray, have: np.ndarray) -> float:
     return share
 
 
-def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(passage number, walked terms) of the passages whose block maxima reach THRESHOLD somewhere."""
+def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(passage number, walked terms, blocks) of the passages whose block maxima reach THRESHOLD in some blocks."""
     strides, blocks = -(-len(words) // index.stride), len(index.common_block)
     size = max(1, CELLS // blocks)
     for begin in range(0, strides, size):
@@ -261,10 +275,10 @@ def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, np.ndarra
         place = np.repeat(index.block_first[term] - np.cumsum(length) + length, length) + np.arange(length.sum())
         rows = end - begin + 1
         half = np.bincount(np.repeat(segment, length) * blocks + index.block[place], index.block_best[place], rows * blocks).reshape(rows, blocks)
-        reached = (half[:-1] + half[1:] + index.common_block >= THRESHOLD - SLACK).any(axis=1)
+        reached = half[:-1] + half[1:] + index.common_block >= THRESHOLD - SLACK
         edge = np.searchsorted(segment, np.arange(rows + 2))
-        for p in np.flatnonzero(reached).tolist():
-            yield begin + p, np.unique(term[edge[p] : edge[p + 2]])
+        for p in np.flatnonzero(reached.any(axis=1)).tolist():
+            yield begin + p, np.unique(term[edge[p] : edge[p + 2]]), np.flatnonzero(reached[p])
 
 
 def matches(index: Index, text: str) -> list[tuple[int, float, float, float]]:
@@ -273,10 +287,10 @@ def matches(index: Index, text: str) -> list[tuple[int, float, float, float]]:
     if not len(words):
         return []
     best: dict[int, tuple[int, float, float, float]] = {}
-    for p, walked in candidates(index, words):
+    for p, walked, live in candidates(index, words):
         passage = words[p * index.stride : (p + 2) * index.stride]
         terms, have = None, None
-        for k in wand(index, walked.tolist(), THRESHOLD - SLACK):
+        for k in wand(index, walked.tolist(), THRESHOLD - SLACK, live.tolist()):
             item = index.items[k]
             terms = np.unique(passage) if terms is None else terms
             score = float(item.shares[np.isin(item.terms, terms, assume_unique=True)].sum())
