@@ -31,8 +31,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def words():
-    t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(public.path("word_bpe_49k.json"))  # as it is: special tokens' strings are those tokens
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -84,7 +83,9 @@ def test_round_trip_digests(table, by_id, edge_texts, reference):
 
 def test_word_pieces_equal_the_library(odd, edge_texts, words):
     pieces = word_pieces(public.path("word_bpe_49k.json"))
-    texts = odd + edge_texts
+    specials = ["<|endoftext|>", "a<|endoftext|>b", "x <|startoftext|>, y", "<|ENDOFTEXT|>", "<|endoftext|", "one<|endoftext|>.\u00e9 <|endoftext|><|endoftext|>!"]
+    texts = odd + edge_texts + specials + [a + s + b for s in specials for a, b in zip(odd[:60], odd[60:120], strict=True)]
+    assert 49407 in words(specials[0]) and 49407 not in words(specials[3] + specials[4])
     ids, counts = pieces.encode_column(pa.array(texts))
     ends = np.cumsum(counts)
     for text, a, b, other in zip(texts, ends - counts, ends, pieces.encode([t or "" for t in texts]), strict=True):
@@ -175,3 +176,43 @@ def test_counts_of_edited_documents(table, by_id, edge_texts, reference):
         assert (r["n_tokens_before"], r["n_tokens"], r["n_edits"]) == (len(reference.encode_ordinary(t)), len(reference.encode_ordinary(new)), len(edits))
     assert got[len(edge_texts)]["n_edits"] == 4 and got[len(edge_texts) + 1]["n_edits"] == 1
     assert edit_counts.count_edited(table([])).count() == 0
+
+
+def test_kept_trees_take_edits_again(spark, by_id, reference):
+    """Trees from the first call serve the second, which encodes little and equals counting anew."""
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["the", "caf\u00e9", "it's", "42", "\n", "word"]) for _ in range(rng.randint(0, 400))) for i in range(40)} | {40: "", 41: "a b " * 20000}
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], "doc_id long, text string, n_tokens int, lengths string")
+    trees = edit_counts.plant(docs)
+    assert {r["id"]: r["n_tokens"] for r in trees.collect()} == {i: len(reference.encode_ordinary(t)) for i, t in texts.items()}
+    for _ in range(2):
+        made = []
+        for i in rng.sample(sorted(texts), 15):
+            spots = sorted(rng.sample(range(len(texts[i]) + 1), min(len(texts[i]) + 1, 6)))
+            made += [(i, a, b, rng.choice(["", " new", "xx", "\n\n", None])) for a, b in zip(spots[::2], spots[1::2])]
+        got = by_id(edit_counts.recount(trees, spark.createDataFrame(made, "id long, start long, end long, replacement string"), keep_trees=True), "id")
+        for i, a, b, new in sorted(made, key=lambda e: -e[1]):
+            texts[i] = texts[i][:a] + (new or "") + texts[i][b:]
+        assert {i: r["text"] for i, r in got.items()} == texts
+        assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(reference.encode_ordinary(t)) for i, t in texts.items()}
+        assert all(r["n_reencoded"] <= 40 * r["n_edits"] for r in got.values())
+        trees = spark.createDataFrame([tuple(got[i][c] for c in edit_counts.TREE) for i in got], edit_counts.TREE_DDL)
+
+
+def test_odd_edits(spark, by_id, reference):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "same"), (3, "same"), (None, "no id")], "doc_id long, text string")
+    made = [(1, 4, 7, "2"), (1, 5, 9, "x"), (1, 4, 7, "9"), (1, -5, 0, ">"), (1, 13, 99, "!"), (1, None, 3, "q"), (2, 0, 9, "new"), (3, 9, 4, "s"), (9, 0, 1, "z"), (None, 0, 1, "z")]
+    got = edit_counts.recount(edit_counts.plant(docs), spark.createDataFrame(made, "id long, start long, end long, replacement string"), keep_trees=True).collect()
+    assert sorted((str(r["id"]), r["text"], r["n_edits"], r["n_left_out"]) for r in got) == [("1", ">one 2 three!", 3, 2), ("2", "new", 1, 0), ("3", "sames", 1, 0), ("3", "sames", 1, 0), ("None", "no id", 0, 0)]
+    assert all(r["n_tokens"] == len(reference.encode_ordinary(r["text"])) for r in got)
+    none = spark.createDataFrame([], "id long, start long, end long, replacement string")
+    assert edit_counts.recount(edit_counts.plant(docs), none).count() == 5
+
+
+def test_the_number_of_parts_is_bounded(table, monkeypatch, tmp_path, by_id):
+    monkeypatch.setattr(rans, "MAX_PARTS", 3)
+    docs = table([f"text {i}" for i in range(50)])
+    segments = rans.write(docs, f"file://{tmp_path}/t", part_chars=10)
+    assert segments.select("part").distinct().count() <= 3
+    starts = [r["start"] for _, r in sorted(by_id(rans.read(segments)).items())]
+    assert starts == sorted(starts) and len(set(starts)) == 50
