@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -161,32 +162,67 @@ class WordPieces(Pieces):
         return text.split()
 
 
+    def known_ids(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each) of distinct stems; ASCII words go straight to the merges."""
+        texts = stems.to_pylist()
+        got = list(map(self.known.get, texts))
+        if None in got:
+            plain = pc.and_(pc.ascii_is_alpha(stems), pc.string_is_ascii(stems)).to_pylist()
+            tokenize, new, rest = self.tokenizer.model.tokenize, {}, {}
+            for i, x in enumerate(got):
+                if x is None:
+                    t = texts[i]
+                    if plain[i]:
+                        got[i] = new[t] = array("I", [y.id for y in tokenize(t)]).tobytes()
+                    else:
+                        rest[t] = b""
+            if rest:
+                self.library(rest)
+                got = [rest[t] if x is None else x for t, x in zip(texts, got, strict=True)]
+                new |= rest
+            if len(self.known) + len(new) > CACHE_COLUMN:
+                self.known = dict(zip(texts, got, strict=True))
+            else:
+                self.known |= new
+            for t in [t for t in texts if len(t) > CACHE_CHARS]:
+                self.known.pop(t, None)
+        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), for a whole Arrow column at once.
 
-        Arrow cuts and numbers the pieces, so that Python sees each distinct one
-        once; cuts at ASCII blanks suffice, others stay inside a piece.
+        Arrow cuts the texts, numbers the pieces, parts marks from words and folds case, so
+        that Python sees each distinct stem once; cuts at ASCII blanks suffice, others stay
+        inside a piece.
         """
         lists = pc.ascii_split_whitespace(column.fill_null(""))
         numbered = lists.flatten().dictionary_encode()
-        pieces, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        got = list(map(self.known.get, pieces))
-        missing = [p for p, x in zip(pieces, got, strict=True) if x is None]
-        if missing:
-            new = self.fresh(missing)
-            got = [new[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
-            if len(self.known) + len(new) > CACHE_COLUMN:
-                self.known = {p: x for p, x in zip(pieces, got, strict=True) if len(p) <= CACHE_CHARS}
-            else:
-                self.known.update((p, x) for p, x in new.items() if len(p) <= CACHE_CHARS)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        table = np.frombuffer(b"".join(got), "<u4")
+        pieces = numbered.dictionary
+        marked = pc.match_substring_regex(pieces, f"[A-Za-z][{re.escape(MARKS)}]+$")
+        stems = pc.if_else(marked, pc.utf8_rtrim(pieces, MARKS), pieces)
+        marks = pc.replace_with_mask(pa.array([""] * len(pieces), pa.string()), marked, pc.replace_substring_regex(pieces.filter(marked), "(?s)^.*[A-Za-z]", ""))
+        folded = pc.and_(pc.string_is_ascii(stems), pc.invert(pc.match_substring(stems, "<")))
+        parts = [x.dictionary_encode() for x in (pc.if_else(folded, pc.ascii_lower(stems), stems), marks)]
+        tables, sizes = zip(*(self.known_ids(x.dictionary) for x in parts), strict=True)
+        # The ids of each distinct piece: those of its stem, then those of its marks.
+        codes = [x.indices.to_numpy() for x in parts]
+        first = np.stack([(np.cumsum(n) - n)[c] + shift for n, c, shift in zip(sizes, codes, (0, len(tables[0])), strict=True)], axis=1).reshape(-1)
+        table = np.concatenate(tables)[spans(first, np.stack([n[c] for n, c in zip(sizes, codes, strict=True)], axis=1).reshape(-1))]
+        size = sizes[0][codes[0]] + sizes[1][codes[1]]
+        code = numbered.indices.to_numpy()
         each = size[code]
-        ends = np.cumsum(each)
-        ids = table[np.repeat((np.cumsum(size) - size)[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = table[spans((np.cumsum(size) - size)[code], each)]
+        edge = np.concatenate([[0], np.cumsum(each)])
         cuts = np.asarray(lists.offsets)
-        edge = np.concatenate([[0], ends])[cuts - cuts[0]]
-        return ids, np.diff(edge)
+        return ids, np.diff(edge[cuts - cuts[0]])
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all the spans [first, first + size), one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total + int(first.max(initial=0)) < 1 << 31 else np.int64
+    return np.repeat((first - (ends - size)).astype(kind), size) + np.arange(total, dtype=kind)
 
 
 @lru_cache(maxsize=4)
