@@ -94,7 +94,7 @@ def fit(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbours:
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Neighbours:
     common.tune(docs.sparkSession)
     sample = ngram_model.labelled_sample(docs, labels, label_col, limit, id_col)
-    return fit(ngram_model.gather(docs, sample, limit, DIMS, CHARS, WORDS, id_col, text_col))
+    return fit(ngram_model.gather(docs, sample, DIMS, CHARS, WORDS, id_col, text_col))
 
 
 def score(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,11 +76,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
     )
 
 
-def gather(docs: DataFrame, sample: DataFrame, limit: int, dims: int, chars: tuple[int, ...], word_grams: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def gather(docs: DataFrame, sample: DataFrame, dims: int, chars: tuple[int, ...], word_grams: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(id, label, buckets, weights) of the sample's documents, in id order.
 
     Features are made on the executors from whole texts; the driver gets at most
-    ``limit`` sparse rows.  The broadcast side holds at most ``limit`` pairs.
+    ``limit`` sparse rows.  The broadcast sides hold at most ``limit`` pairs.  Of several
+    texts of one id the one with the smallest hash counts.
     """
     schema = "id long, label int, at array<int>, weight array<float>"
 
@@ -88,7 +89,8 @@ def gather(docs: DataFrame, sample: DataFrame, limit: int, dims: int, chars: tup
         feats = [sparse(t, dims, chars, word_grams) for t in common.texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a for a, _ in feats], pa.list_(pa.int32())), pa.array([w for _, w in feats], pa.list_(pa.float32()))], names=["id", "label", "at", "weight"])
 
-    found = common.id_text(docs, id_col, text_col).join(F.broadcast(sample), "id").select("id", "text", "label")
-    got = common.map_batches(found, run, schema).limit(limit).toArrow()
+    found = common.id_text(docs, id_col, text_col).join(F.broadcast(sample), "id").select("id", "text", "label", F.xxhash64("text").alias("hash"))
+    first = found.groupBy("id").agg(F.min("hash").alias("hash"))
+    got = common.map_batches(found.join(F.broadcast(first), ["id", "hash"]).select("id", "text", "label"), run, schema).dropDuplicates(["id"]).toArrow()
     rows = zip(got["id"].to_pylist(), got["label"].to_pylist(), got["at"], got["weight"], strict=True)
     return sorted(((i, y, np.asarray(a.values), np.asarray(w.values)) for i, y, a, w in rows), key=lambda r: (r[0], r[2].tobytes()[:64]))
