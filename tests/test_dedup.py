@@ -95,3 +95,96 @@ def test_simhash_of_near_texts_differs_in_few_bits(spark):
     rows = docs(spark, base, base + " extra", " ".join(f"other{i}" for i in range(200))).orderBy("doc_id").select(dedup.simhash(F.col("text"))).collect()
     a, b, c = (r[0] for r in rows)
     assert bin(a ^ b).count("1") < 12 < bin(a ^ c).count("1")
+
+
+def sequential(edges, n):
+    kept, want = [], {}
+    for i in range(n):
+        near = [k for k in kept if (k, i) in edges]
+        want[i] = min(near) if near else None
+        if not near:
+            kept.append(i)
+    return want
+
+
+def test_large_components_are_solved_in_rounds(spark):
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(50)}
+    nodes = spark.createDataFrame([(i,) for i in range(30)], "ord long")
+    got = dedup.leaders(nodes, spark.createDataFrame(sorted(edges), "a long, b long"), limit=5).collect()
+    assert {r["ord"]: r["original"] for r in got} == sequential(edges, 30)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(dedup, "store", lambda df, path, f=dedup.store: written.append(path) or f(df, path))
+    edges = [(i, i + 1) for i in range(999)]
+    nodes = spark.createDataFrame([(i,) for i in range(1000)], "ord long")
+    got = {r["ord"]: r["original"] for r in dedup.leaders(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: None if i % 2 == 0 else i - 1 for i in range(1000)} and len(written) <= 14
+
+
+def test_near_duplicates_equal_the_sequential_rule(spark):
+    """One large group of near copies, small groups, and short texts, against each text in turn."""
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(60)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
+    texts = []
+    for i in range(150):
+        t = list(bases[0] if i % 2 else rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            t[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts += ["ab", "", None, texts[3].upper()]
+    cfg = dedup.DedupConfig(threshold=0.6, num_perm=64)
+    d = docs(spark, *texts)
+    pairs = dedup.candidate_pairs(dedup.bands(dedup.signatures(d, cfg), cfg)).collect()
+    cut = [sets(t or "") for t in texts]
+    alike = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+    edges = {(r["a"], r["b"]) for r in pairs if alike(cut[r["a"]], cut[r["b"]]) >= 0.6}
+    assert len(edges) > 500
+    assert {r["ord"]: r["original"] for r in dedup.near_duplicates(d, cfg).collect()} == sequential(edges, len(texts))
+
+
+def test_only_results_are_left(spark):
+    import os
+
+    from textloom.operators import storage
+
+    storage.release(spark)
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    own = lambda: [x for x in os.listdir(base) if x.startswith("textloom-")]
+    assert dedup.near_duplicates(docs(spark, "some text of a length", "some text of a length!", "other")).count() == 3
+    assert len(own()) == 1
+    with pytest.raises(Exception):
+        with storage.temporary(spark):
+            dedup.store(docs(spark, "x"), storage.shared_dir(spark))
+            raise RuntimeError
+    assert len(own()) == 1
+    storage.release(spark)
+    assert own() == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from textloom.operators import storage
+
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(type("S", (), {"conf": Conf(master)})())
+
+
+def test_simhash_finds_near_texts(spark):
+    base = " ".join(f"word{i}" for i in range(400))
+    d = docs(spark, base, base + " extra", " ".join(f"other{i}" for i in range(400)), base, "")
+    got = {r["ord"]: r["original"] for r in dedup.simhash_duplicates(d, 3).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in d.select("doc_id", dedup.simhash(F.col("text")).alias("h")).collect()}
+    near = {(a, b) for a in hashes for b in hashes if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 3}
+    assert got == sequential(near, 5) and got[3] == 0 and got[1] == 0 and got[2] is None
+    assert {r["doc_id"] for r in dedup.simhash_deduplicate(d).collect()} == {0, 2, 4}

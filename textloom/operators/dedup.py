@@ -1,9 +1,19 @@
 """Duplicates: exact by hash, near by MinHash bands, first seen stays.
 
 Keeping the first seen document of a candidate graph is its lexicographically first
-maximal independent set.  It is found in rounds: a document with no undecided
-earlier neighbour stays, later neighbours of what stays go.  Texts that normalise to
-the same string act as one node, so groups of copies add no pairs.
+maximal independent set.  Texts that normalise to the same string act as one node.
+
+Near duplicates.  For a few rounds, whoever is first in all its band buckets stays, and
+only the pairs of those with the others in their buckets are compared: a group of m near
+copies costs m pairs, not m squared.  Pairs are listed only among what is then undecided.
+
+Leaders of a list of pairs.  Connected components are found by minimum labels that jump;
+each component streams through one task in order, and only components of more than
+COMPONENT_EDGES pairs are solved in rounds over all tasks.
+
+Null and empty texts normalise to an empty string and are copies of one another; texts too
+short for a shingle count as empty; rows of one id should be one row; an empty table gives
+an empty result; further columns are carried along.
 
 The portable hash is arithmetic on code points, so that SQL engines can compute the
 same signatures: a shingle is a base-R number modulo a Mersenne prime, and
@@ -14,20 +24,29 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.storage import shared_dir, spread, store
+from textloom.operators.storage import shared_dir, spread, store, temporary
 
 P = (1 << 31) - 1
 RADIX = 1_000_003
 EMPTY = P  # of every permutation, for texts without a shingle
+#: Rounds in which the first of a bucket is compared with the others before pairs are listed.
+BUCKET_ROUNDS = 3
+#: Pairs of a component that one task takes in order; larger ones are solved in rounds.
+COMPONENT_EDGES = 1_000_000
+#: SimHash: bits, blocks, and the greatest distance of near texts; blocks - distance blocks agree.
+SIM_BITS, SIM_BLOCKS, SIM_DISTANCE = 60, 6, 3
 EXACT_ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
 
 
@@ -117,8 +136,15 @@ def candidate_pairs(banded: DataFrame) -> DataFrame:
 
 
 def jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """(a, b, jaccard) by exact sets of shingles; docs: (ord, text), texts normalised."""
-    sets = docs.select("ord", F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1)).alias("s"))
+    """(a, b, jaccard) by the sets of 64-bit hashes of all shingles; docs: (ord, text), texts normalised.
+
+    Only texts that are in a pair are cut and shuffled, once.
+    """
+    path = shared_dir(docs.sparkSession)
+    pairs = store(pairs.select("a", "b"), f"{path}/pairs")
+    ids = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
+    shingles = F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1), lambda x: F.xxhash64(x))
+    sets = store(docs.select("ord", "text").join(ids, "ord", "left_semi").select("ord", F.array_distinct(shingles).alias("s")), f"{path}/sets")
     x = sets.select(F.col("ord").alias("a"), F.col("s").alias("x"))
     y = sets.select(F.col("ord").alias("b"), F.col("s").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
@@ -126,51 +152,142 @@ def jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     return both.select("a", "b", F.when(union == 0, F.lit(1.0)).otherwise(F.col("n").cast("double") / union).alias("jaccard"))
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, original): null for what stays, else the first kept earlier neighbour.
+def components(edges: DataFrame) -> DataFrame:
+    """(ord, component) of every node of an edge: the smallest id it can reach.
 
-    Rounds end when no node is undecided; each needs one pass over edges between
-    undecided nodes, and writes its state to shared storage.
+    Labels are the least of the neighbours' labels, then jump to the label of their label
+    twice a round, so the rounds grow with the logarithm of a chain's length.
     """
-    path = shared_dir(nodes.sparkSession)
-    edges = store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{path}/edges")
-    kept = store(nodes.select("ord").join(edges.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti"), f"{path}/kept0")
+    path = shared_dir(edges.sparkSession)
+    both = store(edges.select("a", "b").union(edges.select("b", "a")), f"{path}/both")
+    labels = store(both.groupBy(F.col("a").alias("ord")).agg(F.min(F.least("a", "b")).alias("label")), f"{path}/0")
+    n = 0
+    while True:
+        n += 1
+        near = both.join(labels.select(F.col("ord").alias("b"), "label"), "b").groupBy(F.col("a").alias("ord")).agg(F.min("label").alias("near"))
+        new = labels.withColumnRenamed("label", "was").join(near, "ord").select("ord", "was", F.least("was", "near").alias("label"))
+        for _ in range(2):
+            jump = labels.select(F.col("ord").alias("label"), F.col("label").alias("further"))
+            new = new.join(jump, "label", "left").select("ord", "was", F.least("label", "further").alias("label"))
+        new = store(new, f"{path}/{n}")
+        labels = new.select("ord", "label")
+        if not new.where("was <> label").limit(1).count():
+            return labels.withColumnRenamed("label", "component")
+
+
+def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, original) of what goes, from pairs (component, b, a) in this order, a < b.
+
+    When b's pairs come, every a is decided: what has not gone stays.
+    """
+    component = node = None
+    gone: set = set()
+    found = False
+    for batch in batches:
+        out: list[tuple] = []
+        for c, b, a in zip(*(batch.column(n).to_pylist() for n in ("component", "b", "a")), strict=True):
+            if c != component:
+                component, node, gone = c, None, set()
+            if b != node:
+                node, found = b, False
+            if not found and a not in gone:
+                found = True
+                gone.add(b)
+                out.append((b, a))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], batch.schema.field("a").type) for k in (0, 1)], names=["ord", "original"])
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, limit: int = COMPONENT_EDGES) -> DataFrame:
+    """(ord, original): null for what stays, else the first kept earlier neighbour."""
+    spark = nodes.sparkSession
+    out = shared_dir(spark)
+    with temporary(spark, out):
+        edges = store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), shared_dir(spark))
+        parted = store(edges.join(components(edges).withColumnRenamed("ord", "a"), "a").select("component", "b", "a"), shared_dir(spark))
+        large = store(parted.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("component"), shared_dir(spark))
+        small = parted.join(large, "component", "left_anti")
+        kind = edges.schema["a"].dataType.simpleString()
+        found = small.repartition("component").sortWithinPartitions("component", "b", "a").mapInArrow(in_order, f"ord {kind}, original {kind}")
+        if large.limit(1).count():
+            found = found.union(in_rounds(parted.join(large, "component", "left_semi").select("a", "b")))
+        found = store(found, out)
+    return nodes.select("ord").join(found, "ord", "left")
+
+
+def in_rounds(edges: DataFrame) -> DataFrame:
+    """(ord, original) of what goes, for components too large for a task: a round decides all whose earlier neighbours are decided."""
+    path = shared_dir(edges.sparkSession)
+    edges = store(edges, f"{path}/edges")
+    kept = store(edges.select(F.col("a").alias("ord")).distinct().join(edges.select(F.col("b").alias("ord")), "ord", "left_anti"), f"{path}/kept0")
     dropped, left, n = None, edges, 0
     while True:
         n += 1
         # Later neighbours of what has been kept so far go.
-        gone = left.join(kept.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
-        gone = store(gone, f"{path}/gone{n}")
+        gone = store(left.join(kept.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).distinct(), f"{path}/gone{n}")
         dropped = gone if dropped is None else dropped.union(gone)
         left = left.join(kept.select(F.col("ord").alias("a")), "a", "left_anti")
         for end in ("a", "b"):
             left = left.join(gone.select(F.col("ord").alias(end)), end, "left_anti")
         waiting = edges.join(gone.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
         left = store(left.select("a", "b"), f"{path}/left{n}")
-        if not dropped.sparkSession.read.parquet(f"{path}/gone{n}").limit(1).count():
+        if not gone.limit(1).count():
             break
         # What waited only for dropped neighbours, and is not dropped itself, stays.
         free = waiting.join(dropped, "ord", "left_anti").join(left.select(F.col("b").alias("ord")), "ord", "left_anti").join(kept, "ord", "left_anti")
-        new = store(free, f"{path}/free{n}")
-        kept = store(kept.union(new), f"{path}/kept{n}")
-    first = edges.join(kept.select(F.col("ord").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("original"))
-    return nodes.select("ord").join(first, "ord", "left")
+        kept = store(kept.union(store(free, f"{path}/free{n}")), f"{path}/kept{n}")
+    first = edges.join(kept.select(F.col("ord").alias("a")), "a", "left_semi")
+    return first.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("original"))
 
 
 def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(ord, original) of every row, by MinHash; texts too short for a shingle are alike."""
+    spark = df.sparkSession
+    out = shared_dir(spark)
+    with temporary(spark, out):
+        return store(_near(df, cfg, ord_col, text_col), out)
+
+
+def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
     rows = df.select(F.col(ord_col).alias("ord"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("text", F.when(F.length("text") < cfg.shingle_size, F.lit("")).otherwise(F.col("text"))).withColumn("h", F.md5("text"))
-    heads = store(spread(rows).groupBy("h").agg(F.min("ord").alias("ord"), F.first("text").alias("text")), f"{path}/heads")
-    banded = store(bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg), f"{path}/bands")
-    pairs = candidate_pairs(banded)
-    if cfg.verify:
-        pairs = jaccard(pairs, heads.select("ord", "text"), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)
-    led = leaders(heads, pairs)
-    named = heads.select("h", F.col("ord").alias("head")).join(led.withColumnRenamed("ord", "head"), "head")
-    out = rows.select("ord", "h").join(named, "h")
-    return out.select("ord", F.when(F.col("ord") != F.col("head"), F.coalesce("original", "head")).otherwise(F.col("original")).alias("original"))
+    # One row for each text: ids by hash first, so that a text's copies are never gathered.
+    firsts = store(spread(rows).groupBy("h").agg(F.min("ord").alias("head")), f"{path}/firsts")
+    heads = store(rows.join(firsts.select(F.col("head").alias("ord"), "h"), ["ord", "h"], "left_semi").dropDuplicates(["ord"]).select("ord", "text"), f"{path}/heads")
+    banded = bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg).select("ord", F.xxhash64("band", "key").alias("bucket"))
+    crowd = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    banded = store(store(banded, f"{path}/every").join(crowd, "bucket", "left_semi"), f"{path}/bands")
+
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs that are near, stored."""
+        pairs = pairs.select("a", "b").distinct()
+        if cfg.verify:
+            pairs = jaccard(pairs, heads, cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold).select("a", "b")
+        return store(pairs, f"{path}/near-{name}")
+
+    # Rounds: the first of all its buckets stays, and takes the near ones of the others.
+    left, gone, late = banded, None, None
+    for n in range(BUCKET_ROUNDS):
+        lead = left.groupBy("bucket").agg(F.min("ord").alias("a"))
+        seen = store(left.join(lead, "bucket").select("bucket", F.col("ord").alias("b"), "a"), f"{path}/seen{n}")
+        stays = store(seen.groupBy("b").agg(F.min("a").alias("a")).where("a = b").select("a"), f"{path}/stays{n}")
+        found = near(seen.where("a <> b").join(stays, "a", "left_semi"), f"round{n}").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("original"))
+        late = stays if late is None else late.union(stays)
+        gone = found if gone is None else gone.union(found)
+        decided = stays.withColumnRenamed("a", "ord").union(found.select("ord"))
+        left = store(left.join(decided, "ord", "left_anti"), f"{path}/left{n}")
+    # Pairs of what is undecided then.
+    led = leaders(left.select("ord").distinct(), near(candidate_pairs(left.select("ord", F.lit(0).alias("band"), F.col("bucket").alias("key"))), "rest"))
+    led = store(led, f"{path}/led")
+    gone = store(gone.union(led.where("original is not null")), f"{path}/gone")
+    # Who went early may have an even earlier neighbour that was decided later.
+    kept = late.withColumnRenamed("a", "ord").union(led.where("original is null").select("ord"))
+    early = banded.join(kept, "ord", "left_semi").select(F.col("ord").alias("a"), "bucket").join(banded.join(gone, "ord").select(F.col("ord").alias("b"), "bucket", "original"), "bucket")
+    better = near(early.where("a < original"), "earlier").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("better"))
+    final = gone.join(better, "ord", "left").select(F.col("ord").alias("head"), F.coalesce("better", "original").alias("original"))
+    named = firsts.join(final, "head", "left")
+    result = rows.select("ord", "h").join(named, "h")
+    return result.select("ord", F.when(F.col("ord") != F.col("head"), F.coalesce("original", "head")).otherwise(F.col("original")).alias("original"))
 
 
 def deduplicate(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,12 +318,14 @@ def content_hash(c: Column, algorithm: str = "md5") -> Column:
 def exact_duplicates(df: DataFrame, algorithm: str = "md5", ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``first_id`` (the first row with the same content) and ``is_duplicate``.
 
-    Minimum by hash with partial aggregation, then a join: a group of any size is
-    never gathered.
+    Only ids and hashes are grouped; texts are never shuffled by content, so that a large
+    group of copies goes to no single task.  Rows of one id have one ``first_id``, the least.
     """
-    hashed = df.withColumn("__h", content_hash(F.col(text_col), algorithm))
-    first = hashed.groupBy("__h").agg(F.min(ord_col).alias("first_id"))
-    return hashed.join(first, "__h").withColumn("is_duplicate", F.col(ord_col) != F.col("first_id")).drop("__h")
+    keys = df.select(F.col(ord_col).alias("__ord"), content_hash(F.col(text_col), algorithm).alias("__h"))
+    first = keys.groupBy("__h").agg(F.min("__ord").alias("first_id"), F.count("*").alias("__n")).where("__n > 1")
+    later = keys.join(first, "__h").where(F.col("__ord") != F.col("first_id")).groupBy("__ord").agg(F.min("first_id").alias("first_id"))
+    named = df.join(later.withColumnRenamed("__ord", ord_col), ord_col, "left").select(*(df[c] for c in df.columns), later["first_id"])
+    return named.withColumn("first_id", F.coalesce("first_id", F.col(ord_col))).withColumn("is_duplicate", F.col(ord_col) != F.col("first_id"))
 
 
 def simhash(c: Column, bits: int = 60) -> Column:
@@ -229,3 +348,30 @@ def simhash(c: Column, bits: int = 60) -> Column:
         return s.map(one)
 
     return run(c)
+
+
+def simhash_duplicates(df: DataFrame, distance: int = SIM_DISTANCE, ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(ord, original) of every row, by SimHashes that differ in ``distance`` bits at most.
+
+    Of SIM_BLOCKS blocks of a hash, as many as the distance may differ; the others agree, so
+    near hashes share one of the keys made of them.  Rows with the same hash are one node.
+    """
+    spark = df.sparkSession
+    out = shared_dir(spark)
+    with temporary(spark, out):
+        rows = store(df.select(F.col(ord_col).alias("ord"), simhash(F.col(text_col)).alias("h")), shared_dir(spark))
+        heads = store(rows.groupBy("h").agg(F.min("ord").alias("ord")), shared_dir(spark))
+        width = SIM_BITS // SIM_BLOCKS
+        masks = [reduce(lambda m, k: m | ((1 << width) - 1) << k * width, c, 0) for c in combinations(range(SIM_BLOCKS), SIM_BLOCKS - distance)]
+        keys = heads.select("ord", "h", F.posexplode(F.array(*(F.col("h").bitwiseAND(F.lit(m)) for m in masks))).alias("table", "key"))
+        x, y = (keys.select("table", "key", F.col("ord").alias(o), F.col("h").alias(f"h{o}")) for o in "ab")
+        pairs = x.join(y, ["table", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance)).select("a", "b").distinct()
+        named = heads.select("h", F.col("ord").alias("head")).join(leaders(heads, pairs).withColumnRenamed("ord", "head"), "head")
+        original = F.when(F.col("ord") != F.col("head"), F.coalesce("original", "head")).otherwise(F.col("original")).alias("original")
+        return store(rows.join(named, "h").select("ord", original), out)
+
+
+def simhash_deduplicate(df: DataFrame, distance: int = SIM_DISTANCE, ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows that stay."""
+    stays = simhash_duplicates(df, distance, ord_col, text_col).where("original is null").select(F.col("ord").alias(ord_col))
+    return df.join(stays, ord_col, "left_semi")
