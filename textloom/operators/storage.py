@@ -55,6 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
         _made.remove(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 @contextmanager
 def temporary(spark: SparkSession, *keep: str) -> Iterator[None]:
     """Folders made inside the block are removed when it ends or fails, but for ``keep``."""
@@ -94,3 +99,17 @@ def spread(df: DataFrame) -> DataFrame:
     if plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, through Spark's own file systems, so that any address Spark accepts will do."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8", "surrogatepass")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

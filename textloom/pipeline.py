@@ -1,21 +1,21 @@
 """The end-to-end run: articles -> clean -> deduplicate -> filter -> tokenize -> write.
 
-Each stage's result is stored once in the shared folder, so that later stages and
-its counts read it instead of computing it again.
+Each stage's result is written once to the shared folder; its counts are added up while it
+is written.  When the run ends, only the last stage's table is left.
 """
 
 from __future__ import annotations
 
-import time
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import sinks
 from textloom.config import Config
-from textloom.metrics import Metrics
+from textloom.metrics import Run
 from textloom.operators import clean, dedup, quality, tokenizer
-from textloom.operators.storage import shared_dir, spread, store
+from textloom.operators.storage import shared_dir, spread, store, temporary, write_text
 from textloom.sources import wiki
 
 
@@ -24,7 +24,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
         self.spark, self.config = spark, config or Config()
-        self.metrics = Metrics()
+        self.metrics = Run()
 
     def ingest(self, path: str, max_articles: int | None = None) -> DataFrame:
         articles = wiki.read_wiki(self.spark, path, max_articles, self.config.get("cleaning.remove_wiki_markup", True))
@@ -32,44 +32,53 @@ class Pipeline:
 
     def run(self, articles: DataFrame, output: str | None = None) -> DataFrame:
         """(ord, id, title, text, tokens) of what is left."""
-        cfg, m, path = self.config, self.metrics, shared_dir(self.spark)
-        fmt = cfg.get("output.format")
+        fmt = self.config.get("output.format")
         if fmt not in sinks.FORMATS:
             raise ValueError(f"output format {fmt!r} is not one of {sinks.FORMATS}")
-        m.started = time.time()
-        m.start("cleaning")
-        every = store(clean.with_cleaned(spread(articles.select("ord", "id", "title", "text")), cfg=cfg.cleaning()), f"{path}/clean")
-        sums = every.agg(F.count("*").alias("n"), F.sum("stats.chars_removed").alias("gone"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.coalesce(F.col("cleaned"), F.lit("")) != "").alias("left")).first()
-        docs = clean.survivors(every).select("ord", "id", "title", F.col("cleaned").alias("text"))
-        m.end("cleaning", input_count=sums["n"], output_count=sums["left"], filtered_count=sums["n"] - sums["left"], bytes_processed=sums["bytes"] or 0, chars_removed=sums["gone"] or 0)
-        left = sums["left"]
+        self.metrics = Run()
+        result = shared_dir(self.spark)
+        with temporary(self.spark, result):
+            return self._run(articles, output, fmt, result)
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        return store(df, shared_dir(self.spark))
+
+    def _run(self, articles: DataFrame, output: str | None, fmt: str, result: str) -> DataFrame:
+        cfg, m = self.config, self.metrics
+        every = F.count(F.lit(1))
+        with m.stage("cleaning") as watch:
+            cleaned = clean.with_cleaned(spread(articles.select("ord", "id", "title", "text")), cfg=cfg.cleaning())
+            left = F.count_if(F.coalesce(F.col("cleaned"), F.lit("")) != "")
+            cleaned = watch.observe(cleaned, rows_in=every, rows_out=left, bytes_in=F.sum(F.octet_length("text")), chars_removed=F.sum("stats.chars_removed"))
+            docs = self._stored(clean.survivors(cleaned).select("ord", "id", "title", F.col("cleaned").alias("text")))
         if cfg.get("deduplication.enabled"):
-            left, docs = self._stage("deduplication", left, self._deduplicated(docs), f"{path}/dedup")
+            with m.stage("deduplication") as watch:
+                watch.found["rows_in"] = m["cleaning"].rows_out
+                docs = self._stored(watch.observe(self._deduplicated(docs), rows_out=every))
         if cfg.get("quality.enabled"):
-            judged = quality.with_quality(spread(docs), cfg=cfg.quality())
-            m.start("quality")
-            judged = store(judged, f"{path}/quality")
-            counts = {r["reason"]: r["n"] for r in quality.quality_stats(judged).collect()}
-            m.filter_reasons.update({k: n for k, n in counts.items() if k != "passed" and n})
-            m.end("quality", input_count=left, output_count=counts["passed"], filtered_count=left - counts["passed"])
-            docs = judged.where("quality.passed").drop("quality")
+            with m.stage("quality") as watch:
+                judged = quality.with_quality(spread(docs), cfg=cfg.quality())
+                counts = {reason: F.count_if(F.col("quality.reason") == reason) for reason in quality.REASONS}
+                judged = watch.observe(judged, rows_in=every, **counts)
+                docs = self._stored(judged.where("quality.passed").drop("quality"))
+                found = watch.measured()
+                m.reasons |= {k: n for k in quality.REASONS if (n := found.pop(k)) and k != "passed"}
+                found["rows_out"] = found["rows_in"] - sum(m.reasons.values())
         if not cfg.get("tokenization.enabled"):
-            m.ended = time.time()
-            return docs
-        m.start("tokenization")
-        t = cfg.section("tokenization")
-        model = tokenizer.train(docs, t["algorithm"], t["vocab_size"], t["min_frequency"], t.get("special_tokens"))
-        coded = store(tokenizer.encode(spread(docs), model), f"{path}/tokens")
-        stats = tokenizer.token_stats(coded, model.vocab_size()).first().asDict()
-        m.end("tokenization", input_count=stats["total_documents"], output_count=stats["total_documents"], **stats)
+            return store(docs, result)
+        with m.stage("tokenization") as watch:
+            t = cfg.section("tokenization")
+            model = tokenizer.train(docs, t["algorithm"], t["vocab_size"], t["min_frequency"], t.get("special_tokens"))
+            coded = store(tokenizer.encode(spread(docs), model), result)
+            stats = tokenizer.token_stats(coded, model.vocab_size()).first().asDict()
+            watch.found |= {"rows_in": stats["total_documents"], "rows_out": stats["total_documents"], **stats}
         if output:
-            model.save(self._folder(output) + "/tokenizer.json")
+            write_text(self.spark, f"{output}/tokenizer.json", model.to_json())
             sinks.write_processed(coded, f"{output}/processed_data.{fmt}", fmt, cfg.get("output.compression"))
             sinks.write_tokens(coded, f"{output}/tokenized_data.jsonl")
-            sinks.write_json(sinks.summary({k: stats[k] for k in ("total_documents", "total_tokens", "vocab_size", "avg_tokens_per_doc", "compression_ratio")}), f"{output}/summary.json")
-        m.ended = time.time()
-        if output:
-            m.save(f"{output}/pipeline_metrics.json")
+            report = sinks.summary({k: stats[k] for k in ("total_documents", "total_tokens", "vocab_size", "avg_tokens_per_doc", "compression_ratio")})
+            write_text(self.spark, f"{output}/summary.json", json.dumps(report, indent=2))
+            m.save(self.spark, f"{output}/pipeline_metrics.json")
         return coded
 
     def _deduplicated(self, docs: DataFrame) -> DataFrame:
@@ -79,20 +88,5 @@ class Pipeline:
         if kind == "exact_hash":
             return dedup.exact_duplicates(docs, ord_col="ord").where("not is_duplicate").drop("first_id", "is_duplicate")
         if kind == "simhash":
-            hashed = docs.withColumn("h", dedup.simhash(F.col("text")))
-            return docs.join(hashed.groupBy("h").agg(F.min("ord").alias("ord")).select("ord"), "ord", "left_semi")
+            return dedup.simhash_deduplicate(docs, ord_col="ord")
         raise ValueError(f"unknown deduplication algorithm {kind!r}")
-
-    def _stage(self, name: str, before: int, df: DataFrame, path: str) -> tuple[int, DataFrame]:
-        self.metrics.start(name)
-        df = store(df, path)
-        n = df.count()
-        self.metrics.end(name, input_count=before, output_count=n, filtered_count=before - n)
-        return n, df
-
-    @staticmethod
-    def _folder(path: str) -> str:
-        import os
-
-        os.makedirs(path, exist_ok=True)
-        return path

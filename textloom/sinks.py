@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "jsonl")
@@ -27,12 +28,11 @@ def write_tokens(df: DataFrame, path: str, fmt: str = "jsonl", id_col: str | Non
     if fmt == "jsonl":
         df.select(*([id_col] if id_col else []), "tokens").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     elif fmt == "json":
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w") as f:
-            f.write('{"documents": [')
+        with _writer(df.sparkSession, path) as write:
+            write('{"documents": [')
             for i, row in enumerate(df.select("tokens").toLocalIterator()):
-                f.write(", " * bool(i) + json.dumps({"tokens": list(row["tokens"])}))
-            f.write("]}")
+                write(", " * bool(i) + json.dumps({"tokens": list(row["tokens"])}))
+            write("]}")
     else:
         raise ValueError(f"format {fmt!r} is neither jsonl nor json")
 
@@ -41,7 +41,12 @@ def summary(stats: dict) -> dict:
     return {"timestamp": time.strftime("%Y-%m-%dT%H:%M:%S"), **stats}
 
 
-def write_json(value: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump(value, f, indent=2)
+@contextmanager
+def _writer(spark: SparkSession, path: str) -> Iterator[Callable[[str], None]]:
+    """Text piece by piece into one file of any file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        yield lambda text: out.write(bytearray(text.encode()))
+    finally:
+        out.close()
