@@ -1,4 +1,8 @@
-"""Exploration: lengths, histograms, summaries, samples."""
+"""Exploration: lengths, histograms, summaries, samples.
+
+Null texts have null lengths and are in no bin; an empty table gives empty bins and counts of
+0; repeated rows count again; columns beyond those named are carried along.
+"""
 
 from __future__ import annotations
 
@@ -23,25 +27,28 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(metric, count, mean, std, min, p25, p50, p75, max) with interpolated quartiles, one row per column."""
-    parts = []
-    for c in cols:
+def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
+    """(metric, count, mean, std, min, p25, p50, p75, max), one row per column, in one scan.
+
+    Quartiles are exact and interpolated, which gathers the counts of all distinct values in
+    one task; with ``accuracy`` they are approximate, from sketches of a bounded size.
+    Nulls don't count; without rows the count is 0 and the rest null.
+    """
+
+    def of(c: str):
         x = F.col(c).cast("double")
-        parts.append(
-            df.agg(
-                F.lit(c).alias("metric"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"),
-            )
+        quartile = lambda p: F.percentile(x, p) if accuracy is None else F.percentile_approx(x, p, accuracy)
+        return F.struct(
+            F.lit(c).alias("metric"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+            quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75"), F.max(x).alias("max"),
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    return df.agg(F.array(*map(of, cols)).alias("them")).select(F.inline("them"))
 
 
-def sample(df: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample(df: DataFrame, n: int = 3, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """The n rows whose ids have the smallest hash with the seed: the same on every machine and layout."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
 def compression(df: DataFrame, length_col: str = "text_length", tokens_col: str = "token_count") -> DataFrame:

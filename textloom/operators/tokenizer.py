@@ -1,8 +1,10 @@
 """Subword tokenizers: training on piece counts, Arrow-batched encoding, decoding.
 
 The heavy part of training, counting the pieces of all texts, is a distributed
-group-by; only the counts of distinct pieces that reach ``min_piece_count`` come to
-the driver, which runs the (inherently sequential) vocabulary loop.
+group-by; the counts of distinct pieces then come to the driver, which runs the
+(inherently sequential) vocabulary loop.  Their size is measured first: more than
+DRIVER_CHARS characters are an error that says so, not a driver out of memory.  Pieces
+are never dropped unless ``min_piece_count`` is given.
 """
 
 from __future__ import annotations
@@ -18,12 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.storage import read_text, shared_dir, store, temporary, write_text
 
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 ALGORITHMS = ("bpe", "wordpiece", "unigram")
 UNK = "<unk>"
 MAX_WORD = 100
-SEED_LENGTH = 16
+#: Unigram training: longest token, and candidate tokens kept for each one of the vocabulary
+#: (the likeliest by frequency times length; at least SEED_LEAST).  Parameters of the method.
+SEED_LENGTH, SEEDS_PER_TOKEN, SEED_LEAST = 16, 4, 1000
+#: Characters of distinct pieces, with 60 more for each piece, that a driver takes.
+DRIVER_CHARS = 2_000_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -42,6 +49,13 @@ def to_bytes_alphabet(piece: str) -> str:
     return "".join(_BYTES[b] for b in piece.encode("utf-8", "surrogatepass"))
 
 
+def byte_pretokens(c: Column) -> Column:
+    """Byte-level pre-tokens in the printable alphabet, in the JVM: each byte as a Latin-1 character, then translated."""
+    moved = [b for b, x in _BYTES.items() if x != chr(b)]
+    own, stand_in = "".join(map(chr, moved)), "".join(_BYTES[b] for b in moved)
+    return F.transform(T.pretokens(c), lambda p: F.translate(F.decode(F.encode(p, "UTF-8"), "ISO-8859-1"), own, stand_in))
+
+
 @dataclass
 class Model:
     algorithm: str
@@ -110,14 +124,23 @@ class Model:
         worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         return [self.vocab.get(t, self.unk) for t in best_split(piece, self.scores, worst)]
 
-    def save(self, path: str) -> None:
+    def to_json(self) -> str:
+        return json.dumps(self.__getstate__(), ensure_ascii=False)
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """To a local file, or with a session to any address Spark accepts."""
+        if spark:
+            return write_text(spark, path, self.to_json())
         with open(path, "w") as f:
-            json.dump(self.__getstate__(), f, ensure_ascii=False)
+            f.write(self.to_json())
 
 
-def load(path: str) -> Model:
-    with open(path) as f:
-        state = json.load(f)
+def load(path: str, spark: SparkSession | None = None) -> Model:
+    if spark:
+        state = json.loads(read_text(spark, path))
+    else:
+        with open(path) as f:
+            state = json.load(f)
     return Model(state["algorithm"], state["vocab"], [tuple(m) for m in state["merges"]], state["scores"], state["specials"])
 
 
@@ -220,7 +243,7 @@ def train_unigram(counts: list[tuple[str, int]], size: int, specials: list[str])
                 freq[piece[i:j]] += n
     chars = {t for t in freq if len(t) == 1}
     room = max(len(chars), size - len(specials))
-    seeds = sorted((t for t in freq if len(t) > 1 and freq[t] > 1), key=lambda t: (-freq[t] * len(t), t))[: max(room * 4, 1000)]
+    seeds = sorted((t for t in freq if len(t) > 1 and freq[t] > 1), key=lambda t: (-freq[t] * len(t), t))[: max(room * SEEDS_PER_TOKEN, SEED_LEAST)]
     total = sum(freq[t] for t in seeds) + sum(freq[t] for t in chars) or 1
     scores = {t: math.log(freq[t] / total) for t in [*sorted(chars), *seeds]}
     while True:
@@ -285,11 +308,21 @@ def train_from_counts(counts: list[tuple[str, int]], algorithm: str = "bpe", voc
 
 
 def train(df: DataFrame, algorithm: str = "bpe", vocab_size: int = 32000, min_frequency: int = 2, specials: list[str] | None = None, text_col: str = "text", min_piece_count: int = 1) -> Model:
-    """Train on a column of texts; pieces rarer than ``min_piece_count`` are left out."""
+    """Train on a column of texts; pieces rarer than ``min_piece_count`` are left out (none by default).
+
+    Null and empty texts have no pieces; an empty table gives a vocabulary of special tokens.
+    """
     if algorithm.lower() not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    counts = piece_counts(df, algorithm.lower(), text_col).where(F.col("n") >= min_piece_count)
-    return train_from_counts([(r["piece"], r["n"]) for r in counts.collect()], algorithm, vocab_size, min_frequency, specials)
+    spark = df.sparkSession
+    with temporary(spark):
+        counts = store(piece_counts(df, algorithm.lower(), text_col).where(F.col("n") >= min_piece_count), shared_dir(spark))
+        size = counts.agg(F.sum(F.length("piece") + 60)).first()[0] or 0
+        if size > DRIVER_CHARS:
+            raise ValueError(f"the distinct pieces take {size} characters on the driver, more than {DRIVER_CHARS}; train on a sample or with min_piece_count")
+        table = counts.toArrow()
+    pairs = list(zip(table["piece"].to_pylist(), table["n"].to_pylist(), strict=True))
+    return train_from_counts(pairs, algorithm, vocab_size, min_frequency, specials)
 
 
 def train_from_files(spark: SparkSession, paths: list[str], **options) -> Model:
@@ -316,10 +349,14 @@ def vocab_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def decode_col(ids: Column, model: Model) -> Column:
-    """Tokens joined by spaces, special tokens left out."""
-    tokens = F.array(*(F.lit(model.tokens.get(i, "")) for i in range(max(model.tokens) + 1)))
-    kept = F.filter(F.transform(ids, lambda i: F.try_element_at(tokens, i + 1)), lambda t: t.isNotNull() & ~t.isin(model.specials))
-    return F.array_join(kept, " ")
+    """Tokens joined by spaces, special and unknown ids left out; null stays null."""
+    tokens = {i: t for i, t in model.tokens.items() if t not in model.specials}
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else " ".join(t for i in x if (t := tokens.get(int(i))) is not None))
+
+    return run(ids)
 
 
 def decode_text(ids: Column, model: Model) -> Column:

@@ -1,21 +1,22 @@
 """Deduplication of streams.
 
-Exact: Spark's own state, bounded by a watermark if there is one.  Near: each micro
-batch is deduplicated in itself, then against band keys and texts written so far;
-what survives is appended, so the state is two tables in shared storage, and a
-restarted query finds it there.
+Exact: Spark's own state, bounded by a watermark if there is one.  Near: the rows of a micro
+batch that are near what earlier batches left go, then the batch is deduplicated in itself;
+so batches in order decide as one pass over all rows in order would.  What survives is
+appended: the state is two tables in shared storage, and a restarted query finds it there.
+Each batch reads the band keys of all batches; it compares only texts that share one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from textloom.operators import dedup
-from textloom.operators.storage import shared_dir, store
+from textloom.operators.storage import exists, remove, shared_dir, store, temporary
 
 
 def exact_stream(stream: DataFrame, text_col: str = "text", algorithm: str = "md5", event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -25,37 +26,65 @@ def exact_stream(stream: DataFrame, text_col: str = "text", algorithm: str = "md
     return hashed.dropDuplicates(["content_hash"])
 
 
+class Progress(StreamingQueryListener):
+    """Tells a function of (rows so far, rows a second) after each micro batch."""
+
+    def __init__(self, tell: Callable[[int, float], None]) -> None:
+        self.rows, self.tell = 0, tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.tell(self.rows, event.progress.processedRowsPerSecond)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def state_stats(spark: SparkSession, state: str) -> dict[str, int]:
+    """Documents and band keys that a near-duplicate state holds."""
+    if not exists(spark, f"{state}/texts"):
+        return {"documents": 0, "bands": 0}
+    return {"documents": spark.read.parquet(f"{state}/texts").count(), "bands": spark.read.parquet(f"{state}/bands").count()}
+
+
+def clear_state(spark: SparkSession, state: str) -> None:
+    remove(spark, state)
+
+
 def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: dedup.DedupConfig = dedup.DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: ``sink`` gets the rows that stay.
 
-    ``state`` is a folder; rows of a batch that is run again replace their own.
+    ``state`` is a folder; rows of a batch that is run again replace their own.  A state that
+    is there but cannot be read is an error, never an empty one.
     """
 
-    def existing(spark, name: str, epoch: int) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{state}/{name}").where(F.col("epoch") < epoch)
-        except AnalysisException:
-            return None
+    def existing(spark: SparkSession, name: str, epoch: int) -> DataFrame | None:
+        return spark.read.parquet(f"{state}/{name}").where(F.col("epoch") < epoch) if exists(spark, f"{state}/{name}") else None
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        path = shared_dir(spark)
-        batch = store(batch, f"{path}/batch")
-        fresh = store(dedup.deduplicate(batch, cfg, ord_col, text_col), f"{path}/fresh")
-        normal = dedup.normalised(F.coalesce(F.col(text_col), F.lit("")))
-        texts = fresh.select(F.col(ord_col).alias("ord"), F.when(F.length(normal) < cfg.shingle_size, F.lit("")).otherwise(normal).alias("text"))
-        bands = store(dedup.bands(dedup.signatures(fresh, cfg, ord_col, text_col), cfg), f"{path}/bands")
-        old_bands, old_texts = existing(spark, "bands", epoch), existing(spark, "texts", epoch)
-        if old_bands is not None and old_texts is not None:
-            old = old_bands.select(F.col("ord").alias("a"), "band", "key")
-            pairs = old.join(bands.select(F.col("ord").alias("b"), "band", "key"), ["band", "key"]).select("a", "b").distinct()
-            if cfg.verify:
-                pairs = dedup.jaccard(pairs, old_texts.select("ord", "text").union(texts), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)
-            known = store(pairs.select("b").distinct(), f"{path}/known")
-            fresh = fresh.join(known.select(F.col("b").alias(ord_col)), ord_col, "left_anti")
-            bands, texts = (d.join(known.select(F.col("b").alias("ord")), "ord", "left_anti") for d in (bands, texts))
-        for name, rows in (("bands", bands), ("texts", texts)):
-            rows.write.mode("overwrite").parquet(f"{state}/{name}/epoch={epoch}")
-        sink(fresh, epoch)
+        with temporary(spark):
+            path = shared_dir(spark)
+            left = store(batch, f"{path}/batch")
+            normal = dedup.normalised(F.coalesce(F.col(text_col), F.lit("")))
+            short = F.when(F.length(normal) < cfg.shingle_size, F.lit("")).otherwise(normal)
+            texts = left.select(F.col(ord_col).alias("ord"), short.alias("text"))
+            bands = store(dedup.bands(texts.select("ord", dedup.signature(F.col("text"), cfg).alias("sig")), cfg), f"{path}/bands")
+            old_bands, old_texts = existing(spark, "bands", epoch), existing(spark, "texts", epoch)
+            if old_bands is not None and old_texts is not None:
+                old = old_bands.select(F.col("ord").alias("a"), "band", "key")
+                pairs = old.join(bands.select(F.col("ord").alias("b"), "band", "key"), ["band", "key"]).select("a", "b").distinct()
+                if cfg.verify:
+                    pairs = dedup.jaccard(pairs, old_texts.select("ord", "text").union(texts), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)
+                known = store(pairs.select(F.col("b").alias(ord_col)).distinct(), f"{path}/known")
+                left = left.join(known, ord_col, "left_anti")
+            fresh = store(dedup.deduplicate(left, cfg, ord_col, text_col), f"{path}/fresh")
+            stays = fresh.select(F.col(ord_col).alias("ord"))
+            for name, rows in (("bands", bands), ("texts", texts)):
+                rows.join(stays, "ord", "left_semi").write.mode("overwrite").parquet(f"{state}/{name}/epoch={epoch}")
+            sink(fresh, epoch)
 
     return run
