@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom import sinks
 from textloom.config import Config
-from textloom.metrics import Metrics, Progress
+from textloom.metrics import Run, progress, read_metrics
 from textloom.operators import explore, tokenizer
 from textloom.pipeline import Pipeline
 from textloom.sources import basic, wiki
@@ -120,13 +120,16 @@ def test_other_deduplication(spark, algorithm):
     assert Pipeline(spark, cfg).run(articles.union(articles.withColumn("ord", F.col("ord") + 9))).count() == 5
 
 
-def test_metrics_and_config(tmp_path):
-    m = Metrics()
-    with pytest.raises(ValueError):
-        m.end("x")
-    m.start("x")
-    assert m.end("x", input_count=10, output_count=8, filtered_count=2).filter_rate == 20.0
-    assert Progress(4).update(2)["percent"] == 50.0
+def test_metrics_and_config(spark, tmp_path):
+    run = Run()
+    with run.stage("x") as watch:
+        df = watch.observe(spark.range(10), rows_in=F.count(F.lit(1)), rows_out=F.count_if(F.col("id") > 1), most=F.max("id"))
+        df.write.format("noop").mode("overwrite").save()
+    assert run["x"].rows_out == 8 and run["x"].as_json()["filter_rate"] == 20.0 and run["x"].extra == {"most": 9}
+    run.save(spark, f"file://{tmp_path}/m.json")
+    row = read_metrics(spark, f"file://{tmp_path}/m.json").first()
+    assert (row["stage"], row["input_count"], row["filtered_count"], row["filter_rate"]) == ("x", 10, 2, 20.0)
+    assert progress(4)(2)["percent"] == 50.0
     (tmp_path / "c.json").write_text('{"quality": {"min_words": 7}}')
     c = Config.load(str(tmp_path / "c.json"))
     assert c.quality().min_words == 7 and c.quality().allowed_languages == ("en",) and c.get("a.b", 1) == 1
@@ -137,11 +140,14 @@ def test_metrics_and_config(tmp_path):
 
 
 def test_exploration(spark):
-    df = explore.with_lengths(spark.createDataFrame([("a b",), ("abcdef",), ("",)], "text string"))
+    df = explore.with_lengths(spark.createDataFrame([("a b", 1), ("abcdef", 2), ("", 3)], "text string, doc_id long"))
     h = explore.histogram(df, "text_length", 3).orderBy("bin").collect()
     assert [r["n"] for r in h] == [1, 1, 1]
     assert explore.describe(df, ["word_count"]).first()["p50"] == 1.0
     assert explore.sample(df, 2).count() == 2
+    assert [r["doc_id"] for r in explore.sample(df.repartition(7), 2).collect()] == [r["doc_id"] for r in explore.sample(df, 2).collect()]
+    assert explore.describe(df, ["word_count", "text_length"], accuracy=1000).count() == 2
+    assert explore.describe(df.limit(0), ["word_count"]).first()["count"] == 0
 
 
 @pytest.mark.parametrize("algorithm", tokenizer.ALGORITHMS)
@@ -151,3 +157,57 @@ def test_queries_train_on_pieces_met_once(spark, tmp_path, algorithm):
     spark.createDataFrame([(1, "same same words words Ω")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     vocab = token_queries.model(spark, str(tmp_path), algorithm).vocab
     assert set(tokenizer.to_bytes_alphabet("Ω") if algorithm == "bpe" else "Ω") <= set(vocab)
+
+
+def test_nested_templates_go_at_any_depth(spark):
+    import re
+
+    from textloom.operators import wiki as markup
+
+    def again(t):
+        while t != (t := re.sub(r"\{\{[^{}]*\}\}", "", t)):
+            pass
+        return t
+
+    deep = "a" + "{{t|" * 20 + "x" + "}}" * 20 + "b"
+    texts = [deep, "a {{x {{y}} z}} b", "{{{p}}} {{open {{in}}", "no }} open", "{{a {b} c}}", None, "", "{{" * 50000 + "}}" * 50000]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(markup.strip_nested_templates(F.col("t"))).collect()]
+    assert got[0] == "ab" and got[-1] == "" and got[5] is None and got[6] == ""
+    assert got[1:5] == [again(t) for t in texts[1:5]]
+
+
+def test_wordpiece_agrees_with_an_independent_implementation(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    mine = tokenizer.train(corpus(spark), "wordpiece", 150)
+    theirs = tokenizers.Tokenizer(tokenizers.models.WordPiece(mine.vocab, unk_token="<unk>"))
+    theirs.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    texts = TEXTS + ["a new text, with words", "unseen 日本"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["tokens"] for r in tokenizer.encode(df, mine).orderBy("doc_id").collect()] == [theirs.encode(t).ids for t in texts]
+
+
+def test_unigram_agrees_with_an_independent_implementation(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    mine = tokenizer.train(corpus(spark), "unigram", 150)
+    order = sorted(mine.vocab, key=mine.vocab.get)
+    theirs = tokenizers.Tokenizer(tokenizers.models.Unigram([(t, mine.scores.get(t, -100.0)) for t in order], unk_id=mine.unk))
+    theirs.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    score = lambda ids: sum(mine.scores[order[i]] for i in ids)
+    df = spark.createDataFrame(list(enumerate(TEXTS[:3])), "doc_id long, text string")
+    for t, r in zip(TEXTS[:3], tokenizer.encode(df, mine).orderBy("doc_id").collect(), strict=True):
+        assert abs(score(r["tokens"]) - score(theirs.encode(t).ids)) < 1e-6  # ties may fall either way
+
+
+def test_training_checks_what_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "DRIVER_CHARS", 100)
+    with pytest.raises(ValueError, match="driver"):
+        tokenizer.train(corpus(spark), "bpe", 100)
+
+
+def test_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    from textloom import cli
+
+    (tmp_path / "d.xml").write_text(dump("").replace(LONG, (LONG + " ") * 6))
+    (tmp_path / "c.json").write_text('{"tokenization": {"vocab_size": 300}, "quality": {"min_words": 5}}')
+    assert cli.main(["--wiki-dump", str(tmp_path / "d.xml"), "--output-dir", str(tmp_path / "out"), "--config", str(tmp_path / "c.json")]) == 0
+    assert "tokenization" in capsys.readouterr().out and (tmp_path / "out/summary.json").exists()

@@ -96,6 +96,13 @@ def dedup_result(spark, sf_dir):
     return dedup.result(dedup.near_duplicates(docs(spark, sf_dir), CFG)).withColumn("dedup_rate", F.round("dedup_rate", 6))
 
 
-@register("simhash_values")
+SIMHASH_SQL = f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^{WS}]+')) AS w FROM documents),
+  c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+  h AS (SELECT doc_id, n, ('0x' || substr(md5(w), 1, 15))::BIGINT AS v FROM c),
+  b AS (SELECT doc_id, k, sum(CASE WHEN (v >> (59 - k)) & 1 = 1 THEN n ELSE -n END) AS votes FROM h, range(60) t(k) GROUP BY ALL)
+SELECT documents.doc_id, coalesce(sum(CASE WHEN votes > 0 THEN 1::BIGINT << (59 - k) ELSE 0 END), 0)::BIGINT AS simhash FROM documents LEFT JOIN b USING (doc_id) GROUP BY documents.doc_id"""
+
+
+@register("simhash_values", SIMHASH_SQL)
 def simhash_values(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", dedup.simhash(F.col("text")).alias("simhash"))

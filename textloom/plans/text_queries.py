@@ -284,6 +284,6 @@ def compression_ratio(spark, sf_dir):
     return explore.compression(d).select("doc_id", F.round("compression_ratio", 9).alias("compression_ratio"))
 
 
-@register("sample_docs")
+@register("sample_docs", "SELECT doc_id, lang FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 3")
 def sample_docs(spark, sf_dir):
     return explore.sample(docs(spark, sf_dir).select("doc_id", "lang"), 3)

@@ -10,10 +10,13 @@ from textloom.operators import dedup, tokenizer
 from textloom.operators.storage import shared_dir
 from textloom.pipeline import Pipeline
 from textloom.plans.catalogue import register
-from textloom.plans.text_queries import WS, docs
+from textloom.plans.dedup_queries import LEADER_SQL
+from textloom.plans.text_queries import WS, docs, final_sql, markup_sql
 from textloom.sources import basic, wiki
 from textloom.streaming import dedup as streams
 
+#: Vocabulary of the whole run, as in the sample report.
+VOCAB_SIZE = 32000
 PIECES_SQL = f"regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_{WS}]+')"
 
 
@@ -28,12 +31,30 @@ def pretoken_freq(spark, sf_dir):
     return tokenizer.piece_counts(docs(spark, sf_dir), "wordpiece")
 
 
-@register("byte_pretokens")
+#: A mark before the last blank of a run that a word follows stands for the look-ahead, which the other engine lacks.
+BYTE_PIECES_SQL = (
+    f"regexp_extract_all(regexp_replace(text, '([{WS}]+)([{WS}][^{WS}])', '\\1' || chr(57344) || '\\2', 'g'),"
+    f" '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WS}\\p{{L}}\\p{{N}}\\x{{E000}}]+|[{WS}]+')"
+)
+BYTES_SQL = "[" + ", ".join("'" + c.replace("'", "''") + "'" for _, c in sorted(tokenizer.byte_alphabet().items())) + "]"
+BYTE_SQL = f"""WITH p AS (SELECT doc_id, {BYTE_PIECES_SQL} AS ps FROM documents),
+  m AS (SELECT doc_id, len(ps)::BIGINT AS n, list_transform(ps, lambda p: array_to_string(list_transform(regexp_extract_all(hex(encode(p)), '..'), lambda h: {BYTES_SQL}[('0x' || h)::INTEGER + 1]), '')) AS ms FROM p)
+SELECT doc_id, n, md5(array_to_string(ms, '|')) AS pieces_md5 FROM m"""
+
+
+@register("byte_pretokens", BYTE_SQL)
 def byte_pretokens(spark, sf_dir):
-    p = T.pretokens(F.col("text"))
+    p = tokenizer.byte_pretokens(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("pieces_md5"))
 
 
+@register("pretoken_stats", f"""SELECT count(*) AS total_documents, sum(len({PIECES_SQL}))::BIGINT AS total_tokens, sum(length(text))::BIGINT AS total_chars, 0 AS vocab_size,
+    round(sum(len({PIECES_SQL}))::DOUBLE / count(*), 6) AS avg_tokens_per_doc, round(sum(length(text))::DOUBLE / sum(len({PIECES_SQL})), 6) AS compression_ratio FROM documents""")
+def pretoken_stats(spark, sf_dir):
+    stats = tokenizer.token_stats(docs(spark, sf_dir).withColumn("tokens", T.pretokens(F.col("text"), T.WORDPIECE)), 0)
+    return stats.withColumns({c: F.round(c, 6) for c in ("avg_tokens_per_doc", "compression_ratio")})
+
+
 def model(spark, sf_dir, algorithm, size=1000):
     """Trained on all pieces of all texts."""
     return tokenizer.train(docs(spark, sf_dir), algorithm, size)
@@ -84,9 +105,12 @@ def _xml(spark, sf_dir) -> str:
     return path
 
 
-@register("wiki_xml_scan", "SELECT doc_id AS page_id, 0 AS namespace, concat('Page ', doc_id) AS title FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 7 <> 6 AND length(text) >= 50")
+PAGE_TEXT_SQL = final_sql(markup_sql("concat(text, ' {{box}} ''''''end'''''' of [[Page|page]]')"))
+
+
+@register("wiki_xml_scan", f"SELECT page_id, 0 AS namespace, title, md5(t) AS text_md5 FROM (SELECT doc_id AS page_id, concat('Page ', doc_id) AS title, {PAGE_TEXT_SQL} AS t FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 7 <> 6) WHERE length(t) >= 50")
 def wiki_xml_scan(spark, sf_dir):
-    return wiki.read_wiki(spark, _xml(spark, sf_dir)).where(F.length("text") >= 50 + len(" end of page")).select("page_id", "namespace", "title")
+    return wiki.read_wiki(spark, _xml(spark, sf_dir)).select("page_id", "namespace", "title", F.md5("text").alias("text_md5"))
 
 
 STREAM_SQL = f"SELECT count(DISTINCT md5(lower(regexp_replace(regexp_replace(text, '^[{WS}]+', ''), '[{WS}]+$', '')))) AS n FROM documents"
@@ -108,12 +132,16 @@ def _folder(spark, sf_dir, path):
     return f"{path}/source"
 
 
-@register("stream_minhash_dedup")
+@register("stream_minhash_dedup", f"{LEADER_SQL} SELECT ord AS doc_id FROM judged WHERE original IS NULL")
 def stream_minhash_dedup(spark, sf_dir):
+    """Two micro batches, in the order of ids."""
     source = docs(spark, sf_dir)
     path = shared_dir(spark)
+    middle = source.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        source.where(half).coalesce(1).write.mode("append").parquet(f"{path}/source")
     sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(_folder(spark, sf_dir, path))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
     q = stream.writeStream.foreachBatch(streams.near_stream_batch(f"{path}/index", sink)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id")
@@ -121,7 +149,7 @@ def stream_minhash_dedup(spark, sf_dir):
 
 @register("pipeline_end_to_end")
 def pipeline_end_to_end(spark, sf_dir):
-    cfg = Config({"quality": {"language_filter": {"allowed_languages": ["en", "de", "fr", "es"]}}, "tokenization": {"vocab_size": 1000}})
+    cfg = Config({"quality": {"language_chars": None, "language_filter": {"allowed_languages": ["en", "de"]}}, "tokenization": {"vocab_size": VOCAB_SIZE}})
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")
     return Pipeline(spark, cfg).run(d).select("id", "title", F.size("tokens").cast("long").alias("token_count"))
 
