@@ -252,11 +252,13 @@ def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataF
     rows = df.select(F.col(ord_col).alias("ord"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("text", F.when(F.length("text") < cfg.shingle_size, F.lit("")).otherwise(F.col("text"))).withColumn("h", F.md5("text"))
     # One row for each text: ids by hash first, so that a text's copies are never gathered.
-    firsts = store(spread(rows).groupBy("h").agg(F.min("ord").alias("head")), f"{path}/firsts")
-    heads = store(rows.join(firsts.select(F.col("head").alias("ord"), "h"), ["ord", "h"], "left_semi").dropDuplicates(["ord"]).select("ord", "text"), f"{path}/heads")
+    keyed = store(spread(rows).select("ord", "h"), f"{path}/keys")
+    firsts = store(keyed.groupBy("h").agg(F.min("ord").alias("head")), f"{path}/firsts")
+    heads = store(spread(rows.select("ord", "text")).join(firsts.select(F.col("head").alias("ord")), "ord", "left_semi").dropDuplicates(["ord"]), f"{path}/heads")
     banded = bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg).select("ord", F.xxhash64("band", "key").alias("bucket"))
+    banded = store(banded, f"{path}/every")
     crowd = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    banded = store(store(banded, f"{path}/every").join(crowd, "bucket", "left_semi"), f"{path}/bands")
+    banded = store(banded.join(crowd, "bucket", "left_semi"), f"{path}/bands")
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that are near, stored."""
@@ -276,17 +278,24 @@ def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataF
         gone = found if gone is None else gone.union(found)
         decided = stays.withColumnRenamed("a", "ord").union(found.select("ord"))
         left = store(left.join(decided, "ord", "left_anti"), f"{path}/left{n}")
-    # Pairs of what is undecided then.
-    led = leaders(left.select("ord").distinct(), near(candidate_pairs(left.select("ord", F.lit(0).alias("band"), F.col("bucket").alias("key"))), "rest"))
-    led = store(led, f"{path}/led")
-    gone = store(gone.union(led.where("original is not null")), f"{path}/gone")
+        if not left.limit(1).count():
+            break
+    kept = late.withColumnRenamed("a", "ord")
+    if left.limit(1).count():  # pairs of what is undecided then
+        led = leaders(left.select("ord").distinct(), near(candidate_pairs(left.select("ord", F.lit(0).alias("band"), F.col("bucket").alias("key"))), "rest"))
+        led = store(led, f"{path}/led")
+        gone = gone.union(led.where("original is not null"))
+        kept = kept.union(led.where("original is null").select("ord"))
+    gone = store(gone, f"{path}/gone")
     # Who went early may have an even earlier neighbour that was decided later.
-    kept = late.withColumnRenamed("a", "ord").union(led.where("original is null").select("ord"))
     early = banded.join(kept, "ord", "left_semi").select(F.col("ord").alias("a"), "bucket").join(banded.join(gone, "ord").select(F.col("ord").alias("b"), "bucket", "original"), "bucket")
-    better = near(early.where("a < original"), "earlier").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("better"))
-    final = gone.join(better, "ord", "left").select(F.col("ord").alias("head"), F.coalesce("better", "original").alias("original"))
+    early = store(early.where("a < original").select("a", "b").distinct(), f"{path}/early")
+    final = gone.select(F.col("ord").alias("head"), "original")
+    if early.limit(1).count():
+        better = near(early, "earlier").groupBy(F.col("b").alias("head")).agg(F.min("a").alias("better"))
+        final = final.join(better, "head", "left").select("head", F.coalesce("better", "original").alias("original"))
     named = firsts.join(final, "head", "left")
-    result = rows.select("ord", "h").join(named, "h")
+    result = keyed.join(named, "h")
     return result.select("ord", F.when(F.col("ord") != F.col("head"), F.coalesce("original", "head")).otherwise(F.col("original")).alias("original"))
 
 
