@@ -282,7 +282,7 @@ def link_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col
     spark = docs.sparkSession
     common.tune(spark)
     path = common.shared_dir(spark)
-    with common.temporary(spark, path):
+    with common.temporary(spark, path), common.few_files(spark):
         return common.store(_linked(docs, common.shared_dir(spark), k, percent, id_col, text_col), path)
 
 
