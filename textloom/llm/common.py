@@ -95,15 +95,19 @@ def filter_cell(id_col: str) -> Column:
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bit set of fixed size that holds (a hash of) every id."""
-    bits = FILTER_BITS
-    cells = ids.select(filter_cell("id").alias("cell")).distinct()
+    return bit_set(ids.select(filter_cell("id").alias("cell")), FILTER_BITS)
+
+
+def bit_set(cells: DataFrame, bits: int) -> np.ndarray:
+    """2 ** ``bits`` bits, as bytes, in which those of the column ``cell`` are set; packed by Spark, 2048 parts."""
 
     def pack(table: pa.Table) -> pa.Table:
         out = np.zeros(1 << (bits - 11), bool)
         out[np.asarray(table["cell"]) & ((1 << (bits - 11)) - 1)] = True
         return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
-    parts = cells.withColumn("part", F.shiftright("cell", bits - 11).cast("int")).groupBy("part").applyInArrow(pack, "part int, bits binary").collect()
+    distinct = cells.select("cell").distinct()
+    parts = distinct.withColumn("part", F.shiftright("cell", bits - 11).cast("int")).groupBy("part").applyInArrow(pack, "part int, bits binary").collect()
     out = np.zeros((1 << 11, 1 << (bits - 11) >> 3), np.uint8)
     for row in parts:
         out[row["part"]] = np.frombuffer(row["bits"], np.uint8)

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import common, quality_rules, secrets, url_filter
+from textloom.llm import common, importance, quality_rules, secrets, spelling, url_filter
 
 NAMES = {
     "op1_rans_tokens": "rans",
@@ -19,6 +19,9 @@ NAMES = {
     "op8_quality_rules": "quality_rules",
     "op9_knn_quality": "knn_quality",
     "op10_html_text": "html_text",
+    "op11_importance_resample": "importance",
+    "op12_spelling_variants": "spelling",
+    "op13_bpe": "bpe",
 }
 
 
@@ -82,5 +85,41 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BI
 FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)"""
 
 
+#: The crc32 of a text's UTF-8 bytes, which the other engine lacks: bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+FEATURES_SQL = f"""unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM
+    (SELECT *, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), '{importance.WORD}') AS ws FROM"""
+RESAMPLE_SQL = f"""WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+  df AS (SELECT r, {FEATURES_SQL} d)),
+  tf AS (SELECT {FEATURES_SQL} benchmark)),
+  b AS (SELECT f, {CRC_SQL.format("f")} % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+  s AS (SELECT b, count(*) AS n FROM df JOIN b USING (f) GROUP BY b),
+  t AS (SELECT b, count(*) AS n FROM tf JOIN b USING (f) GROUP BY b),
+  whole AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+  gain AS (SELECT k.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (whole.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (whole.t + 10000)))) AS g
+    FROM (SELECT unnest(range(10000)) AS b) k LEFT JOIN s USING (b) LEFT JOIN t USING (b), whole),
+  w AS (SELECT r, count(*) AS n, floor(sum(g) / count(*))::BIGINT AS w FROM df JOIN b USING (f) JOIN gain USING (b) GROUP BY r),
+  scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight,
+    coalesce(w, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+  place AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) AS p FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 39 AND p <= (SELECT 25 * count(*) // 100 FROM scored WHERE n_features >= 39) THEN p END AS rank FROM place"""
+
+VARIANTS_SQL = f"""WITH RECURSIVE run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {UPPER}), '{spelling.RUN}')) AS r FROM documents),
+  once AS (SELECT doc_id, r, count(*) AS k FROM run WHERE length(r) >= 6 GROUP BY ALL),
+  hashed AS (SELECT r, k, {CRC_SQL.format("doc_id || ':' || r")} AS h FROM once),
+  slip AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INTEGER) || substr(r, (h % length(r))::INTEGER + 2) ELSE r END AS word FROM hashed),
+  v AS (SELECT word, sum(k)::BIGINT AS n FROM slip WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+  hole AS (SELECT word, n, i, substr(word, 1, i::INTEGER) || substr(word, i::INTEGER + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+  near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM hole a JOIN hole b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM hole a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM hole a JOIN v b ON a.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+  f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+  walk(word, top) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.top WHERE f.form IS NOT NULL)
+SELECT f.word, form, top AS root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word JOIN (SELECT word AS last FROM f WHERE form IS NULL) ON top = last"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_sql(), "op5_jaccard_join": JOIN_SQL, "secret_counts": SECRET_SQL, "quality_counts": QUALITY_SQL}
+    return {"op3_url_filter": url_sql(), "op5_jaccard_join": JOIN_SQL, "secret_counts": SECRET_SQL, "quality_counts": QUALITY_SQL, "op11_importance_resample": RESAMPLE_SQL, "op12_spelling_variants": VARIANTS_SQL}
