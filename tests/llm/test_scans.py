@@ -6,6 +6,7 @@ import html.parser
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -301,7 +302,7 @@ def test_the_text_of_blocks_decides_beside_the_tags():
     prose = ("This is the text of the page, and it is about what is in it. " * 3).strip()
     links = "".join(f"<p><a href=/{i}>Another of the pages of this site</a></p>" for i in range(4))
     page = PAGE % f"<article><h1>Head</h1><p>{prose}</p><p>Short end.</p><div>{links}<p>More of it</p></div></article>"
-    by_tags = " ".join(b.text for b in html_text.blocks(page) if b.article and not b.barred)
+    by_tags = " ".join(b.text for b in html_text.blocks(page) if b.article and not b.box)
     assert "Another of the pages" in by_tags and "More of it" in by_tags
     assert html_text.main_text(page) == f"Head {prose} Short end."
     box = PAGE % f"<article><p>{prose}</p><p>One.</p><p>Two.</p><div class=ad>Buy this now</div></article>"
@@ -318,7 +319,7 @@ def test_an_unclosed_element_hides_nothing_else(tag):
 
 
 class Plain(html.parser.HTMLParser):
-    """Blocks of well-formed pages by the standard library's parser: (text, link characters, article, barred, element)."""
+    """Blocks of well-formed pages by the standard library's parser: (text, linked text, article, box, element, headline)."""
 
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
@@ -329,7 +330,8 @@ class Plain(html.parser.HTMLParser):
     def end(self):
         if self.text.split():
             article = max([a for _, _, a, _ in self.path], default=0)
-            self.out.append((" ".join(self.text.split()), len("".join(self.linked.split())), article, any(b for _, b, *_ in self.path), max([k for t, _, _, k in self.path if t not in ("p", "h2", "li", "b", "i", "a", "span", "g")], default=0)))
+            element = max([k for t, _, _, k in self.path if t not in ("p", "h1", "h2", "li", "b", "i", "a", "span", "g")], default=0)
+            self.out.append((" ".join(self.text.split()), self.linked.split(), article, max([x for _, x, *_ in self.path], default=0), element, any(t == "h1" for t, *_ in self.path)))
         self.text = self.linked = ""
 
     def handle_starttag(self, tag, attrs):
@@ -344,8 +346,9 @@ class Plain(html.parser.HTMLParser):
                 self.articles += 1
                 number = self.articles
             inside = number or any(a for _, _, a, _ in self.path)
-            words = {w for k, v in attrs if k in ("class", "id") for w in re.split("[^a-z]+", v.lower())}
-            self.path.append((tag, tag in ("nav", "footer", "aside", "form") or tag == "header" and not inside or bool(words & {"ad", "comments", "sidebar", "cookie"}), number, self.count))
+            names = {w for k, v in attrs if k in ("class", "id") for w in v.split()}
+            box = 2 if tag in ("nav", "footer", "aside", "form") or tag == "header" and not inside else int(bool(names & {"ad", "comments", "sidebar-left", "cookie"}))
+            self.path.append((tag, box, number, self.count))
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "svg", "select"):
@@ -358,47 +361,55 @@ class Plain(html.parser.HTMLParser):
         if not self.hidden:
             self.text += data
             if any(t == "a" for t, *_ in self.path):
-                self.linked += data
+                self.linked += data + " "
 
 
 def plain_text(page):
     """The two passes said once more, block by block and without shared code."""
-    blocks = Plain(page).out
-    articles = any(a and not x for _, _, a, x, _ in blocks)
+    found = Plain(page).out
+    ends = [t.rstrip("\"')")[-1:] in (".", "!", "?") for t, *_ in found]
+    heavy = [len("".join(linked)) > 0.4 * len(t.replace(" ", "")) for t, linked, *_ in found]
 
-    def links(k):
-        return blocks[k][1] > 0.4 * len(blocks[k][0].replace(" ", ""))
+    def entry(k):
+        row = [j for j in (k - 1, k + 1) if 0 <= j < len(found) and heavy[j] and found[j][2] == found[k][2]]
+        return heavy[k] and row and not (ends[k] and len(found[k][0].split()) >= len(found[k][1]) + 2)
 
-    def first(k):
-        t, linked, article, barred, _ = blocks[k]
+    def first(k, bar):
+        t, linked, article, box, *_ = found[k]
         words = re.findall(r"[^\W\d_]+", t.lower())
         stops = len([w for w in words if w in html_text.STOP_WORDS]) / max(1, len(words))
-        if barred:
+        if box >= bar:
             return "box"
+        if entry(k):
+            return "bad"
         if article:
-            if links(k):
-                row = [j for j in (k - 1, k + 1) if 0 <= j < len(blocks) and links(j) and blocks[j][2] == article and not blocks[j][3]]
-                return "bad" if len(t) >= 70 or row else None
             return "good" if len(t) >= 70 and stops >= 0.15 else None
-        if links(k) or "\xa9" in t:
+        if heavy[k] or "\xa9" in t:
             return "bad"
-        if articles:
+        if any(a and x < bar for _, _, a, x, *_ in found):
             return "good" if len(t) > 200 and stops >= 0.3 else "bad"
         if len(t) < 70:
             return "bad" if linked else None
         return "good" if stops >= 0.3 or len(t) > 200 and stops >= 0.15 else "bad" if stops < 0.15 else None
 
-    labels = [first(k) for k in range(len(blocks))]
+    labels = [first(k, 1) for k in range(len(found))]
+    if "good" not in labels and not any(x is None and found[k][2] for k, x in enumerate(labels)):
+        labels = [first(k, 2) for k in range(len(found))]
     rest = [k for k, x in enumerate(labels) if x != "box"]
     out = []
     for n, k in enumerate(rest):
-        label = labels[k]
+        label, article = labels[k], found[k][2]
         if label is None:
-            decided = [(abs(n - m), labels[j] != "good", j) for m, j in enumerate(rest) if labels[j] in ("good", "bad")]
-            near = sorted(x for x in decided if blocks[x[2]][4] == blocks[k][4]) or sorted(x for x in decided if blocks[x[2]][2] == blocks[k][2])
-            label = ("bad" if near[0][1] else "good") if near else "good" if blocks[k][2] else "bad"
+            decided = [(abs(n - m), labels[j] != "good", j, m > n) for m, j in enumerate(rest) if labels[j] in ("good", "bad")]
+            near = sorted(x for x in decided if found[x[2]][4] == found[k][4]) or sorted(x for x in decided if found[x[2]][2] == article)
+            if article:
+                sides = [next((bad for _, bad, _, s in near if s == side), None) for side in (False, True)]
+                kept = not near or False in sides or found[k][5] or ends[k] or not any(labels[j] == "good" and found[j][2] == article for j in rest)
+            else:
+                kept = near and not near[0][1]
+            label = "good" if kept else "bad"
         if label == "good":
-            out.append(blocks[k][0])
+            out.append(found[k][0])
     return " ".join(out)
 
 
@@ -406,15 +417,15 @@ def test_extraction_equals_the_plain_version_on_random_pages():
     rng = random.Random(8)
     stop, other = ["the", "of", "and", "is", "in"], ["alpha", "Beta,", "gamma.", "delta&amp;", "eta", "caf\xe9", "x &lt; y", "\xa9"]
     words = lambda n, p: " ".join(rng.choice(stop if rng.random() < p else other) for _ in range(n))
-    inline = lambda t: rng.choice([t, t, f"<b>{t}</b>", f"<i>{t}</i> and <span>{t}</span>", f"<a href=/x>{t}</a>", f"see <a href='/y'>{t}</a>"])
+    inline = lambda t: rng.choice([t, t + ".", f"<b>{t}</b>", f"<i>{t}</i> and <span>{t}</span>", f"<a href=/x>{t}</a>", f"see <a href='/y'>{t}</a>", f"and so see <a href='/y'>{t}</a>!"])
 
     def leaf():
         t = inline(words(rng.choice([1, 2, 4, 9, 20, 60]), rng.choice([0, 0.1, 0.3, 0.6])))
-        return rng.choice([f"<p>{t}</p>", f"<h2>{t}</h2>", f"<ul><li>{t}</li><li>{inline(words(2, 0.1))}</li></ul>", f"<p>{t}<br>{t}</p>".replace("<br>", " "), "<script>var a = '<p>';</script>", f"<svg><g>{words(2, 0)}</g></svg>", t])
+        return rng.choice([f"<p>{t}</p>", f"<h2>{t}</h2>", f"<h1>{t}</h1>", f"<ul><li>{t}</li><li>{inline(words(2, 0.1))}</li></ul>", f"<p>{t}<br>{t}</p>".replace("<br>", " "), "<script>var a = '<p>';</script>", f"<svg><g>{words(2, 0)}</g></svg>", t])
 
     def tree(depth):
         body = "".join(tree(depth - 1) if depth and rng.random() < 0.35 else leaf() for _ in range(rng.randint(1, 5)))
-        tag = rng.choice(["div", "div", "section", "article", "article", "main", "nav", "aside", "header", "footer", "form", 'div class="ad"', 'div id="x comments"', 'section class="post"'])
+        tag = rng.choice(["div", "div", "section", "article", "article", "main", "nav", "aside", "header", "footer", "form", 'div class="ad"', 'div id="x comments"', 'div class="sidebar-left"', 'section class="post ad-hoc"', 'section class="related-work"'])
         return f"<{tag}>{body}</{tag.split()[0]}>"
 
     differs = 0
@@ -422,10 +433,53 @@ def test_extraction_equals_the_plain_version_on_random_pages():
         page = f"<html><body>{''.join(tree(2) for _ in range(rng.randint(1, 3)))}</body></html>"
         got = html_text.main_text(page)
         assert got == plain_text(page), page
-        differs += got != " ".join(b.text for b in html_text.blocks(page) if b.article and not b.barred)
+        differs += got != " ".join(b.text for b in html_text.blocks(page) if b.article and not b.box)
     assert differs > 200
 
 
+def test_article_text_is_not_lost():
+    prose = ("This is the text of the page, and it is about what is in it. " * 3).strip()
+    linked = "See <a href=/x>the full report of the committee on the matter of the day</a> for more."
+    plain = linked.replace("<a href=/x>", "").replace("</a>", "")
+    assert html_text.main_text(PAGE % f"<article><p>{prose}</p><p>{linked}</p><p>The end of the story.</p></article>") == f"{prose} {plain} The end of the story."
+    assert html_text.main_text(PAGE % f"<article><p>{prose}</p><p>{linked}</p><p>{linked}</p><p>The end</p></article>") == f"{prose} {plain} {plain} The end"
+    for name in ("related-work", "notice-of-intent", "social-history", "search-engines in-depth", "shareholders"):
+        for attribute in ("class", "id"):
+            page = PAGE % f'<article><p>One.</p><section {attribute}="{name}"><p>{prose}</p></section></article>'
+            assert html_text.main_text(page) == f"One. {prose}"
+    for name in ("ad", "ad-banner", "adBox", "post-comments", "sidebar-left x", "site-footer", "cookie_notice"):
+        assert html_text.main_text(PAGE % f'<article><p>One.</p><section class="{name}"><p>{prose}</p></section></article>') == "One."
+
+
+def test_the_text_overturns_class_words_where_nothing_else_is_good():
+    prose = ("This is the text of the page, and it is about what is in it. " * 3).strip()
+    assert html_text.main_text(f'<body class="sidebar"><div class="widget"><p>{prose}</p><p>So it is.</p></div><nav><p>{prose}</p></nav></body>') == f"{prose} So it is."
+    assert html_text.main_text(f'<body><div class="widget"><p>{prose}</p></div><div><p>{prose}</p></div></body>') == prose
+
+
+def test_without_any_container_the_text_decides():
+    prose = ["The story of the day is that of the men who went to the sea and were not seen again.", "It was in the night, and there was no light but that of the moon on the water."]
+    links = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(5))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>The sea</h1><p>{prose[0]}</p><p>No one knew.</p><p>{prose[1]}</p></div><div>&copy; All rights of the site</div></body>"
+    assert html_text.main_text(page) == f"The sea {prose[0]} No one knew. {prose[1]}"
+
+
+def test_any_broken_tag_takes_linear_time():
+    tag = """<a href="http://host/a?b=c" class='one two'title="the "great" war" data-very-long-name=x aria-label = "y" onclick='go("x")'hidden>"""
+    cuts = [tag[:k] for k in range(len(tag))] + [tag[:k] + tag[k + 1 :] for k in range(len(tag))] + [tag[:k] + c + tag[k:] for k in range(len(tag)) for c in "\"'=<> "]
+    began = time.time()
+    for cut in cuts:
+        html_text.main_text(f"<article><p>One</p>{cut}two</a><p>Three</p></article>")
+        html_text.main_text(cut * 20 + "x")
+    for n in (24, 5000):
+        html_text.main_text("<p " + "n" * n + '"')
+    for many in ('<a "', "<a b=", "<p x='", '<p x="', "<div>", "</div>", "<div></p>", "<!--", "<svg>", "<p a = ", "<p a" + " " * 50 + "b", "</script ", "<a href='x\">", "=\"", "<b a=b'"):
+        html_text.main_text(many * 20000)
+    html_text.main_text("<div>" * 30000 + "</section>" * 30000 + "</div>" * 30000)
+    html_text.main_text('<div class="' + "a-" * 100000 + '">x</div><div class="' + "ad " * 100000 + '">x</div>')
+    assert time.time() - began < 20
+
+
 def test_repeated_and_very_long_pages(spark):
     prose = "This is the text of the page, and it is about what is in it. " * 40
     long = PAGE % ("<article>" + f"<p>{prose}</p>" * 400 + "</article>")

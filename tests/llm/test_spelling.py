@@ -86,10 +86,10 @@ def test_slips_and_other_limits(spark):
     assert group(spark, docs, slips=199, least_chars=1, least_count=2, ratio=2) == by_hand(docs, 199, 1, 2, 2)
 
 
-def test_a_full_filter_changes_nothing(spark, monkeypatch):
+def test_a_crowded_filter_changes_nothing(spark, monkeypatch):
     docs = corpus()
-    monkeypatch.setattr(spelling, "FILTER_MOST", 11)
-    monkeypatch.setattr(spelling, "FILTER_LEAST", 11)
+    monkeypatch.setattr(spelling, "FILTER_MOST", 14)
+    monkeypatch.setattr(spelling, "FILTER_LEAST", 14)
     assert group(spark, docs) == by_hand(docs)
 
 
