@@ -12,7 +12,7 @@ to JSON with an algorithm), pem (a private key whose base64 body is one DER sequ
 exactly the stated length, or in the OpenSSH format with lengths that fit, or, where
 headers say that it is encrypted, whole cipher blocks).
 
-Whole texts are scanned; null counts as empty; an empty table gives an empty
+Whole texts are scanned, in time that grows with their length alone; null counts as empty; an empty table gives an empty
 result; repeated rows give repeated results; further columns are ignored.
 """
 
@@ -39,8 +39,10 @@ HEX = re.compile(r"[0-9a-f]+", re.ASCII)
 HEX_RUN, ACCESS_RUN, ASSIGN_RUN = 24, 20, 6
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])", re.ASCII)
 NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])", re.ASCII)
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)", re.ASCII)
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[ \t\r]*\n?((?:[A-Za-z-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+#: A token begins where a run of its characters begins, so that no run is read from each of its hits.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)", re.ASCII)
+#: Headers hold no row of dashes, so that none of them is read for a second hit.
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[ \t\r]*+\n?((?:[A-Za-z-]++:(?:[^\n-]++|-(?!----))*+\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----", re.ASCII)
 OPENSSH = b"openssh-key-v1\0"
 KEYWORDS = {"password": 0, "passwd": 0, "secret": 0, "token": 0, "apikey": 0, "api_key": 0, "akia": 1, "ghp_": 3, "gho_": 3, "ghu_": 3, "ghs_": 3, "ghr_": 3, "npm_": 4, "eyj": 5, "-----begin ": 6}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,7 @@ def checked_token(m: re.Match) -> bool:
 def checked_jwt(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
