@@ -109,6 +109,22 @@ def test_checksums_decide():
     assert secrets.masked(f"a {good} b") == "a [github] b" and secrets.masked("clean") == "clean"
 
 
+@pytest.mark.parametrize("part", ["eyJ", "eyJ.", "eyJ-", "eyJ.eyJ.eyJ ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----\n", "a:-----BEGIN PRIVATE KEY-----\n", "-----BEGIN A PRIVATE KEY-----\nab\n", "A PRIVATE KEY ", "token=", "token   ", "AKIA", "f", "ghp_", " "])
+def test_scans_take_about_linear_time(part):
+    began = time.time()
+    secrets.scan(part * (1_000_000 // len(part)))
+    secrets.scan("-----BEGIN PRIVATE KEY-----\n" + part * (300_000 // len(part)))
+    assert time.time() - began < 8
+
+
+def test_a_web_token_begins_where_its_run_begins():
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    assert [(a, b) for a, b, k in secrets.scan(f"x {head}.abc.def, eyJnope.{head}.abc.def") if k == 5] == [(2, 10 + len(head)), (20 + len(head), 28 + 2 * len(head))]
+    assert secrets.scan("x" + head + ".abc.def") == [] and secrets.scan("eyJ" * 9 + ".a.b") == []
+    deep = base64.urlsafe_b64encode(b'{"a":' * 200_000).decode().rstrip("=")
+    assert [k for *_, k in secrets.scan(deep + ".a.b") if k == 5] == []
+
+
 def test_private_keys_of_other_formats():
     part = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
     raw = b"openssh-key-v1\0" + part(b"none", b"none", b"") + (1).to_bytes(4, "big") + part(b"public" * 9, b"private" * 20)
@@ -240,6 +256,41 @@ def test_wand_retrieves_all_that_reach_the_threshold():
         assert got == np.flatnonzero(total >= 0.5).tolist() and got
 
 
+def test_items_of_common_words_do_not_end_the_pruning(monkeypatch):
+    """With such items the lists still decide which items are scored, and the result is that of all against all."""
+    rng = random.Random(5)
+    vocabulary, often = [f"w{i}" for i in range(4000)], [f"the{i}" for i in range(40)]
+    some = lambda n, p: " ".join(rng.choice(often if rng.random() < p else vocabulary) for _ in range(n))
+    items = [(i, some(25, 0.4)) for i in range(1500)]
+    odd = [(9000 + k, " ".join(rng.sample(often, 12))) for k in range(3)]
+    text = f"{some(3000, 0.5)} {odd[1][1]} {items[7][1]} {some(900, 0.5)}"
+    scored = collections.Counter()
+    score_of = decontaminate.score_of
+    for name, bench in (("without", items), ("with", items + odd)):
+        index = decontaminate.build(bench)
+        assert max(index.common_item) <= decontaminate.LIFT * decontaminate.THRESHOLD
+        monkeypatch.setattr(decontaminate, "score_of", lambda *a, name=name: scored.update([name]) or score_of(*a))
+        began = time.time()
+        got = {m[0]: m[1] for m in decontaminate.matches(index, text)}
+        assert time.time() - began < 5
+        monkeypatch.undo()
+        want = plain_matches(bench, text)
+        assert got.keys() == want.keys() >= {7} and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    assert 9001 in got and scored["with"] < scored["without"] + 12 * 160
+
+
+def test_a_benchmark_of_common_words_alone():
+    rng = random.Random(8)
+    often = [f"the{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(often) for _ in range(12))) for i in range(400)]
+    words = [rng.choice(often) for _ in range(1200)] + items[5][1].split() + [rng.choice(often) for _ in range(300)]
+    began = time.time()
+    got = {m[0]: m[1] for m in decontaminate.matches(decontaminate.build(items), " ".join(words))}
+    assert time.time() - began < 10
+    want = plain_matches(items, " ".join(words))
+    assert got.keys() == want.keys() >= {5} and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
 def test_scores_do_not_depend_on_the_number_of_passes(spark, table):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(200)] + ["the"] * 60

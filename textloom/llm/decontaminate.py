@@ -4,14 +4,16 @@ Index.  A term's score in an item is BM25 as a share of the item's score against
 itself.  Posting lists are in item order; items stand in blocks, and every list knows
 its greatest share overall and in each block.  Terms of low inverse document frequency
 are in many items and worth little: their lists are not walked, but what they can add
-at most is known for each block and item.  Statistics (items, document frequencies,
+at most is known for each block and item.  An item of which they make up more than LIFT
+of THRESHOLD is walked by all its terms instead: lists of common terms hold such items
+alone, so no item can loosen the bounds of the others.  Statistics (items, document frequencies,
 mean and greatest length) are those of the whole benchmark, however it is divided.
 
 Query.  A passage is two strides of words, overlapping the next by one.  Passages whose
 block maxima stay below THRESHOLD in every block are done.  The others are taken by
 block-max WAND: cursors stand in item order, the pivot is the first item that the
 lists' maxima up to it can lift to THRESHOLD, a block whose maxima cannot is skipped as
-a whole, and only an item where both can is scored.  Memory is a bounded number of
+a whole, and only in a block where both can are items scored.  Memory is a bounded number of
 cells, plus a cursor for each term of a passage.
 
 What is retrieved at or above THRESHOLD is verified: of the five-word shingles of both
@@ -47,8 +49,9 @@ from textloom.llm import common
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
 BLOCK_ITEMS = 4
-#: Lists of terms of lower inverse document frequency are bounded, not walked.
-COMMON_IDF = 2.0
+#: Lists of terms of lower inverse document frequency are bounded, not walked, but for
+#: items of which they can make up more than this part of THRESHOLD.
+COMMON_IDF, LIFT = 2.0, 0.5
 MIN_STRIDE = 32
 INDEX_CHARS = 2_000_000
 #: Sums by passage and block that are held at once.
@@ -170,6 +173,9 @@ def build(items: list[tuple[int, str | None]], stats: Statistics | None = None)
     share = np.concatenate(share_of) if n else np.empty(0)
     rare = stats.idf(term) >= stats.rare_idf - 1e-12 if n else np.empty(0, bool)
     common_item = np.bincount(item[~rare], share[~rare], n).astype(float)
+    lifted = common_item > LIFT * THRESHOLD
+    common_item[lifted] = 0.0
+    rare |= lifted[item]
     blocks = -(-n // BLOCK_ITEMS)
     common_block = np.maximum.reduceat(common_item, np.arange(0, n, BLOCK_ITEMS)) if n else np.empty(0)
     term, item, share = term[rare], item[rare], share[rare]
@@ -207,10 +213,10 @@ def wand(index: Index, terms: list[int], least: float, live: list[int] | None =
             if c[0] < to:
                 c[2] = bisect_left(items, to, c[2], first[c[1] + 1])
                 c[0] = items[c[2]] if c[2] < first[c[1] + 1] else -1
-        cursors[:] = sorted(c for c in cursors if c[0] >= 0)
+        cursors[:] = sorted(c for c in cursors if c[0] >= 0)  # nearly in order already
 
-    if most >= least:  # the terms that are not walked could do it alone: no item may be skipped
-        return list(range(len(index.items)))
+    if most >= least:  # only below LIFT of THRESHOLD: the terms that are not walked could do it alone
+        return [i for block in live for i in range(block * BLOCK_ITEMS, min(len(index.items), (block + 1) * BLOCK_ITEMS))]
     while cursors:
         total, pivot = most, 0
         for c in cursors:
@@ -234,29 +240,43 @@ def wand(index: Index, terms: list[int], least: float, live: list[int] | None =
         if bound < least:
             beyond = (block + 1) * BLOCK_ITEMS
             advance(min(beyond, cursors[pivot][0]) if pivot < len(cursors) else beyond, pivot)
-        elif cursors[0][0] < item:
-            advance(item, pivot)
         else:
-            if common_item[item] + sum(shares[c[2]] for c in cursors[:pivot]) >= least:
-                found.append(item)
-            advance(item + 1, pivot)
+            # All of the block's items at once: every cursor before its end walks through it.
+            begin, beyond, sums = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS, {}
+            for c in cursors:
+                if c[0] >= beyond:
+                    break
+                at, end = c[2], first[c[1] + 1]
+                if c[0] < begin:
+                    at = bisect_left(items, begin, at, end)
+                while at < end and items[at] < beyond:
+                    sums[items[at]] = sums.get(items[at], 0.0) + shares[at]
+                    at += 1
+                c[0], c[2] = items[at] if at < end else -1, at
+            cursors = sorted(c for c in cursors if c[0] >= 0)
+            found += sorted(i for i, total in sums.items() if common_item[i] + total >= least)
     return found
 
 
-def overlap(part: np.ndarray, words: np.ndarray, have: np.ndarray) -> float:
-    """Share of a part's shingles in a passage; a part too short for one is sought as a whole."""
-    if not len(part):
-        return 1.0
-    share = float(np.isin(part, have).mean())
-    if share < 1 and len(part) == 1:
-        for k in range(1, SHINGLE):  # the hash of a short sequence depends on its length
-            if len(words) >= k:
-                h = np.full(len(words) - k + 1, k, np.uint64)
-                for i in range(k):
-                    h = common.mix64(h * np.uint64(0xD6E8FEB86659FD93) + words[i : i + len(h)])
-                if part[0] in h:
-                    return 1.0
-    return share
+def held(values: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(have):
+        return np.zeros(len(values), bool)
+    return have[np.minimum(np.searchsorted(have, values), len(have) - 1)] == values
+
+
+def passage_shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of up to SHINGLE words: a part too short for a shingle is sought as a whole."""
+    return np.unique(np.concatenate([common.window_hashes(words, k) for k in range(1, min(SHINGLE, len(words)) + 1)]))
+
+
+def overlap(part: np.ndarray, have: np.ndarray) -> float:
+    """Share of a part's shingles in a passage."""
+    return float(held(part, have).mean()) if len(part) else 1.0
+
+
+def score_of(item: Item, terms: np.ndarray) -> float:
+    return float(item.shares[held(item.terms, terms)].sum())
 
 
 def candidates(index: Index, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -293,12 +313,12 @@ def matches(index: Index, text: str) -> list[tuple[int, float, float, float]]:
         for k in wand(index, walked.tolist(), THRESHOLD - SLACK, live.tolist()):
             item = index.items[k]
             terms = np.unique(passage) if terms is None else terms
-            score = float(item.shares[np.isin(item.terms, terms, assume_unique=True)].sum())
+            score = score_of(item, terms)
             if score < THRESHOLD:
                 continue
-            have = np.unique(common.window_hashes(passage, SHINGLE)) if have is None else have
-            q, a = overlap(item.question, passage, have), overlap(item.answer, passage, have)
-            found = q >= OVERLAP and a >= OVERLAP or item.whole is not None and overlap(item.whole, passage, have) >= OVERLAP
+            have = passage_shingles(passage) if have is None else have
+            q, a = overlap(item.question, have), overlap(item.answer, have)
+            found = q >= OVERLAP and a >= OVERLAP or item.whole is not None and overlap(item.whole, have) >= OVERLAP
             if found and score > best.get(k, (0, -1.0))[1]:
                 best[k] = (item.id, score, q, a)
     return [best[k] for k in sorted(best)]
