@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -209,6 +211,51 @@ def test_odd_edits(spark, by_id, reference):
     assert edit_counts.recount(edit_counts.plant(docs), none).count() == 5
 
 
+def test_edits_found_in_a_text_stay_with_it(spark, reference):
+    """Rows of one id, or of none, that hold different texts have each its own edits; repeated rows the same."""
+    texts = ["mail a@bc.de now", "no mail here", "x@yz.org and q@yz.org", "", None]
+    rows = [(i, t) for t in texts for i in (5, None)] + [(5, texts[0])]
+    got = edit_counts.count_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    new = {t: (t or "").replace("a@bc.de", "[mail]").replace("x@yz.org", "[mail]").replace("q@yz.org", "[mail]") for t in texts}
+    want = [(str(i), len(reference.encode_ordinary(t or "")), len(reference.encode_ordinary(new[t])), (t or "").count("@")) for i, t in rows]
+    assert sorted((str(r["doc_id"]), r["n_tokens_before"], r["n_tokens"], r["n_edits"]) for r in got) == sorted(want)
+
+
+def test_mail_addresses_equal_the_expression():
+    rng, pattern = random.Random(6), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+    for _ in range(5000):
+        text = "".join(rng.choice(["a", "b1", "@", "@", ".", ".de", ".c", "-", "%", " ", "é", "\n"]) for _ in range(rng.randrange(25)))
+        assert edit_counts.mail_spans(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_stretches_make_the_same_change():
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randrange(400)))
+        spots = sorted(rng.choices(range(len(text) + 1), k=2 * rng.randrange(12)))
+        edits, _ = edit_counts.ordered([(a, b, rng.choice(["", "x", "yy "])) for a, b in zip(spots[::2], spots[1::2])], len(text))
+        few, made = edit_counts.stretches(edits, text), []
+        for some in (edits, few):
+            new = text
+            for a, b, x in reversed(some):
+                new = new[:a] + x + new[b:]
+            made.append(new)
+        assert made[0] == made[1] and len(few) <= len(edits)
+
+
+@pytest.mark.parametrize("part", ["eyJ", "a", " ", "7", "-----BEGIN ", "a@", "a@b.", "@a.bc ", "line\n", "password=x ", "eyJ.", "AKIA", "f", "+1 (", "1.1."])
+def test_odd_long_texts_take_about_linear_time(part, reference):
+    text = part * (1_000_000 // len(part))
+    began = time.time()
+    edits = edit_counts.privacy_edits(text)
+    tree = edit_counts.Tree(text, edit_counts.counter(*byte_bpe.vocabulary()))
+    changes, _ = edit_counts.ordered(edits, len(text))
+    for a, b, new in reversed(edit_counts.stretches(changes, text)):
+        tree.edit(a, b, new)
+    assert time.time() - began < 20
+    assert tree.pretokens == len(tree.count.pattern.findall(tree.text))
+
+
 def test_the_number_of_parts_is_bounded(table, monkeypatch, tmp_path, by_id):
     monkeypatch.setattr(rans, "MAX_PARTS", 3)
     docs = table([f"text {i}" for i in range(50)])

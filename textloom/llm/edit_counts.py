@@ -16,9 +16,12 @@ sums, and their texts are not shuffled.
 Null texts count as empty.  Edits count code points of the unedited text; those outside are
 clipped; of edits that overlap the first by start, end and replacement counts and the
 others are left out (``n_left_out``); edits with a null id, start or end, or of an unknown
-id, do nothing; a null replacement is empty.  Edits apply to all rows of their id; rows with
-a null id have none.  An empty table gives an empty result; repeated rows give repeated
-results; whole texts are read; further columns are ignored.
+id, do nothing; a null replacement is empty.  Edits apply to all rows of their id, or, where
+they carry a ``version`` (a hash of the text they were made for, as ``edit_table`` gives
+it), to those rows of their id, null or not, that hold this text.  An edit given twice
+counts once.  An empty table gives an empty result; repeated rows give repeated results;
+whole texts are read, and many edits in a text are taken as few stretches, so that a text
+that is all edits takes no longer; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,21 +179,36 @@ class Tree:
                 self._update(i)
 
 
+#: What a mail address is before and after its mark.
+MAIL_NAME, MAIL_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 MASKS = [
-    (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), "[mail]"),
     (re.compile(r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"), "[phone]"),
     (re.compile(r"(?<!\d)\d{1,3}(?:\.\d{1,3}){3}(?!\d)"), "[address]"),
     (re.compile(r"(?<!\d)\d{13,19}(?!\d)"), "[number]"),
 ]
 
 
+def mail_spans(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, found from their marks to both sides: no character is read twice."""
+    out, done, mark = [], 0, text.find("@")
+    while mark >= 0:
+        start = mark
+        while start > done and text[start - 1] in MAIL_NAME:
+            start -= 1
+        host = MAIL_HOST.match(text, mark + 1) if start < mark else None
+        done = host.end() if host else mark + 1
+        if host:
+            out.append((start, done))
+        mark = text.find("@", done)
+    return out
+
+
 def privacy_edits(text: str) -> list[tuple[int, int, str]]:
     """The query's edits: secrets and personal data are masked, and a line that only repeats
     the line before goes.  In order, without overlaps."""
     found = [(a, b, f"[{secrets.KINDS[k]}]") for a, b, k in secrets.scan(text)]
-    if "@" in text:
-        found += [(m.start(), m.end(), MASKS[0][1]) for m in MASKS[0][0].finditer(text)]
-    for pattern, mask in MASKS[1:]:
+    found += [(a, b, "[mail]") for a, b in mail_spans(text)]
+    for pattern, mask in MASKS:
         found += [(m.start(), m.end(), mask) for m in pattern.finditer(text)]
     at, before = 0, None
     for line in text.split("\n"):
@@ -215,6 +233,8 @@ def unpack(raw: bytes) -> list[int]:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist()
 
 
+#: Stretches that a text's edits are taken as: those closer than its length by this many, or GAP_LEAST, go together.
+STRETCHES, GAP_LEAST = 4096, 16
 TREE = {"id": pa.int64(), "text": pa.string(), "lengths": pa.binary(), "counts": pa.binary(), "n_tokens": pa.int64(), "n_pretokens": pa.int64()}
 TREE_DDL = "id long, text string, lengths binary, counts binary, n_tokens long, n_pretokens long"
 CHANGED = ["n_tokens_before", "n_edits", "n_left_out", "n_reencoded"]
@@ -253,20 +273,38 @@ def ordered(edits: list[tuple[int, int, str]], size: int) -> tuple[list[tuple[in
     return out, len(edits) - len(out)
 
 
+def stretches(edits: list[tuple[int, int, str]], text: str) -> list[tuple[int, int, str]]:
+    """The same change by fewer edits: those close together become one."""
+    gap, out = max(GAP_LEAST, len(text) // STRETCHES), []
+    for a, b, new in edits:
+        if out and a - out[-1][1] < gap:
+            out[-1][1] = b
+        else:
+            out.append([a, b, []])
+        parts = out[-1][2]
+        if parts:
+            parts.append(text[last:a])
+        parts.append(new)
+        last = b
+    return [(a, b, "".join(parts)) for a, b, parts in out]
+
+
 def recount(trees: DataFrame, edits: DataFrame, ranks: str | None = None, pattern: str | None = None, keep_trees: bool = False) -> DataFrame:
     """(id, n_tokens_before, n_edits, n_left_out, n_tokens, n_pretokens, n_reencoded[, text, lengths, counts]).
 
-    ``trees`` as ``plant`` or this gives them; ``edits``: (id, start, end, replacement).
+    ``trees`` as ``plant`` or this gives them; ``edits``: (id, start, end, replacement[, version]).
     """
     place = _tokenizer(ranks, pattern)
-    valid = edits.where("id is not null and start is not null and end is not null")
+    own = ["version"] if "version" in edits.columns else []
     one = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("replacement", F.lit("")).alias("new"))
-    by_id = valid.groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list(one).alias("edits"))  # those of one text
-    shipped = trees.sparkSession.sparkContext.broadcast(common.id_filter(by_id.select("id")))
+    valid = edits.where("start is not null and end is not null" + " and id is not null" * (not own))
+    by_text = valid.groupBy(F.col("id").cast("long").alias("id"), *own).agg(F.collect_set(one).alias("edits"))  # those of one text
+    by_text = by_text.select(F.xxhash64("id", *own).alias("of"), F.col("id").alias("of_id"), *(F.col(c).alias("of_version") for c in own), "edits")
+    shipped = trees.sparkSession.sparkContext.broadcast(common.id_filter(by_text.select(F.col("of").alias("id"))))
     names = ["id", "text", "lengths", "counts", "n_tokens", "n_pretokens"]
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return common.in_filter(batch, shipped.value, 6).select(names)
+        return common.in_filter(batch, shipped.value, batch.num_columns - 1).select([*names, *keys])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         count, out = counter(*place), []
@@ -274,28 +312,33 @@ def recount(trees: DataFrame, edits: DataFrame, ranks: str | None = None, patter
             tree = Tree(text, count, (unpack(lengths), unpack(counts)))
             before = tree.tokens
             changes, left_out = ordered([(c["start"], c["end"], c["new"]) for c in changes], len(text))
-            for a, b, new in reversed(changes):  # from the end, so that positions hold
+            for a, b, new in reversed(stretches(changes, text)):  # from the end, so that positions hold
                 tree.edit(a, b, new)
             out.append(kept(tree) | dict(zip(CHANGED, (before, len(changes), left_out, tree.reencoded), strict=True)))
         return common.rows(TREE | dict.fromkeys(CHANGED, pa.int64()), id=batch.column(0), **{n: [t[n] for t in out] for n in [*names[1:], *CHANGED]})
 
     columns = ["id", "n_tokens_before", "n_edits", "n_left_out", "n_tokens", "n_pretokens", "n_reencoded", *["text", "lengths", "counts"] * keep_trees]
-    touched = common.map_batches(trees.select(*names, common.filter_cell("id").alias("cell")), near, TREE_DDL).join(by_id, "id")
-    changed = common.map_batches(touched, run, TREE_DDL + "".join(f", {n} long" for n in CHANGED))
-    same = trees.select(*(n for n in names if n in columns)).join(by_id.select("id"), "id", "left_anti")
+    keys = ["key", *own]
+    keyed = trees.select(*names, *(F.xxhash64("text").alias(c) for c in own)).withColumn("key", F.xxhash64("id", *own)).select(*names, *keys)
+    met = [F.col("key") == F.col("of"), F.col("id").eqNullSafe(F.col("of_id")), *(F.col(c) == F.col("of_version") for c in own)]
+    some = common.map_batches(keyed.withColumn("cell", common.filter_cell("key")), near, TREE_DDL + "".join(f", {c} long" for c in keys))
+    changed = common.map_batches(some.join(by_text, met).select(*names, "edits"), run, TREE_DDL + "".join(f", {n} long" for n in CHANGED))
+    same = keyed.select(*(n for n in names if n in columns), *keys).join(by_text.drop("edits"), met, "left_anti")
     same = same.withColumn("n_tokens_before", F.col("n_tokens")).withColumns({n: F.lit(0).cast("long") for n in CHANGED[1:]})
     return changed.select(columns).union(same.select(columns))
 
 
 def edit_table(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = privacy_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, replacement): the edits a function finds in each text."""
-    schema = {"id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "replacement": pa.string()}
+    """(id, version, start, end, replacement): the edits a function finds in each text; ``version`` says in which."""
+    schema = {"id": pa.int64(), "version": pa.int64(), "start": pa.int64(), "end": pa.int64(), "replacement": pa.string()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, *e) for i, t in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True) for e in edits(t)]
+        found = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), common.texts(batch.column(1)), strict=True)
+        rows = [(i, v, *e) for i, v, t in found for e in edits(t)]
         return common.rows(schema, **{n: [r[k] for r in rows] for k, n in enumerate(schema)})
 
-    return common.map_batches(common.id_text(docs, id_col, text_col), run, "id long, start long, end long, replacement string")
+    texts = common.id_text(docs, id_col, text_col).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return common.map_batches(texts, run, "id long, version long, start long, end long, replacement string")
 
 
 def count_edited(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = privacy_edits, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
