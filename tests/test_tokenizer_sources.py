@@ -198,12 +198,6 @@ def test_unigram_agrees_with_an_independent_implementation(spark):
         assert abs(score(r["tokens"]) - score(theirs.encode(t).ids)) < 1e-6  # ties may fall either way
 
 
-def test_training_checks_what_the_driver_takes(spark, monkeypatch):
-    monkeypatch.setattr(tokenizer, "DRIVER_CHARS", 100)
-    with pytest.raises(ValueError, match="driver"):
-        tokenizer.train(corpus(spark), "bpe", 100)
-
-
 def test_the_command_line(spark, tmp_path, monkeypatch, capsys):
     from textloom import cli
 

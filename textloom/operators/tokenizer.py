@@ -1,36 +1,31 @@
-"""Subword tokenizers: training on piece counts, Arrow-batched encoding, decoding.
+"""Subword tokenizers: training, Arrow-batched encoding, decoding.
 
-The heavy part of training, counting the pieces of all texts, is a distributed
-group-by; the counts of distinct pieces then come to the driver, which runs the
-(inherently sequential) vocabulary loop.  Their size is measured first: more than
-DRIVER_CHARS characters are an error that says so, not a driver out of memory.  Pieces
-are never dropped unless ``min_piece_count`` is given.
+Training counts the pieces of all texts by a distributed group-by and learns from that
+table on the cluster (see ``vocabulary``); pieces are never dropped unless
+``min_piece_count`` is given.  Encoding merges by a queue over a linked list, so that one
+very long piece takes time that grows with its length and not with its square.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-import math
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import vocabulary
 from textloom.operators.storage import read_text, shared_dir, store, temporary, write_text
+from textloom.operators.vocabulary import best_split
 
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 ALGORITHMS = ("bpe", "wordpiece", "unigram")
 UNK = "<unk>"
 MAX_WORD = 100
-#: Unigram training: longest token, and candidate tokens kept for each one of the vocabulary
-#: (the likeliest by frequency times length; at least SEED_LEAST).  Parameters of the method.
-SEED_LENGTH, SEEDS_PER_TOKEN, SEED_LEAST = 16, 4, 1000
-#: Characters of distinct pieces, with 60 more for each piece, that a driver takes.
-DRIVER_CHARS = 2_000_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -67,6 +62,7 @@ class Model:
     def __post_init__(self) -> None:
         self.ranks = {m: i for i, m in enumerate(self.merges)}
         self.unk = self.vocab.get(UNK, 0)
+        self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self._known: dict[str, list[int]] = {}
         self.tokens = {i: t for t, i in self.vocab.items()}
 
@@ -89,20 +85,7 @@ class Model:
         return ids
 
     def _bpe(self, piece: str) -> list[int]:
-        parts = list(to_bytes_alphabet(piece))
-        while len(parts) > 1:
-            rank, pair = min((self.ranks.get(p, 1 << 60), p) for p in zip(parts, parts[1:]))
-            if rank == 1 << 60:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        parts = vocabulary.queued_merges(list(to_bytes_alphabet(piece)), lambda a, b: self.ranks.get((a, b)), lambda _, a, b: a + b)
         return [self.vocab.get(p, self.unk) for p in parts]
 
     def _wordpiece(self, piece: str) -> list[int]:
@@ -121,8 +104,7 @@ class Model:
         return out
 
     def _unigram(self, piece: str) -> list[int]:
-        worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        return [self.vocab.get(t, self.unk) for t in best_split(piece, self.scores, worst)]
+        return [self.vocab.get(t, self.unk) for t in best_split(piece, self.scores, self.worst)]
 
     def to_json(self) -> str:
         return json.dumps(self.__getstate__(), ensure_ascii=False)
@@ -144,22 +126,6 @@ def load(path: str, spark: SparkSession | None = None) -> Model:
     return Model(state["algorithm"], state["vocab"], [tuple(m) for m in state["merges"]], state["scores"], state["specials"])
 
 
-def best_split(piece: str, scores: dict[str, float], unknown: float) -> list[str]:
-    """The likeliest segmentation; a character that no token covers stands alone."""
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * len(piece)
-    for end in range(1, len(piece) + 1):
-        for start in range(max(0, end - SEED_LENGTH), end):
-            s = scores.get(piece[start:end], unknown if end - start == 1 else -math.inf)
-            if best[start][0] + s > best[end][0]:
-                best[end] = (best[start][0] + s, start)
-    out, end = [], len(piece)
-    while end:
-        start = best[end][1]
-        out.append(piece[start:end])
-        end = start
-    return out[::-1]
-
-
 # ---------------------------------------------------------------- training
 
 
@@ -173,138 +139,34 @@ def piece_counts(df: DataFrame, algorithm: str, text_col: str = "text") -> DataF
     return df.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def merge_loop(words: list[tuple[list[str], int]], vocab: dict[str, int], size: int, least: int, join) -> list[tuple[str, str]]:
-    """Merge the most frequent pair until the vocabulary is full or no pair is frequent enough.
+def spelled(piece: str, algorithm: str) -> list[str]:
+    """The symbols that training begins with."""
+    return list(to_bytes_alphabet(piece)) if algorithm == "bpe" else [*piece[:1], *("##" + c for c in piece[1:])]
 
-    Ties go to the pair with the smaller ids.  Counts change only around a merge, and
-    a heap with stale entries finds the next pair.
-    """
-    counts: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (parts, n) in enumerate(words):
-        for p in zip(parts, parts[1:]):
-            counts[p] += n
-            where[p].add(i)
-    entry = lambda p: (-counts[p], vocab[p[0]], vocab[p[1]], p)
-    heap = [entry(p) for p in counts]
-    heapq.heapify(heap)
-    merges = []
-    while heap and len(vocab) < size:
-        top = heapq.heappop(heap)
-        pair = top[3]
-        if -top[0] != counts[pair]:
-            if counts[pair] > 0:
-                heapq.heappush(heap, entry(pair))
-            continue
-        if counts[pair] < least or counts[pair] <= 0:
-            break
-        new = join(*pair)
-        merges.append(pair)
-        vocab.setdefault(new, len(vocab))
-        left, right = pair
-        touched = set()
-        for i in where.pop(pair):  # some no longer hold the pair
-            parts, n = words[i]
-            out: list[str] = []
-            k, last = 0, len(parts)
-            while k < last:
-                if parts[k] == left and k + 1 < last and parts[k + 1] == right:
-                    if out:
-                        counts[out[-1], left] -= n
-                        p = (out[-1], new)
-                        counts[p] += n
-                        where[p].add(i)
-                        touched.add(p)
-                    if k + 2 < last:
-                        counts[right, parts[k + 2]] -= n
-                        p = (new, parts[k + 2])
-                        counts[p] += n
-                        where[p].add(i)
-                        touched.add(p)
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            words[i] = (out, n)
-        counts[pair] = 0
-        for p in touched:
-            if p != pair and counts[p] > 0:
-                heapq.heappush(heap, entry(p))
-    return merges
-
-
-def train_unigram(counts: list[tuple[str, int]], size: int, specials: list[str]) -> Model:
-    """Expectation maximisation over seed substrings, pruned by a quarter a round."""
-    freq: dict[str, int] = defaultdict(int)
-    for piece, n in counts:
-        for i in range(len(piece)):
-            for j in range(i + 1, min(len(piece), i + SEED_LENGTH) + 1):
-                freq[piece[i:j]] += n
-    chars = {t for t in freq if len(t) == 1}
-    room = max(len(chars), size - len(specials))
-    seeds = sorted((t for t in freq if len(t) > 1 and freq[t] > 1), key=lambda t: (-freq[t] * len(t), t))[: max(room * SEEDS_PER_TOKEN, SEED_LEAST)]
-    total = sum(freq[t] for t in seeds) + sum(freq[t] for t in chars) or 1
-    scores = {t: math.log(freq[t] / total) for t in [*sorted(chars), *seeds]}
-    while True:
-        for _ in range(2):
-            expected: dict[str, float] = defaultdict(float)
-            for piece, n in counts:
-                n_chars = len(piece)
-                ahead = [0.0] + [-math.inf] * n_chars
-                spans = []
-                for end in range(1, n_chars + 1):
-                    for start in range(max(0, end - SEED_LENGTH), end):
-                        s = scores.get(piece[start:end])
-                        if s is not None and ahead[start] > -math.inf:
-                            spans.append((start, end, s))
-                            ahead[end] = _logadd(ahead[end], ahead[start] + s)
-                if ahead[-1] == -math.inf:
-                    continue
-                back = [-math.inf] * n_chars + [0.0]
-                for start, end, s in reversed(spans):
-                    expected[piece[start:end]] += n * math.exp(min(0.0, ahead[start] + s + back[end] - ahead[-1]))
-                    back[start] = _logadd(back[start], s + back[end])
-            whole = sum(expected.values()) or 1.0
-            scores = {t: math.log(max(expected.get(t, 0.0), 1e-6) / whole) for t in scores if len(t) == 1 or expected.get(t, 0.0) > 0.5}
-        if len(scores) <= room:
-            break
-        keep = max(room - len(chars), int(0.75 * (len(scores) - len(chars))))
-        longer = sorted((t for t in scores if len(t) > 1), key=lambda t: (-scores[t], t))[:keep]
-        scores = {t: scores[t] for t in [*sorted(chars), *longer]}
-        if len(longer) == room - len(chars):
-            break
-    order = [*specials, *sorted((t for t in scores if t not in specials), key=lambda t: (-scores[t], t))]
-    return Model("unigram", {t: i for i, t in enumerate(order)}, [], scores, list(specials))
-
-
-def _logadd(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    if b == -math.inf:
-        return a
-    hi, lo = max(a, b), min(a, b)
-    return hi + math.log1p(math.exp(lo - hi))
-
-
-def train_from_counts(counts: list[tuple[str, int]], algorithm: str = "bpe", vocab_size: int = 32000, min_frequency: int = 2, specials: list[str] | None = None) -> Model:
-    algorithm = algorithm.lower()
-    specials = specials or list(SPECIALS)
-    counts = sorted(counts)
-    if algorithm == "bpe":
-        words = [(list(to_bytes_alphabet(p)), n) for p, n in counts]
-        alphabet = sorted({c for parts, _ in words for c in parts})
-        vocab = {t: i for i, t in enumerate([*specials, *alphabet])}
-        return Model("bpe", vocab, merge_loop(words, vocab, vocab_size, min_frequency, lambda a, b: a + b), {}, specials)
-    if algorithm == "wordpiece":
-        words = [([p[0], *("##" + c for c in p[1:])], n) for p, n in counts if p]
-        alphabet = sorted({t for parts, _ in words for t in parts}, key=lambda t: (t.startswith("##"), t))
-        vocab = {t: i for i, t in enumerate([*specials, *alphabet])}
-        merge_loop(words, vocab, vocab_size, min_frequency, lambda a, b: a + b[2:])
-        return Model("wordpiece", vocab, [], {}, specials)
-    if algorithm == "unigram":
-        return train_unigram(counts, vocab_size, specials)
-    raise ValueError(f"unknown algorithm {algorithm!r}")
+
+def alphabet(counts: DataFrame, algorithm: str) -> list[str]:
+    """The symbols of all pieces: as many as bytes, or as characters at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                seen.update(spelled(piece, algorithm))
+        yield pa.RecordBatch.from_pydict({"symbol": pa.array(sorted(seen), pa.string())})
+
+    found = {r["symbol"] for r in counts.select("piece").mapInArrow(run, "symbol string").distinct().collect()}
+    return sorted(found, key=lambda t: (t.startswith("##"), t))
+
+
+def as_symbols(counts: DataFrame, algorithm: str, vocab: dict[str, int]) -> DataFrame:
+    """(symbols, n) of the pieces that have two symbols or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([[vocab[t] for t in spelled(p, algorithm)] for p in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1)], names=["symbols", "n"])
+
+    return counts.select("piece", "n").mapInArrow(run, "symbols array<int>, n long").where(F.size("symbols") > 1)
 
 
 def train(df: DataFrame, algorithm: str = "bpe", vocab_size: int = 32000, min_frequency: int = 2, specials: list[str] | None = None, text_col: str = "text", min_piece_count: int = 1) -> Model:
@@ -312,17 +174,20 @@ def train(df: DataFrame, algorithm: str = "bpe", vocab_size: int = 32000, min_fr
 
     Null and empty texts have no pieces; an empty table gives a vocabulary of special tokens.
     """
-    if algorithm.lower() not in ALGORITHMS:
+    algorithm, specials = algorithm.lower(), specials or list(SPECIALS)
+    if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     spark = df.sparkSession
     with temporary(spark):
-        counts = store(piece_counts(df, algorithm.lower(), text_col).where(F.col("n") >= min_piece_count), shared_dir(spark))
-        size = counts.agg(F.sum(F.length("piece") + 60)).first()[0] or 0
-        if size > DRIVER_CHARS:
-            raise ValueError(f"the distinct pieces take {size} characters on the driver, more than {DRIVER_CHARS}; train on a sample or with min_piece_count")
-        table = counts.toArrow()
-    pairs = list(zip(table["piece"].to_pylist(), table["n"].to_pylist(), strict=True))
-    return train_from_counts(pairs, algorithm, vocab_size, min_frequency, specials)
+        counts = store(piece_counts(df, algorithm, text_col).where(F.col("n") >= min_piece_count), shared_dir(spark))
+        if algorithm == "unigram":
+            scores = vocabulary.unigram_rounds(counts, vocab_size, specials)
+            order = [*specials, *sorted((t for t in scores if t not in specials), key=lambda t: (-scores[t], t))]
+            return Model("unigram", {t: i for i, t in enumerate(order)}, [], scores, specials)
+        vocab = {t: i for i, t in enumerate(dict.fromkeys([*specials, *alphabet(counts, algorithm)]))}
+        words = store(as_symbols(counts, algorithm, vocab), shared_dir(spark))
+        merges = vocabulary.merge_rounds(words, vocab, vocab_size, min_frequency, (lambda a, b: a + b) if algorithm == "bpe" else (lambda a, b: a + b[2:]))
+        return Model(algorithm, vocab, merges if algorithm == "bpe" else [], {}, specials)
 
 
 def train_from_files(spark: SparkSession, paths: list[str], **options) -> Model:
