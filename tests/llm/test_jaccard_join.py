@@ -33,8 +33,10 @@ def brute(rows, percent=90, k=3):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_equals_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(4, 1024), (5, 3)])
+def test_equals_all_pairs(spark, monkeypatch, seed, block):
+    """Also with the classes of common shingles in many small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", block)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     originals = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 5, 12, 40, 60, 150]))] for _ in range(25)]

@@ -25,7 +25,8 @@ Links.  Each class first meets, through each of its prefix shingles, the class w
 the fewest shingles before it there, and is verified against the best of them: this
 ties large groups of near copies together without all their pairs.  Then every
 candidate pair between different components is verified, and none inside one,
-where a link could change nothing.  Nothing is capped.
+where a link could change nothing.  The classes of a common shingle are compared in
+blocks, each two of them in another task.  Nothing is capped.
 
 Rows with a null or wordless text link with nothing and are their own component;
 rows with fewer words than a shingle have the whole sequence as their one shingle;
@@ -54,6 +55,8 @@ MATCHES = 3
 CELL_LOAD, MIN_BITS, MAX_BITS = 64, 12, 22
 #: A shingle is costly when its estimate is so many times the mean cell.
 COSTLY = 4
+#: Classes of a shingle that are compared in one place; those of a commoner one are dealt out in blocks of so many.
+BLOCK_CLASSES = 1024
 #: Bits of a set's parity bitmap, in 64-bit lanes.
 BITMAP = 256
 LANES = [f"w{i}" for i in range(BITMAP // 64)]
@@ -259,14 +262,21 @@ def _linked(docs: DataFrame, path: str, k: int, percent: int, id_col: str, text_
     live = live.join(tied.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("lead")
     live = common.store(live, f"{path}/parts")
     common.remove(spark, f"{path}/live")
-    split = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = live.join(split, "token", "left_semi").join(classes.select("rep", *LANES), "rep")
+    split = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("classes")).where("low <> high")
+    split = split.select("token", F.ceil(F.col("classes") / BLOCK_CLASSES).cast("int").alias("blocks"))
+    open_ = live.join(split, "token").join(classes.select("rep", *LANES), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     open_ = common.store(open_, f"{path}/open")
-    x, y = (open_.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "matches", "pos", "before", "component", *LANES))) for side in "xy")
+    # Blocks p and q of a shingle's classes meet in a task of their own, p <= q.
+    x, y = (open_.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "matches", "pos", "before", "component", *LANES)), *place)
+            for side, place in (("x", [F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("q")]),
+                                ("y", [F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"), F.col("block").alias("q")])))
     apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in LANES), F.lit(0))
     reach = F.least("x_before", "y_before") + 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    pairs = x.join(y, (x.token == y.token) & (x.x_rep < y.y_rep) & (x.x_component != y.y_component) & (reach >= least(F.col("x_n"), F.col("y_n"))) & (F.col("x_n") + F.col("y_n") - apart >= 2 * least(F.col("x_n"), F.col("y_n"))))
-    pairs = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("asked")).where("shared >= asked")
+    wanted = least(F.col("x_n"), F.col("y_n"))
+    once = (x.p < x.q) | (x.x_rep < y.y_rep)
+    pairs = x.join(y, (x.token == y.token) & (x.p == y.p) & (x.q == y.q) & once & (x.x_component != y.y_component) & (reach >= wanted) & (F.col("x_n") + F.col("y_n") - apart >= 2 * wanted))
+    pairs = pairs.groupBy(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.first(F.least("x_matches", "y_matches")).alias("asked")).where("shared >= asked")
     more = common.store(verified(cut, common.store(pairs.select("a", "b"), f"{path}/pairs"), k, percent, f"{path}/sets2"), f"{path}/more")
     final = components(spark, links.union(more), f"{path}/final")
 
