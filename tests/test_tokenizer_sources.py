@@ -198,6 +198,22 @@ def test_unigram_agrees_with_an_independent_implementation(spark):
         assert abs(score(r["tokens"]) - score(theirs.encode(t).ids)) < 1e-6  # ties may fall either way
 
 
+def test_a_run_with_a_perplexity_filter(spark, tmp_path):
+    """Against a saved model, or the corpus itself; what is too perplexing goes before tokens are counted."""
+    from textloom.operators import perplexity
+
+    plain = "the men of the sea went to the town and the women of the town went to the sea with the men " * 4
+    odd = " ".join(f"word{i} thing{i * 7} other{i * 3}" for i in range(30)).replace("1", "a").replace("2", "b")
+    articles = spark.createDataFrame([(i, str(i), "t", f"{plain} number {i}") for i in range(8)] + [(9, "9", "t", odd)], "ord long, id string, title string, text string")
+    perplexity.train(articles.where("ord < 9")).save(f"file://{tmp_path}/model")
+    for path in (f"file://{tmp_path}/model", None):
+        quality = {"max_digit_ratio": 1.0, "min_alphabetic_ratio": 0.0, "language_filter": {"enabled": False}, "max_repetition_ratio": 1.0}
+        quality["perplexity_filter"] = {"enabled": True, "model_path": path, "max_perplexity": 30 if path else 1e9}
+        run = Pipeline(spark, Config({"deduplication": {"enabled": False}, "quality": quality, "tokenization": {"vocab_size": 100}}))
+        assert (9 in {r["ord"] for r in run.run(articles).collect()}) == (path is None)
+        assert run.metrics["perplexity"].rows_in == 9 and run.metrics["perplexity"].rows_out == (8 if path else 9)
+
+
 def test_the_command_line(spark, tmp_path, monkeypatch, capsys):
     from textloom import cli
 

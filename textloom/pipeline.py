@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom import sinks
 from textloom.config import Config
 from textloom.metrics import Run
-from textloom.operators import clean, dedup, quality, tokenizer
+from textloom.operators import clean, dedup, perplexity, quality, tokenizer
 from textloom.operators.storage import shared_dir, spread, store, temporary, write_text
 from textloom.sources import wiki
 
@@ -64,6 +64,15 @@ class Pipeline:
                 found = watch.measured()
                 m.reasons |= {k: n for k in quality.REASONS if (n := found.pop(k)) and k != "passed"}
                 found["rows_out"] = found["rows_in"] - sum(m.reasons.values())
+        if cfg.get("quality.enabled") and cfg.get("quality.perplexity_filter.enabled"):
+            with m.stage("perplexity") as watch:
+                # Without a model of its own the corpus is held against itself.
+                path = cfg.get("quality.perplexity_filter.model_path")
+                language_model = perplexity.load(self.spark, path) if path else perplexity.train(docs)
+                judged = perplexity.with_perplexity(docs, language_model)
+                fits = F.coalesce(F.col("perplexity") <= float(cfg.get("quality.perplexity_filter.max_perplexity")), F.lit(False))
+                judged = watch.observe(judged, rows_in=every, rows_out=F.count_if(fits))
+                docs = self._stored(judged.where(fits).drop("perplexity"))
         if not cfg.get("tokenization.enabled"):
             return store(docs, result)
         with m.stage("tokenization") as watch:

