@@ -144,3 +144,27 @@ def test_markup(spark):
     got = texts(spark, raw).select(wiki.remove_markup(F.col("text"))).first()[0]
     # A heading keeps the blank before its end, and blanks left by parentheses stay two.
     assert got == "Head \nBold label Y t  end.\n\nlast"
+
+
+def test_quantiles_equal_the_gathered_ones(spark, monkeypatch):
+    """Few bins make many rounds; ties, outliers, negative and huge values, nulls and empty columns."""
+    import random
+
+    from textloom.operators import explore
+
+    rng = random.Random(4)
+    cases = {
+        "ties": [rng.randrange(5) for _ in range(400)], "wide": [rng.choice([-1e300, -3.5, 0.0, 7.25, 1e300, 1.7e308, -1.7e308]) for _ in range(400)],
+        "skewed": [1.0] * 390 + [10.0**k for k in range(10)], "one": [4.5] + [None] * 399, "two": [1.0, 2.0] + [None] * 398, "none": [None] * 400, "normal": [rng.gauss(0, 1) for _ in range(400)],
+    }
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in row) for row in zip(*cases.values())], ", ".join(f"{c} double" for c in cases)).repartition(3)
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = df.agg(*(F.percentile(c, ps).alias(c) for c in cases)).first()
+    for bins in (2, 7, 1024):
+        monkeypatch.setattr(explore, "BINS", bins)
+        got = explore.quantiles(df, {c: ps for c in cases})
+        for c in cases:
+            assert got[c] == ([None] * len(ps) if want[c] is None else [pytest.approx(x) for x in want[c]]), c
+    empty = explore.describe(df.limit(0), ["ties"]).first()
+    assert empty["count"] == 0 and empty["p50"] is None and empty["metric"] == "ties"
+    assert explore.describe(df, ["ties"]).first()["p50"] == explore.describe(df, ["ties"], accuracy=10_000).first()["p50"]

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.functions import text as T
-from textloom.operators import dedup, tokenizer
+from textloom.operators import dedup, quality, tokenizer
 from textloom.operators import wiki as markup
 from textloom.operators.storage import shared_dir
 from textloom.pipeline import Pipeline
 from textloom.plans.catalogue import register
 from textloom.plans.dedup_queries import LEADER_SQL
-from textloom.plans.text_queries import WS, docs, final_sql, markup_sql
+from textloom.plans.text_queries import DOC_MEASURES, WS, docs, final_sql, markup_sql
 from textloom.sources import wiki
 from textloom.streaming import dedup as streams
 
@@ -148,6 +148,17 @@ def stream_minhash_dedup(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("doc_id")
 
 
+@register("stream_quality", f"WITH {DOC_MEASURES} SELECT doc_id, word_count, reason FROM judged")
+def stream_quality(spark, sf_dir):
+    """The stages without state on a stream: each document is judged as it comes."""
+    path = shared_dir(spark)
+    stream = spark.readStream.schema(docs(spark, sf_dir).schema).option("maxFilesPerTrigger", 2).parquet(_folder(spark, sf_dir, path))
+    judged = quality.with_quality(stream).select("doc_id", F.col("quality.reason").alias("reason"), quality.measures(F.col("text"))["word_count"].alias("word_count"))
+    q = judged.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("doc_id", "word_count", "reason")
+
+
 @register("pipeline_end_to_end")
 def pipeline_end_to_end(spark, sf_dir):
     cfg = Config({"quality": {"language_chars": None, "language_filter": {"allowed_languages": ["en", "de"]}}, "tokenization": {"vocab_size": VOCAB_SIZE}})

@@ -4,7 +4,9 @@ Exact: Spark's own state, bounded by a watermark if there is one.  Near: the row
 batch that are near what earlier batches left go, then the batch is deduplicated in itself;
 so batches in order decide as one pass over all rows in order would.  What survives is
 appended: the state is two tables in shared storage, and a restarted query finds it there.
-Each batch reads the band keys of all batches; it compares only texts that share one.
+Each batch reads the band keys of earlier batches, with ``keep_batches`` of the last ones
+only: older state is removed, so a batch costs the same however long the stream has run, and
+copies that are further apart both stay.  Only texts that share a key are compared.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def clear_state(spark: SparkSession, state: str) -> None:
     remove(spark, state)
 
 
-def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: dedup.DedupConfig = dedup.DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> Callable[[DataFrame, int], None]:
+def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: dedup.DedupConfig = dedup.DedupConfig(), ord_col: str = "doc_id", text_col: str = "text", keep_batches: int | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: ``sink`` gets the rows that stay.
 
     ``state`` is a folder; rows of a batch that is run again replace their own.  A state that
@@ -62,7 +64,15 @@ def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: d
     """
 
     def existing(spark: SparkSession, name: str, epoch: int) -> DataFrame | None:
-        return spark.read.parquet(f"{state}/{name}").where(F.col("epoch") < epoch) if exists(spark, f"{state}/{name}") else None
+        if not exists(spark, f"{state}/{name}"):
+            return None
+        first = 0 if keep_batches is None else max(0, epoch - keep_batches)
+        return spark.read.parquet(f"{state}/{name}").where(F.col("epoch").between(first, epoch - 1))  # by folder: others are not read
+
+    def expire(spark: SparkSession, epoch: int) -> None:
+        for name in ("bands", "texts"):
+            if exists(spark, f"{state}/{name}/epoch={epoch}"):
+                remove(spark, f"{state}/{name}/epoch={epoch}")
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -86,5 +96,7 @@ def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: d
             for name, rows in (("bands", bands), ("texts", texts)):
                 rows.join(stays, "ord", "left_semi").write.mode("overwrite").parquet(f"{state}/{name}/epoch={epoch}")
             sink(fresh, epoch)
+            if keep_batches is not None and epoch > keep_batches:
+                expire(spark, epoch - keep_batches - 1)  # this batch, run again, would still find all it has read
 
     return run
