@@ -1,9 +1,14 @@
-"""Wikitext to plain text, as fused native replacements.
+"""Wikitext to plain text: by one scan with a stack, or as fused native replacements.
 
-Java, like every backtracking engine, is given only patterns that run in linear time
-on real text.  ``strip_nested_templates`` goes further than the single-pass rule and
-empties templates from the inside out, at any depth, in one scan over Arrow batches.  Null
-stays null, and empty texts stay empty.
+``plain_text`` scans a text once over Arrow batches.  Templates, tables and references go
+with all they hold, at any depth; comments and tags go; links leave their label, those to
+files nothing; addresses in brackets, emphasis and the marks of headings go.  What is never
+closed stays as it is written, a reference without its end but for its tag, and takes no
+longer: every search that has failed once is not made again.
+
+``regex_clean`` is the single-pass rule in the JVM.  Its patterns run in linear time on
+real text, not on text that is nothing but opened markup.  Null stays null, and empty texts
+stay empty.
 """
 
 from __future__ import annotations
@@ -48,6 +53,132 @@ def without_templates(text: str) -> str:
     return "".join(out)
 
 
+#: What opens or closes something, and what a scan drops by itself.
+MARKS = re.compile(r"\{\{|\}\}|^[ \t:]*\{\||\|\}(?!\})|\[\[|\]\]|\||<|\[(?=https?://[^\]])|'{2,5}", re.M)
+#: Names of the name space of files in the languages of the corpus.
+FILE_LINK = re.compile(r"\s*(?:file|image|media|datei|bild|fichier|archivo|imagen)\s*:", re.I)
+CATEGORY_LINK = re.compile(r"Category:")
+REFERENCE = re.compile(r"ref(?=[\s/>])", re.I)
+
+
+class Finder:
+    """``str.find`` for places that only move on: a needle that was not found is never sought again."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.none = text, set()
+
+    def after(self, needle: str, at: int) -> int:
+        """The place behind the next needle, or -1."""
+        if needle in self.none:
+            return -1
+        found = self.text.find(needle, at)
+        if found < 0:
+            self.none.add(needle)
+            return -1
+        return found + len(needle)
+
+
+def plain_text(text: str, drop_categories: bool = False) -> str:
+    """A text without its markup, in linear time."""
+    find = Finder(text)
+    out: list = []  # strings, and lists of the same for labels, so that none is copied twice
+    stack: list[list] = []  # [what is open, its place in out, place of a link's first bar]
+    opened = {"{{": 0, "{|": 0, "[[": 0}
+
+    def close(what: str) -> list | None:
+        """Leave all that was opened within; the frame of what is closed, if anything is."""
+        if not opened[what]:
+            return None
+        while True:
+            frame = stack.pop()
+            opened[frame[0]] -= 1
+            if frame[0] == what:
+                return frame
+
+    at, end = 0, len(text)
+    while at < end:
+        m = MARKS.search(text, at)
+        if not m:
+            out.append(text[at:])
+            break
+        out.append(text[at : m.start()])
+        mark, at = m[0], m.end()
+        if mark == "<":
+            skipped = find.after("-->", at) if text.startswith("!--", at) else -1
+            if skipped < 0:
+                skipped = find.after(">", at)
+                if skipped >= 0 and REFERENCE.match(text, at) and text[skipped - 2] != "/":
+                    skipped = max(skipped, find.after("</ref>", skipped))
+            if skipped > at + 1:
+                at = skipped
+            else:
+                out.append(mark)
+        elif mark == "[":
+            skipped = find.after("]", at)
+            if skipped >= 0:
+                at = skipped
+            else:
+                out.append(mark)
+        elif mark[0] == "'":
+            pass
+        elif mark == "|":
+            if stack and stack[-1][0] == "[[" and stack[-1][2] is None:
+                stack[-1][2] = len(out)
+            out.append(mark)
+        elif mark in ("{{", "[[") or mark.endswith("{|"):
+            what = mark[-2:]
+            stack.append([what, len(out), None])
+            opened[what] += 1
+            out.append(mark)
+        elif mark == "]]":
+            frame = close("[[")
+            if frame is None:
+                out.append(mark)
+                continue
+            _, first, bar = frame
+            target = next((x for x in out[first + 1 : first + 3] if isinstance(x, str) and x), "")
+            label = out[bar + 1 :] if bar is not None and any(out[bar + 1 :]) else out[first + 1 :]
+            if not any(label):
+                out.append(mark)  # nothing between: no link
+                continue
+            del out[first:]
+            if not FILE_LINK.match(target) and not (drop_categories and CATEGORY_LINK.match(target)):
+                out.append(label)
+        else:
+            frame = close("{{" if mark == "}}" else "{|")
+            if frame:
+                del out[frame[1] :]
+            else:
+                out.append(mark)
+    flat: list[str] = []
+    rest = [iter(out)]
+    while rest:
+        for x in rest[-1]:
+            if isinstance(x, list):
+                rest.append(iter(x))
+                break
+            flat.append(x)
+        else:
+            rest.pop()
+    text = "".join(flat)
+    if "=" not in text:
+        return text
+    return "\n".join(_heading(line) if line[:1] == "=" == line[-1:] else line for line in text.split("\n"))
+
+
+def _heading(line: str) -> str:
+    inside = line.strip("=")
+    return (inside.lstrip() or inside[-1:]) if inside and "=" not in inside else line
+
+
+def scan_markup(c: Column, drop_categories: bool = False) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else plain_text(t, drop_categories))
+
+    return run(c)
+
+
 def strip_nested_templates(c: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -79,7 +210,8 @@ def final_clean(c: Column) -> Column:
 
 
 def remove_markup(c: Column, nested: bool = True, drop_categories: bool = False) -> Column:
-    return final_clean(regex_clean(strip_nested_templates(c) if nested else c, drop_categories))
+    """Plain text by the scan, or with ``nested=False`` by the single-pass rule; then blanks are tidied."""
+    return final_clean(scan_markup(c, drop_categories) if nested else regex_clean(c, drop_categories))
 
 
 def strip_tags(c: Column) -> Column:
