@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import wiki
+from textloom.sources import dump
 
 PAGE_SCHEMA = "title STRING, ns INT, id BIGINT, redirect STRUCT<_title: STRING>, revision ARRAY<STRUCT<text: STRING>>"
 MIN_CHARS = 50
@@ -72,12 +73,16 @@ def read_wiki(spark: SparkSession, path: str, max_articles: int | None = None, m
 
     Pages outside the namespaces, redirects with a target, pages without text and
     those with fewer than MIN_CHARS characters left are dropped.  ``max_articles``
-    takes the first ones by page id, after these filters.
+    takes the first ones in the order of the file, after these filters; the file is then read
+    by the source that knows this order (see ``dump``).
     """
-    kept = read_pages(spark, path).where(F.col("namespace").isin(*namespaces) & F.col("redirect").isNull() & (F.coalesce(F.length("raw"), F.lit(0)) > 0))
+    every = dump.read_dump(spark, path) if max_articles else read_pages(spark, path)
+    kept = every.where(F.col("namespace").isin(*namespaces) & F.col("redirect").isNull() & (F.coalesce(F.length("raw"), F.lit(0)) > 0))
     text = wiki.remove_markup(F.col("raw")) if markup_removed else F.col("raw")
-    out = kept.withColumn("text", text).where(F.length(T.strip(F.col("text"))) >= MIN_CHARS).select("page_id", "namespace", "title", "redirect", "text")
-    return out.orderBy("page_id").limit(max_articles) if max_articles else out
+    out = kept.withColumn("text", text).where(F.length(T.strip(F.col("text"))) >= MIN_CHARS)
+    if max_articles:
+        out = out.orderBy("file", "stream", "seq").limit(max_articles)
+    return out.select("page_id", "namespace", "title", "redirect", "text")
 
 
 def with_counts(articles: DataFrame) -> DataFrame:
