@@ -83,7 +83,7 @@ class Pipeline:
             watch.found |= {"rows_in": stats["total_documents"], "rows_out": stats["total_documents"], **stats}
         if output:
             write_text(self.spark, f"{output}/tokenizer.json", model.to_json())
-            sinks.write_processed(coded, f"{output}/processed_data.{fmt}", fmt, cfg.get("output.compression"))
+            sinks.write_processed(coded, f"{output}/processed_data.{fmt}", fmt, cfg.get("output.compression"), cfg.get("output.max_file_size_mb"))
             sinks.write_tokens(coded, f"{output}/tokenized_data.jsonl")
             report = sinks.summary({k: stats[k] for k in ("total_documents", "total_tokens", "vocab_size", "avg_tokens_per_doc", "compression_ratio")})
             write_text(self.spark, f"{output}/summary.json", json.dumps(report, indent=2))

@@ -1,4 +1,4 @@
-"""Outputs: Parquet, JSON lines, token files, summaries."""
+"""Outputs: Parquet, JSON lines, Arrow, token files, summaries."""
 
 from __future__ import annotations
 
@@ -10,17 +10,26 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = ("parquet", "jsonl")
+from textloom import shards
 
+FORMATS = shards.FORMATS
 
-def write_processed(df: DataFrame, path: str, fmt: str = "parquet", compression: str = "snappy") -> None:
-    """(id, title, text, tokens) as Parquet with token counts, or as JSON lines with tokens."""
-    if fmt == "parquet":
-        df.select("id", "title", "text", F.size("tokens").cast("long").alias("token_count")).write.mode("overwrite").option("compression", compression).parquet(path)
-    elif fmt == "jsonl":
-        df.select("id", "title", "text", "tokens").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    else:
+
+def write_processed(df: DataFrame, path: str, fmt: str = "parquet", compression: str = "snappy", max_mb: float | None = None) -> None:
+    """(id, title, text, tokens) as Parquet with token counts, or as JSON lines or Arrow files with tokens.
+
+    With ``max_mb``, and for Arrow always, in files of a bounded size (see ``shards``).
+    """
+    if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {FORMATS}")
+    last = F.size("tokens").cast("long").alias("token_count") if fmt == "parquet" else F.col("tokens")
+    rows = df.select("id", "title", "text", last)
+    if max_mb or fmt == "arrow":
+        shards.write_shards(rows, path, fmt, max_mb or shards.MAX_MB, compression)
+    elif fmt == "parquet":
+        rows.write.mode("overwrite").option("compression", compression).parquet(path)
+    else:
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_tokens(df: DataFrame, path: str, fmt: str = "jsonl", id_col: str | None = "id") -> None:
