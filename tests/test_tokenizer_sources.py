@@ -108,7 +108,7 @@ def test_run_and_outputs(spark, tmp_path):
     assert set(spark.read.json(str(tmp_path / "j")).columns) == {"id", "title", "text", "tokens"}
     sinks.write_tokens(out, str(tmp_path / "t.json"), "json")
     assert len(json.loads((tmp_path / "t.json").read_text())["documents"]) == 5
-    for f in (lambda: sinks.write_processed(out, "x", "arrow"), lambda: sinks.write_tokens(out, "x", "arrow")):
+    for f in (lambda: sinks.write_processed(out, "x", "csv"), lambda: sinks.write_tokens(out, "x", "arrow")):
         with pytest.raises(ValueError):
             f()
 

@@ -11,6 +11,7 @@ import html
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,37 +34,85 @@ class CleanConfig:
 #: Replacements of the encoding repair beside mis-decoded UTF-8.
 QUOTES = {0x2018: "'", 0x2019: "'", 0x201A: "'", 0x201B: "'", 0x201C: '"', 0x201D: '"', 0x201E: '"', 0x201F: '"', 0x02BC: "'"}
 LIGATURES = {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl", 0xFB05: "st", 0xFB06: "st", 0x0132: "IJ", 0x0133: "ij"}
-_MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+")
+_MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]+")
+_FOREIGN = re.compile("[^\x00-\x7f]+")
+#: What capitals and marks that stand together by chance would be read as.
+_PHONETIC = re.compile("[\u0250-\u02af]")
+_BESIDE = re.compile("[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
+#: Encodings that UTF-8 is taken for, the commonest first, and how often one after another.
+ENCODINGS = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "mac-roman", "cp437", "cp850", "koi8-r", "cp1253", "cp1254", "cp1257")
+STEPS = 4
+#: Characters beyond ASCII that must agree before one of the rarer encodings is believed, unless marks are among them.
+LEAST_FOREIGN = 4
+
+
+@lru_cache(maxsize=len(ENCODINGS))
+def byte_of(encoding: str) -> dict[str, int]:
+    """The byte of each character beyond ASCII; where the encoding has a hole, Latin-1 fills it."""
+    out = {}
+    for b in range(0x80, 0x100):
+        try:
+            out[bytes([b]).decode(encoding)] = b
+        except UnicodeDecodeError:
+            out.setdefault(chr(b), b)
+    return out
+
+
+def undone(run: str, encoding: str) -> str | None:
+    """The text that was UTF-8 before it was read in an encoding; None if it was not, or is phonetic signs."""
+    table = byte_of(encoding)
+    try:
+        back = bytes([table[c] for c in run]).decode("utf-8")
+    except (KeyError, UnicodeDecodeError):
+        return None
+    return None if _PHONETIC.search(back) else back
 
 
-def _sloppy_bytes(text: str) -> bytes:
-    """Windows-1252 where it has the character, Latin-1 for its five holes."""
-    out = bytearray()
-    for c in text:
-        try:
-            out += c.encode("cp1252")
-        except UnicodeEncodeError:
-            out += c.encode("latin-1")
-    return bytes(out)
+def implausible(text: str) -> int:
+    """Neighbours that seldom meet: a capital after a small letter, a symbol or control after a letter, letters of two alphabets."""
+    n = 0
+    for m in _BESIDE.finditer(text):
+        for a, b in zip(m[0], m[0][1:]):
+            if a.isalpha():
+                kind = unicodedata.category(b)
+                n += a.islower() and b.isupper() or kind in ("Sm", "Sk", "So", "Cc") or kind[0] == "L" and (a < "\u0370") != (b < "\u0370")
+    return n
+
+
+def misread(text: str) -> str | None:
+    """The text before one misreading that explains every character beyond ASCII; None if none does.
+
+    Of several the one whose text has the fewest implausible pairs, then the commonest.
+    """
+    runs = list(dict.fromkeys(_FOREIGN.findall(text)))
+    found = []
+    for encoding in ENCODINGS if runs else ():
+        fixed = {}
+        for run in runs:
+            if (back := undone(run, encoding)) is None:
+                break
+            fixed[run] = back
+        else:
+            sure = encoding in ENCODINGS[:2] or sum(map(len, runs)) >= LEAST_FOREIGN or any(unicodedata.category(c)[0] not in "LM" for run in runs for c in run)
+            if sure:
+                found.append(_FOREIGN.sub(lambda m: fixed[m[0]], text))
+    return min(found, key=implausible) if len(set(found)) > 1 else found[0] if found else None
 
 
 def repair(text: str | None) -> str | None:
-    """UTF-8 that was read as Windows-1252 or Latin-1, entities, quotes, ligatures, widths, line ends, NFC."""
+    """UTF-8 that was read in another encoding, entities, quotes, ligatures, widths, line ends, NFC.
+
+    A chain of up to STEPS misreadings is undone step by step: one that explains the whole
+    text, else those stretches that Windows-1252 or Latin-1 explain.
+    """
     if text is None:
         return None
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    for _ in range(3):
-        if not _MOJIBAKE.search(text):
-            break
-
-        def once(m: re.Match) -> str:
-            try:
-                return _sloppy_bytes(m[0]).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                return m[0]
-
-        new = _MOJIBAKE.sub(once, text)
+    for _ in range(0 if text.isascii() else STEPS):
+        new = misread(text)
+        if new is None:
+            new = _MOJIBAKE.sub(lambda m: undone(m[0], "cp1252") or undone(m[0], "latin-1") or m[0], text)
         if new == text:
             break
         text = new
