@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -54,6 +55,65 @@ def test_rules_and_model(spark, corpus, by_id):
     assert quality_rules.judge(docs.limit(0), model).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_probability(model, text):
+    """One number at a time: hashed n-grams, the mean weight of each family, the calibrated sigmoid."""
+    golden, shift = 0x9E3779B97F4A7C15, 64 - (quality_rules.DIMS.bit_length() - 1)
+    words = []
+    for w in WORD.findall(text):
+        raw = w.encode()
+        h = mixed(len(raw) + golden & M64)
+        for i in range(0, len(raw), 8):
+            h = mixed(h ^ int.from_bytes(raw[i : i + 8], "little") * golden & M64)
+        words.append(h)
+
+    def window(k, at):
+        h = k
+        for w in words[at : at + k]:
+            h = mixed(h * 0xD6E8FEB86659FD93 + w & M64)
+        return h
+
+    found = [[(window(k, i) * golden & M64) >> shift for i in range(len(words) - k + 1)] for k in quality_rules.WORDS]
+    if len(words) > 3:
+        three = [window(3, i) for i in range(len(words) - 2)]
+        found.append([int(three.count(x) > 1) for x in three])
+    for k in quality_rules.CHARS:
+        family = []
+        for i in range(len(text) - k + 1):
+            h = k
+            for c in text[i : i + k]:
+                h = (h + ord(c)) * 0xFF51AFD7ED558CCD & M64
+                h ^= h >> 32
+            family.append((h * golden & M64) >> shift)
+        found.append(family)
+    margin = model.bias + sum(sum(float(model.weights[b]) for b in f) / len(f) for f in found if f)
+    return 1 / (1 + math.exp(-max(-40, min(40, model.slope * margin + model.offset))))
+
+
+def test_verdicts_equal_plain_python(spark, corpus, by_id):
+    docs, labels = corpus
+    model = quality_rules.train(docs, labels)
+    odd = spark.createDataFrame([(2000, "é 日本 " * 30, "x"), (2001, "a b c " * 16 + "%%% " * 9, "x"), (2002, "word " * 50, "x"), (2003, "\x1c\x85 x\ty " * 40, "x")], docs.schema)
+    every = docs.where("doc_id % 7 = 0 or doc_id >= 1000").union(odd)
+    got = by_id(quality_rules.judge(every, model))
+    rows = {r["doc_id"]: r["text"] or "" for r in every.collect()}
+    assert len(rows) > 90 and {True, False} <= {r["kept"] for r in got.values()}
+    for i, t in rows.items():
+        n, chars, symbols, lines, repeated = base(t)
+        failed = n < 50 or 100 * repeated > 50 * n
+        p = plain_probability(model, t)
+        assert abs(got[i]["quality"] - p) < 1e-4
+        assert got[i]["kept"] == (not failed and p >= quality_rules.KEEP) or abs(p - quality_rules.KEEP) < 1e-4
+
+
 def test_model_without_labels_keeps_everything(corpus, by_id):
     docs, labels = corpus
     for few in (labels.limit(0), labels.where("quality = 1")):

@@ -389,24 +389,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         left.append(got)
         return got
 
-    return _by_pass(docs.sparkSession, passes(benchmark, item_col, limit=limit), query, narrow)
+    return _by_pass(docs.sparkSession, passes(benchmark, item_col, limit=limit), query, narrow, whole=True)
 
 
-def _by_pass(spark: SparkSession, indexes: Iterator[Index], query, join) -> DataFrame:
-    """One pass stays lazy; of several, each one's result is stored and its broadcast dropped before the next."""
-    out, index = None, next(indexes)
+def _by_pass(spark: SparkSession, indexes: Iterator[Index], query, join, whole: bool = False) -> DataFrame:
+    """One pass stays lazy; of several, each one's result is stored and its broadcast dropped before the next.
+
+    Where a result is ``whole``, the ones before it are removed.
+    """
+    out, before, index = None, None, next(indexes)
     while True:
-        following = next(indexes, None)
         shipped = spark.sparkContext.broadcast(index)
         got = query(shipped)
+        following = next(indexes, None)
         if following is None and out is None:
             return got
-        got = common.store(got, common.shared_dir(spark))
+        index, path = following, common.shared_dir(spark)
+        got = common.store(got, path)
         shipped.destroy()
         out = join(out, got)
+        if whole and before:
+            common.remove(spark, before)
+        before = path
         if following is None:
             return out
-        index = following
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
