@@ -135,21 +135,47 @@ def candidate_pairs(banded: DataFrame) -> DataFrame:
     return x.join(y, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a normalised text's k-character windows."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    h = np.full(n, 0x243F6A8885A308D3, np.uint64)
+    for i in range(k):
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
 def jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """(a, b, jaccard) by the sets of 64-bit hashes of all shingles; docs: (ord, text), texts normalised.
 
-    Only texts that are in a pair are cut and shuffled, once.
+    Only texts that are in a pair are cut, in Arrow batches, and only their sets are shuffled.
     """
     path = shared_dir(docs.sparkSession)
     pairs = store(pairs.select("a", "b"), f"{path}/pairs")
-    ids = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
-    shingles = F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), 1), lambda x: F.xxhash64(x))
-    sets = store(docs.select("ord", "text").join(ids, "ord", "left_semi").select("ord", F.array_distinct(shingles).alias("s")), f"{path}/sets")
+    ids = store(pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct(), f"{path}/ids")
+
+    @F.pandas_udf("binary")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: shingle_set(t or "", k).tobytes())
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(a: bytes, b: bytes) -> float:
+            if a == b:
+                return 1.0
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both / (len(a) + len(b) - both)
+
+        return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    sets = store(docs.select("ord", "text").join(ids, "ord", "left_semi").select("ord", cut(F.col("text")).alias("s")), f"{path}/sets")
     x = sets.select(F.col("ord").alias("a"), F.col("s").alias("x"))
     y = sets.select(F.col("ord").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("n")
-    return both.select("a", "b", F.when(union == 0, F.lit(1.0)).otherwise(F.col("n").cast("double") / union).alias("jaccard"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,12 +354,17 @@ def exact_duplicates(df: DataFrame, algorithm: str = "md5", ord_col: str = "doc_
     """Add ``first_id`` (the first row with the same content) and ``is_duplicate``.
 
     Only ids and hashes are grouped; texts are never shuffled by content, so that a large
-    group of copies goes to no single task.  Rows of one id have one ``first_id``, the least.
+    group of copies goes to no single task.  The table of later copies is stored first, so
+    that Spark knows its size: a small one is broadcast, and texts are not shuffled at all.
+    Rows of one id have one ``first_id``, the least.
     """
     keys = df.select(F.col(ord_col).alias("__ord"), content_hash(F.col(text_col), algorithm).alias("__h"))
+    path = shared_dir(df.sparkSession)
+    keys = store(keys, f"{path}/keys")
     first = keys.groupBy("__h").agg(F.min("__ord").alias("first_id"), F.count("*").alias("__n")).where("__n > 1")
     later = keys.join(first, "__h").where(F.col("__ord") != F.col("first_id")).groupBy("__ord").agg(F.min("first_id").alias("first_id"))
-    named = df.join(later.withColumnRenamed("__ord", ord_col), ord_col, "left").select(*(df[c] for c in df.columns), later["first_id"])
+    later = store(later, f"{path}/later").withColumnRenamed("__ord", ord_col)
+    named = df.join(later, ord_col, "left").select(*(df[c] for c in df.columns), later["first_id"])
     return named.withColumn("first_id", F.coalesce("first_id", F.col(ord_col))).withColumn("is_duplicate", F.col(ord_col) != F.col("first_id"))
 
 
