@@ -3,6 +3,10 @@
 Repairing encodings and NFKC need Python (one Arrow pass for both, texts in ASCII
 returned as they are unless they hold entities or carriage returns); the rest is
 native.
+
+A null text stays null with null counts; an empty or blank one is too short and becomes null;
+repeated rows are cleaned alike; whole texts are read, however long; an empty table gives an
+empty result; columns beyond those named are carried along.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.language import let
 
 
 @dataclass(frozen=True)
@@ -198,6 +203,14 @@ def with_cleaned(df: DataFrame, text_col: str = "text", cfg: CleanConfig = Clean
     return work.drop("__o", "__t", "__f", "__u", "__e", "__n")
 
 
+def clean_col(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
+    """The cleaned text alone (null where too short), for one column and without counts."""
+    t = prepared(c, cfg)["text"] if cfg.fix_encoding or cfg.normalize_unicode else c
+    for wanted, rule in ((cfg.remove_urls, remove_urls), (cfg.remove_emails, remove_emails), (cfg.remove_citations, remove_citations), (True, remove_control), (cfg.normalize_whitespace, squeeze)):
+        t = rule(t) if wanted else t
+    return let(t, lambda x: F.when(F.length(x) >= cfg.min_length_chars, x))
+
+
 def reduction_ratio(stats: Column) -> Column:
     """Removed characters in percent of the original; 0 for an empty original."""
     return F.coalesce(T.ratio(stats["chars_removed"] * 100, stats["original_length"]), F.lit(0.0))

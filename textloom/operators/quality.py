@@ -2,6 +2,11 @@
 
 Scores after the failing rule stay null, as a reader that stops there would leave
 them.  All expressions are native; ``with_quality`` adds one struct column.
+
+A null text counts as empty, and an empty one has no words and fails first; what is exactly at
+a limit passes; repeated rows are judged alike; whole texts are read (but for the language,
+where ``language_chars`` says so); an empty table gives an empty result; columns beyond those
+named are carried along.
 """
 
 from __future__ import annotations

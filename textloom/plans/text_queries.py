@@ -295,3 +295,30 @@ def compression_ratio(spark, sf_dir):
 @register("sample_docs", "SELECT doc_id, lang FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 3")
 def sample_docs(spark, sf_dir):
     return explore.sample(docs(spark, sf_dir).select("doc_id", "lang"), 3)
+
+
+TOKENS_SQL = f"len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_{WS}]+'))"
+
+
+def explored(spark, sf_dir):
+    d = explore.with_lengths(docs(spark, sf_dir)).withColumn("token_count", F.size(T.pretokens(F.col("text"), T.WORDPIECE)).cast("long"))
+    return explore.compression(d)
+
+
+@register("describe_all", f"WITH l AS (SELECT length(text)::DOUBLE AS a, len(regexp_extract_all(text, '[^{WS}]+'))::DOUBLE AS b, {TOKENS_SQL}::DOUBLE AS c FROM documents) {_describe('text_length', 'a')} UNION ALL {_describe('word_count', 'b')} UNION ALL {_describe('token_count', 'c')}")
+def describe_all(spark, sf_dir):
+    """The three columns of the exploration."""
+    d = explore.describe(explored(spark, sf_dir), ["text_length", "word_count", "token_count"])
+    return d.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@register("ratio_histogram", HIST_SQL.replace("length(text)::DOUBLE AS x FROM documents", f"length(text)::DOUBLE / nullif({TOKENS_SQL}, 0) AS x FROM documents").replace("FROM l, e)", "FROM l, e WHERE x IS NOT NULL)"))
+def ratio_histogram(spark, sf_dir):
+    h = explore.histogram(explored(spark, sf_dir), "compression_ratio")
+    return h.select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+@register("clean_column", f"SELECT doc_id, {cleaned_sql(NOISY_SQL)} AS text_md5 FROM documents")
+def clean_column(spark, sf_dir):
+    cfg = clean.CleanConfig(fix_encoding=False, normalize_unicode=False)
+    return noisy(spark, sf_dir).select("doc_id", F.md5(clean.clean_col(F.col("text"), cfg)).alias("text_md5"))
