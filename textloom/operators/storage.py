@@ -40,8 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back: cuts the lineage durably."""
+    """Write a table and read it back: cuts the lineage durably.
+
+    Shuffle files of a query go when it has ended, not at some later garbage collection: a
+    session setting that stays, and that changes no result.
+    """
     schema = df.schema
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
