@@ -121,6 +121,10 @@ def test_expected_counts_equal_all_segmentations():
         got = Counter()
         assert vocabulary.expected_counts(w, 3, scores, got) == pytest.approx(math.log(sum(weights)))
         assert {t: pytest.approx(x) for t, x in want.items()} == dict(got)
+        got = Counter()
+        assert vocabulary.expected_in_short(w, 3, {t: math.exp(s) for t, s in scores.items()}, got) == pytest.approx(math.log(sum(weights)))
+        assert {t: pytest.approx(x) for t, x in want.items()} == dict(got)
+    assert vocabulary.expected_in_short("ac", 1, {"a": 0.5}, Counter()) is None and vocabulary.expected_counts("ac", 1, {"a": -1.0}, Counter()) == -math.inf
 
 
 def test_expectation_and_seeds_on_the_cluster_equal_plain_python(spark):

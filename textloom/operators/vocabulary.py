@@ -45,6 +45,8 @@ LONG_WORD = 256
 #: Unigram training: longest token, and candidate tokens kept for each one of the vocabulary
 #: (the likeliest by frequency times length; at least SEED_LEAST).  Parameters of the method.
 SEED_LENGTH, SEEDS_PER_TOKEN, SEED_LEAST = 16, 4, 1000
+#: Characters of a piece whose probability is surely within range.
+SHORT_PIECE = 24
 #: Part of the tokens that stay in a round, and passes of expectation maximisation in it.
 SHRINK, PASSES = 0.75, 2
 
@@ -360,6 +362,31 @@ def expected_counts(piece: str, n: int, scores: dict[str, float], into: dict[str
     return ahead[-1]
 
 
+def expected_in_short(piece: str, n: int, chances: dict[str, float], into: dict[str, float]) -> float | None:
+    """The same by plain probabilities, for a piece too short for them to vanish; None if they do."""
+    size = len(piece)
+    ahead, spans = [1.0] + [0.0] * size, []
+    for start in range(size):
+        here = ahead[start]
+        if here:
+            for end in range(start + 1, min(size, start + SEED_LENGTH) + 1):
+                token = piece[start:end]
+                p = chances.get(token)
+                if p is not None:
+                    spans.append((token, start, end, p))
+                    ahead[end] += here * p
+    whole = ahead[size]
+    if whole < 1e-290:
+        return None
+    back = [0.0] * size + [1.0]
+    for token, start, end, p in reversed(spans):
+        p *= back[end]
+        if p:
+            back[start] += p
+            into[token] += n * (ahead[start] * p / whole)
+    return math.log(whole)
+
+
 def seeds(counts: DataFrame, room: int) -> dict[str, int]:
     """All characters and the likeliest longer substrings with how often they occur."""
     at = counts.where("piece != ''").select("piece", "n", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("at"))
@@ -380,9 +407,12 @@ def expectation(counts: DataFrame, scores: dict[str, float]) -> tuple[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, float] = defaultdict(float)
+        chances = {t: math.exp(s) for t, s in shipped.value.items()}
         for batch in batches:
             for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = expected_counts(piece, n, shipped.value, found) if piece else 0.0
+                one = expected_in_short(piece, n, chances, found) if 0 < len(piece) <= SHORT_PIECE else None
+                if one is None:
+                    one = expected_counts(piece, n, shipped.value, found) if piece else 0.0
                 if one > -math.inf:
                     found[""] += n * one  # no token is empty: the likelihood's place
         yield pa.RecordBatch.from_pydict({"token": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.float64())})
