@@ -49,3 +49,8 @@ def test_long_and_odd_texts():
     for text in ("é" * 200_000, "Ã" * 200_000, "Ã©" * 100_000, "\x80" * 10_000, "", "a" * 100_000):
         clean.repair(text)
     assert clean.repair(None) is None
+
+
+def test_lone_marks_are_no_likelier_than_a_capital_in_a_word():
+    for text in ("Etaioiené enéE. Etaioiené", "querçéTion é é querétion"):
+        assert clean.repair(read_as(text, "latin-1")) == text

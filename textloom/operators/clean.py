@@ -74,11 +74,13 @@ def undone(run: str, encoding: str) -> str | None:
 
 
 def implausible(text: str) -> int:
-    """Neighbours that seldom meet: a capital after a small letter, a symbol or control after a letter, letters of two alphabets."""
+    """Neighbours that seldom meet: a capital after a small letter, a symbol or control after a letter, letters of two alphabets, a combining mark on what it makes no letter with."""
     n = 0
     for m in _BESIDE.finditer(text):
         for a, b in zip(m[0], m[0][1:]):
-            if a.isalpha():
+            if "\u0300" <= b <= "\u036f":
+                n += len(unicodedata.normalize("NFC", a + b)) > 1
+            elif a.isalpha():
                 kind = unicodedata.category(b)
                 n += a.islower() and b.isupper() or kind in ("Sm", "Sk", "So", "Cc") or kind[0] == "L" and (a < "\u0370") != (b < "\u0370")
     return n
