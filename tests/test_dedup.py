@@ -188,3 +188,18 @@ def test_simhash_finds_near_texts(spark):
     near = {(a, b) for a in hashes for b in hashes if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 3}
     assert got == sequential(near, 5) and got[3] == 0 and got[1] == 0 and got[2] is None
     assert {r["doc_id"] for r in dedup.simhash_deduplicate(d).collect()} == {0, 2, 4}
+
+
+def test_pairs_of_copies_are_made_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE", 2)
+    monkeypatch.setattr(dedup, "BLOCK", 2)
+    rng = random.Random(5)
+    base = " ".join(str(rng.randint(100, 999)) for _ in range(200))
+    texts = [base] * 5 + [base + f" {i}" for i in range(7)] + [base + " 3"] * 2 + ["ab", "", None] + [" ".join(str(rng.randint(100, 999)) for _ in range(200))]
+    compared, jaccard = [], dedup.jaccard
+    monkeypatch.setattr(dedup, "jaccard", lambda pairs, *rest: (compared.append(pairs.count()), jaccard(pairs, *rest))[1])
+    got = {(r["a"], r["b"]): r["jaccard"] for r in dedup.similar_pairs(docs(spark, *texts)).collect()}
+    cut = [sets(t or "") for t in texts]
+    alike = {(a, b): len(cut[a] & cut[b]) / len(cut[a] | cut[b]) if cut[a] | cut[b] else 1.0 for b in range(len(texts)) for a in range(b)}
+    assert got == {p: pytest.approx(j) for p, j in alike.items() if j >= 0.8}
+    assert compared == [8 * 7 // 2]  # of different texts only

@@ -43,6 +43,8 @@ RADIX = 1_000_003
 EMPTY = P  # of every permutation, for texts without a shingle
 #: Rounds in which the first of a bucket is compared with the others before pairs are listed.
 BUCKET_ROUNDS = 3
+#: Texts of a group that are compared with as many others in one task, and rows of a text that are paired with as many.
+TILE, BLOCK = 64, 1024
 #: Pairs of a component that one task takes in order; larger ones are solved in rounds.
 COMPONENT_EDGES = 1_000_000
 #: SimHash: bits, blocks, and the greatest distance of near texts; blocks - distance blocks agree.
@@ -151,31 +153,69 @@ def shingle_set(text: str, k: int) -> np.ndarray:
 def jaccard(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """(a, b, jaccard) by the sets of 64-bit hashes of all shingles; docs: (ord, text), texts normalised.
 
-    Only texts that are in a pair are cut, in Arrow batches, and only their sets are shuffled.
+    What has the same least neighbour is dealt into tiles of some TILE texts, and the pairs of
+    two tiles meet in one task: a text travels once for each pair of tiles it has pairs in, not
+    for each pair, and as a text, which is an eighth of its set.
     """
     path = shared_dir(docs.sparkSession)
+    kind = pairs.schema["a"].dataType.simpleString()
     pairs = store(pairs.select("a", "b"), f"{path}/pairs")
-    ids = store(pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct(), f"{path}/ids")
-
-    @F.pandas_udf("binary")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: shingle_set(t or "", k).tobytes())
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a: bytes, b: bytes) -> float:
-            if a == b:
-                return 1.0
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            return both / (len(a) + len(b) - both)
-
-        return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
-
-    sets = store(docs.select("ord", "text").join(ids, "ord", "left_semi").select("ord", cut(F.col("text")).alias("s")), f"{path}/sets")
-    x = sets.select(F.col("ord").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("ord").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("jaccard"))
+    least = F.least("a", "b").alias("label")
+    labels = pairs.select(F.col("a").alias("ord"), least).union(pairs.select("b", least)).groupBy("ord").agg(F.min("label").alias("label"))
+    labels = store(labels, f"{path}/labels")
+    large = store(labels.groupBy("label").agg(F.ceil(F.count("*") / TILE).alias("tiles")).where("tiles > 1"), f"{path}/large")
+    tile = F.xxhash64("label", F.pmod(F.xxhash64("ord"), F.coalesce("tiles", F.lit(1))))
+    placed = store(labels.join(large, "label", "left").select("ord", tile.alias("tile")), f"{path}/placed")
+    x, y = (placed.select(F.col("ord").alias(o), F.col("tile").alias(f"tile{o}")) for o in "ab")
+    met = store(pairs.join(x, "a").join(y, "b").select(F.xxhash64("tilea", "tileb").alias("at"), "a", "b"), f"{path}/met")
+    visits = met.select("at", F.col("a").alias("ord")).union(met.select("at", "b")).distinct()
+    texts = visits.join(docs.select("ord", "text"), "ord").select("at", F.col("ord").alias("a"), F.lit(None).cast(kind).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.union(met.select("at", "a", "b", F.lit(None).cast("string")))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of a place come first, then its pairs."""
+        place, sets = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for at, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != place:
+                    place, sets = at, {}
+                if b is None:
+                    sets[a] = shingle_set(text, k)
+                elif a in sets and b in sets:
+                    m, n = sets[a], sets[b]
+                    both = len(np.intersect1d(m, n, assume_unique=True))
+                    out.append((a, b, both / (len(m) + len(n) - both) if len(m) or len(n) else 1.0))
+            types = batch.schema.field("a").type, batch.schema.field("a").type, pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["a", "b", "jaccard"])
+
+    # Nulls sort first: a place's texts before its pairs.
+    return rows.repartition("at").sortWithinPartitions("at", "b").mapInArrow(alike, f"a {kind}, b {kind}, jaccard double")
+
+
+def similar_pairs(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, jaccard) of all rows that share a band and are as similar as the threshold, a < b.
+
+    Texts that normalise alike are compared as one; their rows are paired at the end, in blocks
+    of BLOCK rows, each two blocks in a task, so only the result grows with the square of the copies.
+    """
+    spark = df.sparkSession
+    out = shared_dir(spark)
+    with temporary(spark, out):
+        path = shared_dir(spark)
+        keyed, firsts, heads, banded = _heads(df, cfg, ord_col, text_col, path)
+        found = jaccard(candidate_pairs(banded.select("ord", F.lit(0).alias("band"), F.col("bucket").alias("key"))), heads, cfg.shingle_size)
+        found = store(found.where(F.col("jaccard") >= cfg.threshold), f"{path}/alike")
+        rows = keyed.join(firsts, "h").select("head", "ord")
+        many = store(firsts.where("n > 1").select("head", F.ceil(F.col("n") / BLOCK).alias("blocks")), f"{path}/many")
+        block = F.pmod(F.xxhash64("ord"), F.coalesce("blocks", F.lit(1))).alias("block")
+        members = store(rows.join(many, "head", "left").select("head", block, "ord").groupBy("head", "block").agg(F.collect_list("ord").alias("ords")), f"{out}/members")
+        links = store(found.union(many.select("head", "head", F.lit(1.0))), f"{out}/links")
+    x, y = (members.select(F.col("head").alias(o), F.col("block").alias(f"block{o}"), F.col("ords").alias(f"ords{o}")) for o in "ab")
+    met = links.join(x, "a").join(y, "b").where("a <> b or blocka <= blockb")
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "blocka", "b", "blockb")
+    each = met.withColumn("one", F.explode("ordsa")).withColumn("other", F.explode("ordsb")).where("a <> b or blocka < blockb or one < other")
+    return each.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,18 +313,23 @@ def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: st
         return store(_near(df, cfg, ord_col, text_col), out)
 
 
-def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataFrame:
-    path = shared_dir(df.sparkSession)
+def _heads(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ord, h), (h, head, n), (ord, text) of the first row of each text, (ord, bucket) where others share it."""
     rows = df.select(F.col(ord_col).alias("ord"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("text", F.when(F.length("text") < cfg.shingle_size, F.lit("")).otherwise(F.col("text"))).withColumn("h", F.md5("text"))
     # One row for each text: ids by hash first, so that a text's copies are never gathered.
     keyed = store(spread(rows).select("ord", "h"), f"{path}/keys")
-    firsts = store(keyed.groupBy("h").agg(F.min("ord").alias("head")), f"{path}/firsts")
+    firsts = store(keyed.groupBy("h").agg(F.min("ord").alias("head"), F.count("*").alias("n")), f"{path}/firsts")
     heads = store(spread(rows.select("ord", "text")).join(firsts.select(F.col("head").alias("ord")), "ord", "left_semi").dropDuplicates(["ord"]), f"{path}/heads")
     banded = bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg).select("ord", F.xxhash64("band", "key").alias("bucket"))
     banded = store(banded, f"{path}/every")
     crowd = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    banded = store(banded.join(crowd, "bucket", "left_semi"), f"{path}/bands")
+    return keyed, firsts, heads, store(banded.join(crowd, "bucket", "left_semi"), f"{path}/bands")
+
+
+def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataFrame:
+    path = shared_dir(df.sparkSession)
+    keyed, firsts, heads, banded = _heads(df, cfg, ord_col, text_col, path)
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that are near, stored."""
@@ -320,7 +365,7 @@ def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataF
     if early.limit(1).count():
         better = near(early, "earlier").groupBy(F.col("b").alias("head")).agg(F.min("a").alias("better"))
         final = final.join(better, "head", "left").select("head", F.coalesce("better", "original").alias("original"))
-    named = firsts.join(final, "head", "left")
+    named = firsts.select("h", "head").join(final, "head", "left")
     result = keyed.join(named, "h")
     return result.select("ord", F.when(F.col("ord") != F.col("head"), F.coalesce("original", "head")).otherwise(F.col("original")).alias("original"))
 

@@ -76,9 +76,7 @@ def lsh_pairs(spark, sf_dir):
 
 @register("jaccard_pairs", f"WITH {PAIR_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM scored WHERE jaccard >= {CFG.threshold}::DOUBLE")
 def jaccard_pairs(spark, sf_dir):
-    pairs = dedup.candidate_pairs(dedup.bands(dedup.signatures(docs(spark, sf_dir), CFG), CFG))
-    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("ord"), dedup.normalised(F.col("text")).alias("text"))
-    return dedup.jaccard(pairs, texts).where(F.col("jaccard") >= CFG.threshold).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return dedup.similar_pairs(docs(spark, sf_dir), CFG).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @register("dedup_leaders", f"{LEADER_SQL} SELECT ord AS doc_id FROM judged WHERE original IS NULL")
