@@ -203,3 +203,12 @@ def test_pairs_of_copies_are_made_at_the_end(spark, monkeypatch):
     alike = {(a, b): len(cut[a] & cut[b]) / len(cut[a] | cut[b]) if cut[a] | cut[b] else 1.0 for b in range(len(texts)) for a in range(b)}
     assert got == {p: pytest.approx(j) for p, j in alike.items() if j >= 0.8}
     assert compared == [8 * 7 // 2]  # of different texts only
+
+
+def test_signatures_are_the_least_remainders(spark):
+    text = "".join(chr(random.Random(i).randint(97, 2000)) for i in range(3000))
+    h = dedup.shingle_hashes(text, 5).tolist()
+    want = [min((a * x + b) % dedup.P for x in h) for a, b in dedup.coefficients(128)]
+    d = docs(spark, text, "abc")
+    got = [r["s"] for r in d.select(dedup.signature(F.col("text")).alias("s")).collect()]
+    assert got == [want, [dedup.EMPTY] * 128]

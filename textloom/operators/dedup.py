@@ -103,16 +103,27 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
 
 def signature(c: Column, cfg: DedupConfig = DedupConfig()) -> Column:
     """MinHash of a normalised text, as array<long>; blocks of shingles bound the memory."""
-    pairs = np.array(coefficients(cfg.num_perm), np.int64)
-    k = cfg.shingle_size
+    a, b = np.array(coefficients(cfg.num_perm), np.uint64).T[:, :, None].copy()
+    k, low, high = cfg.shingle_size, np.uint64(P), np.uint64(31)
 
     @F.pandas_udf("array<long>")
     def run(s: pd.Series) -> pd.Series:
+        spaces = np.empty((2, len(a) * 1024), np.uint64)
+
         def one(t: str | None) -> np.ndarray:
-            h, out = shingle_hashes(t or "", k), np.full(len(pairs), EMPTY, np.int64)
-            for i in range(0, len(h), 4096):
-                out = np.minimum(out, ((pairs[:, :1] * h[None, i : i + 4096] + pairs[:, 1:]) % P).min(axis=1))
-            return out
+            h, out = shingle_hashes(t or "", k).astype(np.uint64), np.full(len(a), EMPTY, np.uint64)
+            for i in range(0, len(h), 1024):
+                part = h[i : i + 1024]
+                x, y = (space[: len(a) * len(part)].reshape(len(a), -1) for space in spaces)
+                np.multiply(a, part, out=x)
+                np.add(x, b, out=x)
+                # The remainder by P, one less than a power of two: the low bits and the high ones, less P where that is not below 0.
+                np.right_shift(x, high, out=y)
+                np.bitwise_and(x, low, out=x)
+                np.add(x, y, out=x)
+                np.subtract(x, low, out=y)
+                out = np.minimum(out, np.minimum(x, y, out=x).min(axis=1))
+            return out.astype(np.int64)
 
         return s.map(one)
 
