@@ -169,3 +169,17 @@ def test_unigram_fits_as_well_as_the_public_trainer(spark):
         public = dict(json.loads(theirs.to_str())["model"]["vocab"])
         assert len(mine) <= size
         assert log_likelihood(words, mine) >= 1.01 * log_likelihood(words, {t: s for t, s in public.items() if t})
+
+
+def test_coded_slices_equal_piece_by_piece(spark, monkeypatch):
+    import pyarrow as pa
+
+    from textloom.operators import tokenizer
+
+    d = spark.createDataFrame([(1, "low lower lowest"), (2, None), (3, ""), (4, "new low newer é"), (5, "low")], "doc_id long, text string")
+    model = tokenizer.train(d, "bpe", 280)
+    lists = [["low", " lower"], None, [], [" low", "low", "é"], ["unseen"]]
+    assert [x or [] for x in tokenizer.coded(model, pa.array(lists, pa.list_(pa.string()))).to_pylist()] == [[i for p in x or [] for i in model.piece_ids(p)] for x in lists]
+    coded = tokenizer.encode(d, model)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert [r[0] for r in coded.select(tokenizer.decode_text(coded["tokens"], model)).collect()] == ["low lower lowest", "", "", "new low newer é", "low"]

@@ -89,6 +89,16 @@ def _at_exit(spark: SparkSession) -> None:
         _made.clear()
 
 
+#: Rows and bytes of the Arrow batches that a worker gets: several copies of one are in its memory at once.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """A session setting that stays, since plans are made when their action runs, and that changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Bytes of plan size below which a table is dealt out again before costly work on its texts.
 SMALL_BYTES = 256 << 20
 

@@ -12,14 +12,16 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import vocabulary
-from textloom.operators.storage import read_text, shared_dir, store, temporary, write_text
+from textloom.operators.storage import read_text, shared_dir, small_batches, store, temporary, write_text
 from textloom.operators.vocabulary import best_split
 
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
@@ -27,6 +29,8 @@ ALGORITHMS = ("bpe", "wordpiece", "unigram")
 UNK = "<unk>"
 MAX_WORD = 100
 UNKNOWN_PENALTY = 10.0
+#: Pieces that are coded at once, and distinct pieces a worker remembers.
+SLICE_PIECES, KNOWN_PIECES = 1 << 18, 100_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -80,7 +84,7 @@ class Model:
         ids = self._known.get(piece)
         if ids is None:
             ids = {"bpe": self._bpe, "wordpiece": self._wordpiece, "unigram": self._unigram}[self.algorithm](piece)
-            if len(self._known) < 200_000:
+            if len(self._known) < KNOWN_PIECES:
                 self._known[piece] = ids
         return ids
 
@@ -198,17 +202,43 @@ def train_from_files(spark: SparkSession, paths: list[str], **options) -> Model:
 
 
 def encode(df: DataFrame, model: Model, text_col: str = "text", out: str = "tokens") -> DataFrame:
-    """Add ``tokens: array<int>``: pieces are cut in the JVM, distinct ones coded once per worker."""
+    """Add ``tokens: array<int>``: pieces are cut in the JVM, distinct ones coded once per worker.
+
+    Pieces and ids stay in Arrow, some SLICE_PIECES of them at a time, so a worker's memory
+    does not grow with its batch; only the distinct pieces of a slice become Python strings.
+    """
+    small_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def ids(pieces: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(pieces: pa.Array) -> pa.Array:
         m = shipped.value
-        return pieces.map(lambda ps: [i for p in (ps if ps is not None else []) for i in m.piece_ids(p)])
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)))
+        done, at = [], 0
+        while at < len(pieces):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_PIECES, "right")) - 1)
+            done.append(coded(m, pieces.slice(at, to - at)))
+            at = to
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     return df.withColumn(out, ids(T.pretokens(F.coalesce(F.col(text_col), F.lit("")), piece_pattern(model.algorithm))))
 
 
+def coded(model: Model, pieces: pa.ListArray) -> pa.ListArray:
+    """The ids of each list of pieces; each distinct piece is looked up once."""
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    named = pieces.flatten().dictionary_encode()
+    known = [model.piece_ids(p) for p in named.dictionary.to_pylist()]
+    table = np.fromiter((i for ids in known for i in ids), np.int32)
+    sizes = np.fromiter(map(len, known), np.int64, len(known))
+    starts = np.cumsum(sizes) - sizes
+    which = named.indices.to_numpy(zero_copy_only=False)
+    n = sizes[which]
+    ends = np.append(0, np.cumsum(n))
+    values = table[np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], n)] if len(table) else table
+    return pa.ListArray.from_arrays(pa.array(ends[np.append(0, np.cumsum(counts))], pa.int32()), pa.array(values, pa.int32()))
+
+
 def vocab_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(sorted(model.vocab.items(), key=lambda x: x[1]), "token string, id int")
 
@@ -226,16 +256,17 @@ def decode_col(ids: Column, model: Model) -> Column:
 
 def decode_text(ids: Column, model: Model) -> Column:
     """The text itself: bytes for BPE, words for the others."""
-    tokens, specials, algorithm = model.tokens, set(model.specials), model.algorithm
+    specials, algorithm = set(model.specials), model.algorithm
+    tokens = {i: bytes(_CHARS[c] for c in t) if algorithm == "bpe" else t for i, t in model.tokens.items() if t not in specials}
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(x) -> str | None:
             if x is None:
                 return None
-            parts = [t for i in x if (t := tokens.get(int(i))) is not None and t not in specials]
+            parts = [t for i in x.tolist() if (t := tokens.get(i)) is not None]
             if algorithm == "bpe":
-                return bytes(_CHARS[c] for t in parts for c in t).decode("utf-8", "replace")
+                return b"".join(parts).decode("utf-8", "replace")
             if algorithm == "wordpiece":
                 return " ".join(parts).replace(" ##", "")
             return "".join(parts)
