@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import wiki
+from textloom.operators.storage import small_batches
 from textloom.sources import dump
 
 PAGE_SCHEMA = "title STRING, ns INT, id BIGINT, redirect STRUCT<_title: STRING>, revision ARRAY<STRUCT<text: STRING>>"
@@ -76,6 +77,7 @@ def read_wiki(spark: SparkSession, path: str, max_articles: int | None = None, m
     takes the first ones in the order of the file, after these filters; the file is then read
     by the source that knows this order (see ``dump``).
     """
+    small_batches(spark)
     every = dump.read_dump(spark, path) if max_articles else read_pages(spark, path)
     kept = every.where(F.col("namespace").isin(*namespaces) & F.col("redirect").isNull() & (F.coalesce(F.length("raw"), F.lit(0)) > 0))
     text = wiki.remove_markup(F.col("raw")) if markup_removed else F.col("raw")
