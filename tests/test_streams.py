@@ -70,3 +70,13 @@ def test_stages_without_state_do_on_a_stream_what_they_do_on_a_table(spark, tmp_
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, judged(spark.createDataFrame(rows, SCHEMA)).collect())) and len(got) == 4
     assert listener.rows == len(rows) and told == sorted(told) and len(told) >= 3
+
+
+def test_files_of_a_stream_are_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    from textloom.plans import token_queries as q
+
+    spark.range(1000).selectExpr("id AS doc_id", "repeat(md5(string(id)), 20) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(q, "STREAM_FILE_BYTES", 5000)
+    folder, n = q._folder(spark, str(tmp_path), f"file://{tmp_path}/stream")
+    assert n > 4 and len(list((tmp_path / "stream/source").glob("*.parquet"))) == n
+    assert q.stream_exact_dedup(spark, str(tmp_path)).first()["n"] == 1000

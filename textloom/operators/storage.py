@@ -103,6 +103,12 @@ def small_batches(spark: SparkSession) -> None:
 SMALL_BYTES = 256 << 20
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate; None in a remote session, which has no plan to look at."""
+    plan = getattr(df, "_jdf", None)
+    return None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small table over all cores; changes the layout, never a result.
 
@@ -110,8 +116,8 @@ def spread(df: DataFrame) -> DataFrame:
     alone.  The optimizer's size estimate decides: a large table has splits enough and
     is left as it is, so this never shuffles much.
     """
-    plan = getattr(df, "_jdf", None)  # a remote session has none: left as it is
-    if plan is None or int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
+    size = plan_bytes(df)
+    if size is None or size >= SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
 

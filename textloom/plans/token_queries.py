@@ -8,7 +8,7 @@ from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import dedup, quality, tokenizer
 from textloom.operators import wiki as markup
-from textloom.operators.storage import shared_dir
+from textloom.operators.storage import plan_bytes, shared_dir
 from textloom.pipeline import Pipeline
 from textloom.plans.catalogue import register
 from textloom.plans.dedup_queries import LEADER_SQL
@@ -121,16 +121,23 @@ STREAM_SQL = f"SELECT count(DISTINCT md5(lower(regexp_replace(regexp_replace(tex
 def stream_exact_dedup(spark, sf_dir):
     source = docs(spark, sf_dir)
     path = shared_dir(spark)
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, path))
+    folder, _ = _folder(spark, sf_dir, path)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(folder)
     q = streams.exact_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").agg(F.count("*").alias("n"))
 
 
+#: Bytes of documents in a file of a stream, about.
+STREAM_FILE_BYTES = 8 << 20
+
+
 def _folder(spark, sf_dir, path):
-    """The documents as a folder of files, which a file stream needs."""
-    docs(spark, sf_dir).repartitionByRange(4, "doc_id").write.parquet(f"{path}/source")
-    return f"{path}/source"
+    """The documents as a folder of files, which a file stream needs, and how many: four, or more of a bounded size."""
+    d = docs(spark, sf_dir)
+    n = max(4, (plan_bytes(d) or 0) // STREAM_FILE_BYTES)
+    d.repartitionByRange(n, "doc_id").write.parquet(f"{path}/source")
+    return f"{path}/source", n
 
 
 @register("stream_minhash_dedup", f"{LEADER_SQL} SELECT ord AS doc_id FROM judged WHERE original IS NULL")
@@ -152,7 +159,8 @@ def stream_minhash_dedup(spark, sf_dir):
 def stream_quality(spark, sf_dir):
     """The stages without state on a stream: each document is judged as it comes."""
     path = shared_dir(spark)
-    stream = spark.readStream.schema(docs(spark, sf_dir).schema).option("maxFilesPerTrigger", 2).parquet(_folder(spark, sf_dir, path))
+    folder, n = _folder(spark, sf_dir, path)
+    stream = spark.readStream.schema(docs(spark, sf_dir).schema).option("maxFilesPerTrigger", (n + 1) // 2).parquet(folder)  # two micro batches
     judged = quality.with_quality(stream).select("doc_id", F.col("quality.reason").alias("reason"), quality.measures(F.col("text"))["word_count"].alias("word_count"))
     q = judged.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
