@@ -212,3 +212,12 @@ def test_signatures_are_the_least_remainders(spark):
     d = docs(spark, text, "abc")
     got = [r["s"] for r in d.select(dedup.signature(F.col("text")).alias("s")).collect()]
     assert got == [want, [dedup.EMPTY] * 128]
+
+
+def test_shingles_are_counted_exactly_over_any_alphabet(spark):
+    rng = random.Random(8)
+    wide = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60_000))  # more kinds than five of them fit into a number
+    texts = ["ab", "aaaaaaa", "abcdefg abcdefg", "😀😀😀😀😀😀a", wide + wide[:50], None]
+    d = docs(spark, *texts)
+    got = [r["n"] for r in d.select("doc_id", dedup.shingle_count(F.col("text")).alias("n")).orderBy("doc_id").collect()]
+    assert got == [len({t[i : i + 5] for i in range(len(t) - 4)}) if t else 0 for t in texts]

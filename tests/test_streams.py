@@ -80,3 +80,14 @@ def test_files_of_a_stream_are_of_a_bounded_size(spark, tmp_path, monkeypatch):
     folder, n = q._folder(spark, str(tmp_path), f"file://{tmp_path}/stream")
     assert n > 4 and len(list((tmp_path / "stream/source").glob("*.parquet"))) == n
     assert q.stream_exact_dedup(spark, str(tmp_path)).first()["n"] == 1000
+
+
+def test_large_tables_are_read_in_small_splits(spark, tmp_path):
+    from textloom.operators import storage
+    from textloom.plans.text_queries import docs
+
+    spark.range(10).selectExpr("id AS doc_id", "'a' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    for before, after in (("128MB", str(storage.SPLIT_BYTES)), ("1m", "1m")):
+        spark.conf.set(storage.SPLIT_KEY, before)
+        assert docs(spark, str(tmp_path)).count() == 10 and spark.conf.get(storage.SPLIT_KEY) in (after, "1048576b")
+    spark.conf.unset(storage.SPLIT_KEY)

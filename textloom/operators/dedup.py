@@ -101,6 +101,31 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def shingle_count(c: Column, k: int = 5) -> Column:
+    """Different k-character windows of a normalised text, exactly: windows are numbers, renumbered before they overflow."""
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> int:
+            codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")
+            n = len(codes) - k + 1
+            if n < 1:
+                return 0
+            found, code = np.unique(codes, return_inverse=True)
+            window, kinds = code[:n].astype(np.int64), len(found)
+            for i in range(1, k):
+                if kinds * len(found) >= 1 << 62:
+                    window = np.unique(window, return_inverse=True)[1]
+                    kinds = int(window.max()) + 1
+                window = window * len(found) + code[i : i + n]
+                kinds *= len(found)
+            return len(np.unique(window))
+
+        return s.map(one)
+
+    return run(c)
+
+
 def signature(c: Column, cfg: DedupConfig = DedupConfig()) -> Column:
     """MinHash of a normalised text, as array<long>; blocks of shingles bound the memory."""
     a, b = np.array(coefficients(cfg.num_perm), np.uint64).T[:, :, None].copy()

@@ -99,6 +99,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Bytes of a file that one task reads, unless the session asks for something else than Spark's default.
+SPLIT_BYTES, SPLIT_KEY = 16 << 20, "spark.sql.files.maxPartitionBytes"
+
+
+def small_splits(spark: SparkSession) -> None:
+    """Texts are costly to work on: 128 MB of packed ones keep a task for long.  A session setting that stays."""
+    if spark.conf.get(SPLIT_KEY).lower() in ("134217728b", "134217728", "128mb", "128m"):
+        spark.conf.set(SPLIT_KEY, str(SPLIT_BYTES))
+
+
 #: Bytes of plan size below which a table is dealt out again before costly work on its texts.
 SMALL_BYTES = 256 << 20
 

@@ -54,9 +54,7 @@ def exact_dedup_stats(spark, sf_dir):
 
 @register("shingle_counts", f"WITH {SHINGLE_SQL} SELECT norm.ord AS doc_id, count(g) AS n_shingles FROM norm LEFT JOIN shingles USING (ord) GROUP BY norm.ord")
 def shingle_counts(spark, sf_dir):
-    from textloom.functions import text as T
-
-    return docs(spark, sf_dir).select("doc_id", F.size(T.char_shingles(F.col("text"))).cast("long").alias("n_shingles"))
+    return docs(spark, sf_dir).select("doc_id", dedup.shingle_count(dedup.normalised(F.col("text")), CFG.shingle_size).alias("n_shingles"))
 
 
 @register("minhash_signatures", f"WITH {SIG_SQL} SELECT ord, md5(array_to_string(sig, ',')) AS sig_md5 FROM sigs")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import clean, explore, language, quality, wiki
-from textloom.operators.storage import spread
+from textloom.operators.storage import small_splits, spread
 from textloom.plans.catalogue import register
 
 #: The same character classes in the oracle's dialect.
@@ -15,10 +15,12 @@ QUOTED = lambda values: ", ".join("'" + v + "'" for v in values)
 
 
 def docs(spark, sf_dir):
+    small_splits(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pages(spark, sf_dir):
+    small_splits(spark)
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
