@@ -156,3 +156,11 @@ def test_blocked_products_equal_all_at_once():
         top = np.argsort(-c)[: knn_quality.K]
         w = np.exp(knn_quality.SHARPNESS * (c[top].astype(float) - 1))
         assert abs(s - (w * m.labels[top]).sum() / w.sum()) < 1e-3
+
+
+def test_a_model_without_a_slope_does_not_cut_texts(monkeypatch):
+    from textloom.llm import ngram_model, quality_rules
+
+    want = quality_rules.NEUTRAL.probability("some text")
+    monkeypatch.setattr(ngram_model, "families", None)
+    assert quality_rules.NEUTRAL.probability("some text") == quality_rules.NEUTRAL.probability("") == want

@@ -40,6 +40,8 @@ class Model:
     offset: float
 
     def probability(self, text: str) -> float:
+        if not self.slope:  # whatever the text: it need not be cut
+            return float(sigmoid(self.offset))
         margin = self.bias
         for f in ngram_model.families(text, DIMS, CHARS, WORDS):
             if len(f):
