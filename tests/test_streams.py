@@ -91,3 +91,29 @@ def test_large_tables_are_read_in_small_splits(spark, tmp_path):
         spark.conf.set(storage.SPLIT_KEY, before)
         assert docs(spark, str(tmp_path)).count() == 10 and spark.conf.get(storage.SPLIT_KEY) in (after, "1048576b")
     spark.conf.unset(storage.SPLIT_KEY)
+
+
+def test_a_batch_signs_each_text_once(spark, tmp_path, monkeypatch):
+    signed = []
+    sign = dedup.signature
+    monkeypatch.setattr(dedup, "signature", lambda *args: signed.append(args) or sign(*args))
+    kept = {}
+    for k, rows in enumerate(([(i, text(i % 5, " x" * (i % 3))) for i in range(20)], [(20, text(1)), (21, text(1)), (22, text(9)), (23, text(9)), (24, text(9, " y"))])):
+        feed(spark, f"{tmp_path}/in", rows)
+        near(spark, str(tmp_path), kept)
+        assert len(signed) == k + 1
+    assert kept == {0: [0, 1, 2, 3, 4], 1: [22]}
+    state = {n: sorted(r["ord"] for r in spark.read.parquet(f"{tmp_path}/state/{n}").select("ord").distinct().collect()) for n in ("bands", "texts")}
+    assert state["bands"] == state["texts"] == [0, 1, 2, 3, 4, 22]
+
+
+def test_the_halves_of_a_stream_are_dealt_into_files(spark, tmp_path, monkeypatch):
+    from textloom.plans import token_queries as q
+
+    rows = [(i, text(i)) for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(q, "STREAM_FILE_BYTES", 200)
+    monkeypatch.setattr(q, "docs", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    monkeypatch.setattr(q, "shared_dir", lambda spark: f"file://{tmp_path}/stream")
+    assert q.stream_minhash_dedup(spark, str(tmp_path)).count() == dedup.deduplicate(spark.createDataFrame(rows, SCHEMA)).count()
+    assert len(list((tmp_path / "stream/source").glob("*.parquet"))) >= 8

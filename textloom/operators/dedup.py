@@ -349,23 +349,68 @@ def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), ord_col: st
         return store(_near(df, cfg, ord_col, text_col), out)
 
 
-def _heads(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(ord, h), (h, head, n), (ord, text) of the first row of each text, (ord, bucket) where others share it."""
+def _texts(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ord, h), (h, head, n), (ord, text) of the first row of each text."""
     rows = df.select(F.col(ord_col).alias("ord"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     rows = rows.withColumn("text", F.when(F.length("text") < cfg.shingle_size, F.lit("")).otherwise(F.col("text"))).withColumn("h", F.md5("text"))
     # One row for each text: ids by hash first, so that a text's copies are never gathered.
     keyed = store(spread(rows).select("ord", "h"), f"{path}/keys")
     firsts = store(keyed.groupBy("h").agg(F.min("ord").alias("head"), F.count("*").alias("n")), f"{path}/firsts")
     heads = store(spread(rows.select("ord", "text")).join(firsts.select(F.col("head").alias("ord")), "ord", "left_semi").dropDuplicates(["ord"]), f"{path}/heads")
-    banded = bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg).select("ord", F.xxhash64("band", "key").alias("bucket"))
-    banded = store(banded, f"{path}/every")
-    crowd = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return keyed, firsts, heads, store(banded.join(crowd, "bucket", "left_semi"), f"{path}/bands")
+    return keyed, firsts, heads
+
+
+def _banded(heads: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(ord, band, key, bucket) of (ord, text)."""
+    return bands(spread(heads).select("ord", signature(F.col("text"), cfg).alias("sig")), cfg).withColumn("bucket", bucket())
+
+
+def bucket() -> Column:
+    return F.xxhash64("band", "key")
+
+
+def _crowded(buckets: DataFrame, path: str) -> DataFrame:
+    """(ord, bucket) where others share it."""
+    crowd = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return store(buckets.join(crowd, "bucket", "left_semi"), f"{path}/bands")
+
+
+def _heads(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ord, h), (h, head, n), (ord, text) of the first row of each text, (ord, bucket) where others share it."""
+    keyed, firsts, heads = _texts(df, cfg, ord_col, text_col, path)
+    return keyed, firsts, heads, _crowded(store(_banded(heads, cfg).select("ord", "bucket"), f"{path}/every"), path)
+
+
+def after_earlier(df: DataFrame, earlier: tuple[DataFrame, DataFrame] | None, cfg: DedupConfig = DedupConfig(), ord_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ord), (ord, band, key), (ord, text) of the rows that stay when those of ``earlier`` came before and stay.
+
+    ``earlier`` has the last two tables of what was there.  Each text is signed once, whether
+    it is held against earlier texts, against its own table or kept for later ones.
+    """
+    path = shared_dir(df.sparkSession)
+    keyed, firsts, heads = _texts(df, cfg, ord_col, text_col, path)
+    every = store(_banded(heads, cfg), f"{path}/every")
+    buckets = every.select("ord", "bucket")
+    if earlier is not None:
+        old, old_texts = earlier
+        pairs = old.select(F.col("ord").alias("a"), bucket().alias("bucket")).join(buckets.withColumnRenamed("ord", "b"), "bucket").select("a", "b").distinct()
+        if cfg.verify:
+            pairs = jaccard(pairs, old_texts.select("ord", "text").union(heads.select("ord", "text")), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)
+        known = store(pairs.select(F.col("b").alias("ord")).distinct(), f"{path}/known")
+        buckets = buckets.join(known, "ord", "left_anti")
+        firsts = firsts.join(known.withColumnRenamed("ord", "head"), "head", "left_anti").select("h", "head", "n")  # copies of a known text go with it
+    judged = _judged(keyed, firsts, heads, _crowded(buckets, path), cfg, path)
+    stays = store(judged.where("original is null").select("ord").distinct(), f"{path}/stay")
+    return stays, *(x.join(stays, "ord", "left_semi") for x in (every.select("ord", "band", "key"), heads.select("ord", "text")))
 
 
 def _near(df: DataFrame, cfg: DedupConfig, ord_col: str, text_col: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
-    keyed, firsts, heads, banded = _heads(df, cfg, ord_col, text_col, path)
+    return _judged(*_heads(df, cfg, ord_col, text_col, path), cfg, path)
+
+
+def _judged(keyed: DataFrame, firsts: DataFrame, heads: DataFrame, banded: DataFrame, cfg: DedupConfig, path: str) -> DataFrame:
+    """(ord, original) of the rows whose text is in ``firsts``."""
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that are near, stored."""

@@ -132,10 +132,15 @@ def stream_exact_dedup(spark, sf_dir):
 STREAM_FILE_BYTES = 8 << 20
 
 
+def _files(df):
+    """Four, or more of a bounded size."""
+    return max(4, (plan_bytes(df) or 0) // STREAM_FILE_BYTES)
+
+
 def _folder(spark, sf_dir, path):
-    """The documents as a folder of files, which a file stream needs, and how many: four, or more of a bounded size."""
+    """The documents as a folder of files, which a file stream needs, and how many."""
     d = docs(spark, sf_dir)
-    n = max(4, (plan_bytes(d) or 0) // STREAM_FILE_BYTES)
+    n = _files(d)
     d.repartitionByRange(n, "doc_id").write.parquet(f"{path}/source")
     return f"{path}/source", n
 
@@ -145,10 +150,11 @@ def stream_minhash_dedup(spark, sf_dir):
     """Two micro batches, in the order of ids; the query is stopped between them and starts again from its state."""
     source = docs(spark, sf_dir)
     path = shared_dir(spark)
+    n = max(4, _files(source) // 2)
     middle = source.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
     for half in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
-        source.where(half).write.mode("append").parquet(f"{path}/source")
+        source.where(half).repartition(n).write.mode("append").parquet(f"{path}/source")
         stream = spark.readStream.schema(source.schema).parquet(f"{path}/source")
         q = stream.writeStream.foreachBatch(streams.near_stream_batch(f"{path}/index", sink)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -2,7 +2,8 @@
 
 Exact: Spark's own state, bounded by a watermark if there is one.  Near: the rows of a micro
 batch that are near what earlier batches left go, then the batch is deduplicated in itself;
-so batches in order decide as one pass over all rows in order would.  What survives is
+so batches in order decide as one pass over all rows in order would.  Both use one signature
+of each different text.  What survives is
 appended: the state is two tables in shared storage, and a restarted query finds it there.
 Each batch reads the band keys of earlier batches, with ``keep_batches`` of the last ones
 only: older state is removed, so a batch costs the same however long the stream has run, and
@@ -79,22 +80,12 @@ def near_stream_batch(state: str, sink: Callable[[DataFrame, int], None], cfg: d
         with temporary(spark):
             path = shared_dir(spark)
             left = store(batch, f"{path}/batch")
-            normal = dedup.normalised(F.coalesce(F.col(text_col), F.lit("")))
-            short = F.when(F.length(normal) < cfg.shingle_size, F.lit("")).otherwise(normal)
-            texts = left.select(F.col(ord_col).alias("ord"), short.alias("text"))
-            bands = store(dedup.bands(texts.select("ord", dedup.signature(F.col("text"), cfg).alias("sig")), cfg), f"{path}/bands")
             old_bands, old_texts = existing(spark, "bands", epoch), existing(spark, "texts", epoch)
-            if old_bands is not None and old_texts is not None:
-                old = old_bands.select(F.col("ord").alias("a"), "band", "key")
-                pairs = old.join(bands.select(F.col("ord").alias("b"), "band", "key"), ["band", "key"]).select("a", "b").distinct()
-                if cfg.verify:
-                    pairs = dedup.jaccard(pairs, old_texts.select("ord", "text").union(texts), cfg.shingle_size).where(F.col("jaccard") >= cfg.threshold)
-                known = store(pairs.select(F.col("b").alias(ord_col)).distinct(), f"{path}/known")
-                left = left.join(known, ord_col, "left_anti")
-            fresh = store(dedup.deduplicate(left, cfg, ord_col, text_col), f"{path}/fresh")
-            stays = fresh.select(F.col(ord_col).alias("ord"))
+            earlier = None if old_bands is None or old_texts is None else (old_bands, old_texts)
+            stays, bands, texts = dedup.after_earlier(left, earlier, cfg, ord_col, text_col)
+            fresh = store(left.join(stays.withColumnRenamed("ord", ord_col), ord_col, "left_semi"), f"{path}/fresh")
             for name, rows in (("bands", bands), ("texts", texts)):
-                rows.join(stays, "ord", "left_semi").write.mode("overwrite").parquet(f"{state}/{name}/epoch={epoch}")
+                rows.write.mode("overwrite").parquet(f"{state}/{name}/epoch={epoch}")
             sink(fresh, epoch)
             if keep_batches is not None and epoch > keep_batches:
                 expire(spark, epoch - keep_batches - 1)  # this batch, run again, would still find all it has read
