@@ -1,4 +1,5 @@
 import re
+import time
 import unicodedata
 
 import pytest
@@ -33,6 +34,23 @@ def test_urls_and_mail_go_and_are_counted(spark):
     assert (stats["urls_removed"], stats["emails_removed"]) == (1, 1)
 
 
+def test_what_is_not_there_is_not_sought(spark):
+    """The expression for addresses tries every part of such a run up to its end."""
+    run = "a." * 100_000
+    cleaned(spark, "short enough")
+    start = time.monotonic()
+    text, stats = cleaned(spark, run, min_length_chars=1)
+    assert time.monotonic() - start < 10 and text == run and stats["emails_removed"] == 0
+    rows = clean.with_cleaned(texts(spark, None, "x@y", "me@example.com"), cfg=clean.CleanConfig(min_length_chars=1)).orderBy("i").collect()
+    assert [(r["cleaned"], r["stats"]["urls_removed"], r["stats"]["emails_removed"]) for r in rows] == [(None, None, None), ("x@y", 0, 0), (None, 0, 1)]
+
+
+def test_quotes_ligatures_and_tabs_are_replaced_alone_and_in_runs(spark):
+    odd = "".join(map(chr, [*clean.QUOTES, *clean.LIGATURES]))
+    assert clean.repair("\u00e9 " + odd) == "\u00e9 " + odd.translate(clean.LIGATURES).translate(clean.QUOTES)
+    assert cleaned(spark, "a\tb \tc\t\td  e f", min_length_chars=1)[0] == "a b c d e f"
+
+
 def test_a_very_long_url_is_no_trouble(spark):
     text, stats = cleaned(spark, "a http://" + "x" * 20000 + " b", min_length_chars=1)
     assert text == "a b" and stats["urls_removed"] == 1
