@@ -117,3 +117,14 @@ def test_the_halves_of_a_stream_are_dealt_into_files(spark, tmp_path, monkeypatc
     monkeypatch.setattr(q, "shared_dir", lambda spark: f"file://{tmp_path}/stream")
     assert q.stream_minhash_dedup(spark, str(tmp_path)).count() == dedup.deduplicate(spark.createDataFrame(rows, SCHEMA)).count()
     assert len(list((tmp_path / "stream/source").glob("*.parquet"))) >= 8
+
+
+def test_the_demonstration_reads_pages_in_small_splits(spark, tmp_path, monkeypatch):
+    from textloom.operators import storage
+    from textloom.plans import token_queries as q
+
+    spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(q.Pipeline, "run", lambda self, articles: articles.selectExpr("id", "title", "array(1) AS tokens"))
+    spark.conf.set(storage.SPLIT_KEY, "128MB")
+    assert q.demo_corpus(spark, str(tmp_path)).count() == 1 and spark.conf.get(storage.SPLIT_KEY) == str(storage.SPLIT_BYTES)
+    spark.conf.unset(storage.SPLIT_KEY)

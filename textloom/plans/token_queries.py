@@ -8,7 +8,7 @@ from textloom.config import Config
 from textloom.functions import text as T
 from textloom.operators import dedup, quality, tokenizer
 from textloom.operators import wiki as markup
-from textloom.operators.storage import plan_bytes, shared_dir
+from textloom.operators.storage import plan_bytes, shared_dir, small_splits
 from textloom.pipeline import Pipeline
 from textloom.plans.catalogue import register
 from textloom.plans.dedup_queries import LEADER_SQL
@@ -183,6 +183,7 @@ def pipeline_end_to_end(spark, sf_dir):
 @register("demo_corpus")
 def demo_corpus(spark, sf_dir):
     """The demonstration's settings on another corpus: the text of web pages, one article each."""
+    small_splits(spark)
     d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), markup.strip_tags(F.col("html")).alias("text"))
     cfg = Config({"tokenization": {"vocab_size": 1000}, "quality": {"language_filter": {"allowed_languages": ["en"]}}})
     return Pipeline(spark, cfg).run(d).select("id", "title", F.size("tokens").cast("long").alias("token_count"))
